@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import formatting_dedup, residue
+from . import formatting_dedup, pii, residue
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return pii.personal_items(load(spark, root, "memories"), load(spark, root, "name_parts"))
+
+
+def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return pii.redact(load(spark, root, "memories"), load(spark, root, "name_parts"))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -24,6 +32,6 @@ def p10_flags(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_flags(load(spark, root, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_collapsed": p7_collapsed, "p10_found": p10_found, "p10_flags": p10_flags}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p10_found": p10_found, "p10_flags": p10_flags}
 
 SQL: dict[str, str] = {}
