@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import formatting_dedup, pii, residue
+from . import formatting_dedup, neighbors, pii, residue
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -16,6 +16,14 @@ def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
     return pii.redact(load(spark, root, "memories"), load(spark, root, "name_parts"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbors.nearest_pairs(load(spark, root, "memories"))
+
+
+def p4_recall(spark: SparkSession, root: str) -> DataFrame:
+    return neighbors.recall_report(load(spark, root, "memories"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return formatting_dedup.formatting_copies(load(spark, root, "memories"))
 
@@ -32,6 +40,16 @@ def p10_flags(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_flags(load(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p10_found": p10_found, "p10_flags": p10_flags}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_recall": p4_recall, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p10_found": p10_found, "p10_flags": p10_flags}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """
+WITH u AS (
+  SELECT DISTINCT id, embedding_dims AS d, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM memories
+  WHERE id IS NOT NULL AND len(embedding) = embedding_dims
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (
+  SELECT a.id AS q, b.id AS o, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.d = b.d AND a.id <> b.id),
+n AS (SELECT q, o FROM s WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, o) <= 5)
+SELECT DISTINCT least(q, o) AS id_a, greatest(q, o) AS id_b FROM n""",
+}
