@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from . import formatting_dedup, neighbors, pii, residue
+from . import formatting_dedup, mixing, neighbors, packing, pii, residue, score_fusion, subset
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -16,6 +16,10 @@ def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
     return pii.redact(load(spark, root, "memories"), load(spark, root, "name_parts"))
 
 
+def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
+    return score_fusion.fused_ranking(load(spark, root, "memories"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.nearest_pairs(load(spark, root, "memories"))
 
@@ -24,6 +28,10 @@ def p4_recall(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.recall_report(load(spark, root, "memories"))
 
 
+def p5_subset(spark: SparkSession, root: str) -> DataFrame:
+    return subset.varied_subset(load(spark, root, "memories"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return formatting_dedup.formatting_copies(load(spark, root, "memories"))
 
@@ -32,6 +40,22 @@ def p7_collapsed(spark: SparkSession, root: str) -> DataFrame:
     return formatting_dedup.collapse(load(spark, root, "memories"))
 
 
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(load(spark, root, "documents"), load(spark, root, "container_sizes"))
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    return packing.report(load(spark, root, "documents"), load(spark, root, "container_sizes"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixture(load(spark, root, "documents"), load(spark, root, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(load(spark, root, "documents"), load(spark, root, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_documents(load(spark, root, "documents"))
 
@@ -40,7 +64,13 @@ def p10_flags(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_flags(load(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_recall": p4_recall, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p10_found": p10_found, "p10_flags": p10_flags}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_redacted, p3_ranking, p4_found, p4_recall, p5_subset, p7_found, p7_collapsed,
+        p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_flags,
+    )
+}
 
 SQL: dict[str, str] = {
     "p4_found": """
