@@ -9,7 +9,8 @@ memory or an operation delivered many times costs one partial row per task.
 Defined results:
 
 * rows of one ``operation_id`` are one operation, made at their smallest ``created_at_ms``;
-  copies may disagree or be null in other fields: the greatest non-null value is taken;
+  copies may disagree or be null in other fields: the greatest non-null value is taken; of a
+  payload that was cut off only a revision before the cut counts;
 * order is time, then ``revision`` of the payload, then ``operation_id``; an operation without
   any time comes first, one without revision before those with one;
 * rows without ``memory_id`` (null or blank) don't count, nor kinds other than the three;
@@ -28,8 +29,8 @@ SELECT max(memory_id) AS memory_id,
        max(operation_id) AS operation_id,
        max(lower(btrim(kind, ' \\t\\r\\n'))) AS op,
        coalesce(min(created_at_ms), -9223372036854775807) AS at_ms,
-       coalesce(max(try_cast(get_json_object(payload_json, '$.revision') AS BIGINT)), -9223372036854775807) AS rev,
-       max(payload_json) AS payload
+       coalesce(max(try_cast(regexp_extract(payload_json, '"revision"\\\\s*:\\\\s*"?(\\\\d+)"?\\\\s*[,}}}}]', 1) AS BIGINT)), -9223372036854775807) AS rev,
+       max(CASE WHEN payload_json <> '{{{{}}}}' AND get_json_object(payload_json, '$') IS NOT NULL THEN payload_json END) AS payload
 FROM {feed}
 WHERE memory_id IS NOT NULL AND btrim(memory_id) <> ''
 GROUP BY coalesce(operation_id,

@@ -105,3 +105,45 @@ def running_totals(
 
     schema = placed.select(*names).schema.add(out, "double")
     return placed.mapInPandas(scan, schema)
+
+
+def previous_row(df: DataFrame, keys: list[str], order: list[Column], columns: dict[str, str]) -> DataFrame:
+    """Add, under new names, ``columns`` of the row before in ``order`` within ``keys``; null for the first.
+
+    ``order`` must be total. Exact for any group size; null keys form a key of their own.
+    """
+    prepared = df.withColumn("__k", key_hash(keys))
+    placed = range_sorted(prepared, [*[F.col(k) for k in keys], *order])
+    kept = [F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("v")]
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            last = b[-1:] if len(b) else last
+        if last is not None:
+            yield last[["pid", "k", "v"]]
+
+    summaries = partition_summaries(placed.select(F.col(PID).alias("pid"), F.col("__k").alias("k"), *kept), edges, "pid int, k string, v string")
+    carry = {s["pid"]: summaries[i - 1] if i else {"k": None, "v": None} for i, s in enumerate(summaries)}
+    fields = [f for f in placed.schema.fields if f.name not in (PID, "__k", "__v")]
+    names = [f.name for f in fields]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = value = None
+        fresh = True
+        for b in batches:
+            if not len(b):
+                continue
+            if fresh:
+                came = carry[int(b[PID].iloc[0])]
+                key, value, fresh = came["k"], came["v"], False
+            before_k, before_v = b["__k"].shift(), b["__v"].shift()
+            before_k.iloc[0], before_v.iloc[0] = key, value
+            key, value = b["__k"].iloc[-1], b["__v"].iloc[-1]
+            yield b[names].assign(__before=before_v.where(before_k.eq(b["__k"]), None))
+
+    schema = placed.select(*names).schema.add("__before", "string")
+    out = placed.withColumn("__v", kept[0]).mapInPandas(scan, schema)
+    types = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in columns)
+    out = out.withColumn("__before", F.from_json("__before", types))
+    return out.select(*names, *[F.col(f"__before.{c}").alias(n) for c, n in columns.items()])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-_OPS = """
+_OPS = r"""
 ops AS (
   SELECT max(memory_id) AS memory_id, operation_id, max(lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13)))) AS kind,
          coalesce(min(created_at_ms), -9223372036854775807) AS at_ms,
-         coalesce(max(TRY_CAST(json_extract_string(payload_json, '$.revision') AS BIGINT)), -9223372036854775807) AS rev,
-         max(payload_json) AS payload
+         coalesce(max(TRY_CAST(nullif(regexp_extract(payload_json, '"revision"\s*:\s*"?(\d+)"?\s*[,}]', 1), '') AS BIGINT)), -9223372036854775807) AS rev,
+         max(CASE WHEN json_valid(payload_json) AND payload_json <> '{}' THEN payload_json END) AS payload
   FROM operations WHERE trim(coalesce(memory_id, '')) <> '' GROUP BY operation_id),
 known AS (SELECT * FROM ops WHERE kind IN ('remember', 'update', 'delete')),
 placed AS (
