@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
+from .durable import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values
 MOST_HITS = 300  #: a literal bound lets Spark cut each query's hits before the shuffle
@@ -34,7 +35,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def search(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most 300."""
     spark = docs.sparkSession
-    post = postings(docs)
+    post = cut(postings(docs))  # the index, read for the statistics and for the matches
     asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").select(
         "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(MOST_HITS)).alias("k"), F.explode(query_terms(F.col("text"))).alias("term")
     )

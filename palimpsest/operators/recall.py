@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.metrics import cosine_distance
 from . import fulltext, knn
+from .durable import cut
 from .records import latest, live
 
 MAX_RECALL_LIMIT = 100
+_SCORED = ["qid", "id", "score", "rrf", "top", "mmr_lambda", "embedding", "embedding_dims"]
 MOST_CANDIDATES = 2 * 3 * MAX_RECALL_LIMIT
 _FIELDS = ["tenant_id", "namespace", "agent_id", "user_id", "kind", "content", "embedding", "embedding_dims", "importance", "created_at_ms", "access_count", "expires_at_ms", "status", "metadata_json"]
 
@@ -68,26 +70,30 @@ def valid_requests(requests: DataFrame, dims: int | None = None) -> DataFrame:
     )
 
 
-def candidates(requests: DataFrame, memories: DataFrame) -> DataFrame:
-    """``qid, id, vrank, trank, rrf``: both candidate lists of the valid requests, fused."""
-    active = latest(memories, ["tenant_id", "namespace", "embedding", "embedding_dims", "status"]).where("status = 'active'")
+def prepared(memories: DataFrame) -> DataFrame:
+    """The latest states with what recall reads of them, written once: three branches of the plan read them."""
+    return cut(latest(memories, _FIELDS))
+
+
+def candidates(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """``qid, id, vrank, dist, trank, rrf``: both candidate lists of the valid requests over ``prepared`` records, fused."""
+    active = records.where("status = 'active'")
     vectors = active.where("size(embedding) = embedding_dims").select("id", "tenant_id", "namespace", F.col("embedding").alias("vec"))
     dense = knn.batch_nearest(requests.select("qid", "vec", "k", "tenant_id", "namespace"), vectors, "cosine", ["tenant_id", "namespace"])
-    docs = latest(memories, ["tenant_id", "namespace", "content", "status"]).withColumn("live", F.col("status") == "active")
+    docs = records.select("id", "tenant_id", "namespace", "content", (F.col("status") == "active").alias("live"))
     text = fulltext.search(requests.select("qid", "tenant_id", "namespace", "text", "k"), docs)
-    return fuse(dense.select("qid", "id", F.col("rank").alias("vrank")), text.select("qid", "id", F.col("rank").alias("trank")))
+    return fuse(dense.select("qid", "id", F.col("rank").alias("vrank"), "dist"), text.select("qid", "id", F.col("rank").alias("trank")))
 
 
 def fuse(dense: DataFrame, text: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of (qid, id, vrank) and (qid, id, trank): each list gives 1 / (60 + rank)."""
+    """Reciprocal rank fusion of (qid, id, vrank) and (qid, id, trank): each list gives 1 / (60 + rank); other columns stay."""
     both = dense.join(text, ["qid", "id"], "full_outer")
     part = [F.coalesce(1.0 / (S.RRF_K + F.col(c)), F.lit(0.0)) for c in ("vrank", "trank")]
     return both.withColumn("rrf", part[0] + part[1])
 
 
-def scored(requests: DataFrame, memories: DataFrame, pool: DataFrame, by_agent: bool = False, by_user: bool = False) -> DataFrame:
+def scored(requests: DataFrame, records: DataFrame, pool: DataFrame, by_agent: bool = False, by_user: bool = False) -> DataFrame:
     """The candidates that pass their request's filters, with all score components and notes."""
-    records = latest(memories, _FIELDS)
     c = pool.join(requests.drop("tenant_id", "namespace"), "qid").join(records, "id")
     c = c.where(live(F.col("now_ms")))
     c = c.where(F.col("q_kinds").isNull() | F.array_contains("q_kinds", F.col("kind")))
@@ -100,7 +106,8 @@ def scored(requests: DataFrame, memories: DataFrame, pool: DataFrame, by_agent:
     if by_user:
         c = c.where(F.col("q_user").isNull() | (F.col("user_id") == F.col("q_user")))
     same = (F.size("embedding") == F.col("embedding_dims")) & (F.size("embedding") == F.size("vec"))
-    cosine = F.when(same, cosine_distance(F.col("embedding"), F.col("vec")))
+    # the dense branch has its distances; only those of candidates found by text alone are computed here
+    cosine = F.coalesce(F.col("dist"), F.when(same, F.round(cosine_distance(F.col("embedding"), F.col("vec")), knn.DECIMALS)))
     importance = F.coalesce(S.clamp01(F.nanvl(F.col("importance"), F.lit(0.0))), F.lit(0.0))
     c = c.withColumn("similarity", S.similarity(F.nanvl(cosine, F.lit(1.0)))).withColumn("importance_score", importance)
     c = c.withColumn("recency", S.recency(F.col("created_at_ms"), F.col("now_ms"))).withColumn("reinforcement", S.reinforcement(F.col("access_count")))
@@ -155,10 +162,10 @@ def diversified(scores: DataFrame) -> DataFrame:
 
 def recall(requests: DataFrame, memories: DataFrame, dims: int | None = None) -> DataFrame:
     """``qid, id, content, kind, score, position, returned``: requests with a lambda diversified, the others by score."""
-    valid = valid_requests(requests, dims)
-    scores = scored(valid, memories, candidates(valid, memories))
+    valid, records = valid_requests(requests, dims), prepared(memories)
+    scores = cut(scored(valid, records, candidates(valid, records)).select(*_SCORED))
     plain = top(scores.where("mmr_lambda IS NULL")).select("qid", "id", "score", "position")
     both = plain.unionByName(diversified(scores).select("qid", "id", "score", "position"))
-    texts = latest(memories, ["kind", "content"])
+    texts = records.select("id", "kind", "content")
     whole = Window.partitionBy("qid")  # at most a request's limit of rows
     return both.join(texts, "id").withColumn("returned", F.count("*").over(whole)).select("qid", "id", "content", "kind", "score", "position", "returned")

@@ -241,11 +241,11 @@ def recall_invalid(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
-    return recall.candidates(_requests(spark, root), _memories(spark, root)).withColumn("rrf", F.round("rrf", 9))
+    return recall.candidates(_requests(spark, root), recall.prepared(_memories(spark, root))).select("qid", "id", "vrank", "trank", F.round("rrf", 9).alias("rrf"))
 
 
 def _scores(spark: SparkSession, root: str, **agent: bool) -> DataFrame:
-    r, m = _requests(spark, root), _memories(spark, root)
+    r, m = _requests(spark, root), recall.prepared(_memories(spark, root))
     return recall.scored(r, m, recall.candidates(r, m), **agent)
 
 

@@ -89,7 +89,7 @@ _CLEAN = f"len(m.embedding) = m.embedding_dims AND len(m.embedding) = len(r.vec)
 _SCORES = f"""
 c AS (
   SELECT p.qid, p.id, p.vrank, p.trank, p.rrf, r.top, r.q_agent, r.q_user, r.mmr_lambda, m.agent_id, m.user_id, m.kind, m.content,
-    CASE WHEN {_CLEAN} THEN {_cos('list_transform(m.embedding, lambda x: x::DOUBLE)', 'r.vec')} ELSE 1.0 END AS cosd,
+    CASE WHEN {_CLEAN} THEN round({_cos('list_transform(m.embedding, lambda x: x::DOUBLE)', 'r.vec')}, 9) ELSE 1.0 END AS cosd,
     CASE WHEN m.importance IS NULL OR isnan(m.importance) THEN 0 ELSE least(1.0, greatest(0.0, m.importance)) END AS importance_score,
     coalesce(exp(-greatest(r.now_ms - m.created_at_ms, 0) / 604800000.0), 0) AS recency,
     least(1.0, greatest(0.0, coalesce(m.access_count, 0) / 10.0)) AS reinforcement

@@ -29,7 +29,7 @@ def test_hybrid_candidates(spark):
         {"id": "E", "content": None, "embedding": [float("nan"), 0.0, 0.0]},
     ])
     r = recall.valid_requests(requests(spark, [{"query_text": "Priya", "max_items": 1}]))
-    s = {x["id"]: x for x in recall.scored(r, m, recall.candidates(r, m)).collect()}
+    s = {x["id"]: x for x in recall.scored(r, recall.prepared(m), recall.candidates(r, recall.prepared(m))).collect()}
     assert set(s) == {"A", "B"}
     assert s["A"]["similarity"] == 1.0 and "fts5_lexical_candidate" not in s["A"]["notes"]
     assert "fts5_lexical_candidate" in s["B"]["notes"]
@@ -64,6 +64,7 @@ def test_filters(spark):
             out.setdefault(x["qid"], set()).add(x["id"])
         return out
 
+    m = recall.prepared(m)
     pool = recall.candidates(r, m)
     got = by(recall.scored(r, m, pool))
     assert got == {"q0": {"a", "b", "c"}, "q1": {"a"}, "q2": {"b"}, "q3": {"a", "b", "c"}, "q4": {"b"}, "q5": {"a"}, "q7": {"a", "b", "c"}}
