@@ -53,6 +53,10 @@ class MemoryStore:
         store.recover()
         return store
 
+    def schema_version(self) -> int:
+        """The version of the layout; an empty store has it from its first batch on."""
+        return SCHEMA_VERSION
+
     # --- files --------------------------------------------------------------------------------
     def _committed(self, folder: str) -> list[int]:
         jvm = self.spark._jvm

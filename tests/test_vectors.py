@@ -135,3 +135,11 @@ def test_index(spark, tmp_path):
         ix.insert(np.zeros(6, np.float32)[::2])
     with pytest.raises(ValueError):
         ix.insert_with_id(2**63, [1, 1, 1])
+
+
+def test_synthetic_vectors(spark):
+    from palimpsest.sources.synthetic import uniform_vectors
+
+    a, b = uniform_vectors(spark, 50, 4).collect(), uniform_vectors(spark, 50, 4).repartition(3).orderBy("id").collect()
+    assert a == b and all(len(r["vec"]) == 4 and all(0 <= x < 1 for x in r["vec"]) for r in a)
+    assert len({tuple(r["vec"]) for r in a}) == 50
