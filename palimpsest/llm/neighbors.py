@@ -37,6 +37,7 @@ MAX_LEAVES = 4_096
 BLOCK_ROWS = 8_192
 FANOUT = 16
 RECALL = 0.997
+WIDEST = 64  #: leaves a calibration looks at first
 SALTS = 16
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -249,31 +250,32 @@ def calibrate(tree: Tree, queries: np.ndarray, truth: dict[int, list[np.ndarray]
     if not pairs:
         tree.visits, tree.slack = 1, 2.0
         return 1.0
-    widest = tree.leaves
+    asked_u, others_u = unit(queries), unit(np.stack([v for _, v in pairs]))
 
-    def table(x: np.ndarray) -> list[dict[int, tuple[int, float]]]:
+    def table(x: np.ndarray, widest: int) -> list[dict[int, tuple[int, float]]]:
         out: list[dict[int, tuple[int, float]]] = [{} for _ in range(len(x))]
         for i in range(0, len(x), 512):
             for r, leaf, gap in zip(*route(tree, x[i : i + 512], widest, 4.0)):
                 out[i + r][int(leaf)] = (len(out[i + r]), float(gap))
         return out
 
-    asked = table(unit(queries))
-    others = table(unit(np.stack([v for _, v in pairs])))
-    home = [min(t, key=lambda leaf: t[leaf][0]) for t in asked]
-    homes = [min(t, key=lambda leaf: t[leaf][0]) for t in others]
-    need = [(asked[q][homes[i]], others[i][home[q]]) for i, (q, _) in enumerate(pairs)]
-    best = None
-    for visits in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, widest):
-        gaps = sorted(min((g for rank, g in n if rank < visits), default=np.inf) for n in need)
-        at = gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))) - 1)]
-        if not np.isfinite(at):
-            continue
-        slack = at + 1e-6
-        cost = np.mean([sum(rank < visits and g <= slack for rank, g in t.values()) for t in asked])
-        if best is None or cost < best[0]:
-            reached = np.mean([g <= slack for g in gaps])
-            best = (cost, visits, slack, reached)
+    best, never = None, (tree.leaves, np.inf)
+    for widest in sorted({min(WIDEST, tree.leaves), tree.leaves}):  # all leaves only if the first leaves don't do
+        asked, others = table(asked_u, widest), table(others_u, widest)
+        home = [min(t, key=lambda leaf: t[leaf][0]) for t in asked]
+        homes = [min(t, key=lambda leaf: t[leaf][0]) for t in others]
+        need = [(asked[q].get(homes[i], never), others[i].get(home[q], never)) for i, (q, _) in enumerate(pairs)]
+        for visits in sorted({v for v in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 2048) if v < widest} | {widest}):
+            gaps = sorted(min((g for rank, g in n if rank < visits), default=np.inf) for n in need)
+            at = gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))) - 1)]
+            if not np.isfinite(at):
+                continue
+            slack = at + 1e-6
+            cost = np.mean([sum(rank < visits and g <= slack for rank, g in t.values()) for t in asked])
+            if best is None or cost < best[0]:
+                best = (cost, visits, slack, np.mean([g <= slack for g in gaps]))
+        if best is not None:
+            break
     tree.visits, tree.slack = best[1], best[2]
     return float(best[3])
 
