@@ -8,7 +8,8 @@ exchanged between partitions and packed again, as long as that saves containers.
 A text longer than the capacity is split into full containers and a rest; no other is split.
 
 Defined results: a null text isn't placed; a blank text has no tokens and goes into any
-container; sizes with a null or non-positive capacity are left out; of equal sizes the smaller
+container; sizes with a null kind or a null or non-positive
+capacity are left out; of equal sizes the smaller
 doc_id is placed first; empty tables give no rows; other columns are ignored.
 """
 
@@ -106,7 +107,7 @@ def _pack(part: pd.DataFrame, label: str) -> pd.DataFrame:
 
 
 def containers_of(container_sizes: DataFrame) -> list[tuple[str, int]]:
-    rows = container_sizes.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")).limit(KIND_BOUND + 1).collect()
+    rows = container_sizes.where("container_kind IS NOT NULL AND capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")).limit(KIND_BOUND + 1).collect()
     if len(rows) > KIND_BOUND:
         raise ValueError(f"more than {KIND_BOUND} kinds of containers")
     return sorted((r[0], int(r[1])) for r in rows)
