@@ -141,7 +141,6 @@ def route(tree: Tree, x: np.ndarray, visits: int, slack: float) -> tuple[np.ndar
     while len(active):
         node = np.argmax(frontier[active], axis=1)
         key = frontier[active, node]
-        # an inner node may hold leaves nearer than itself, so only leaves are held against the slack
         alive = key > -np.inf
         active, node, key = active[alive], node[alive], key[alive]
         frontier[active, node] = -np.inf
@@ -154,9 +153,9 @@ def route(tree: Tree, x: np.ndarray, visits: int, slack: float) -> tuple[np.ndar
         rows.append(r[near])
         leaves.append(l[near])
         gaps.append(gap[near])
-        seen[r[near]] += 1
+        # a leaf too far off counts as visited: nearer ones may still lie below inner nodes in the queue
+        seen[r] += 1
         done = np.zeros(n, bool)
-        done[r[~near]] = True
         done[r[seen[r] >= visits]] = True
         for inner in np.unique(node[~at_leaf]):
             q = active[~at_leaf][node[~at_leaf] == inner]
@@ -210,7 +209,7 @@ def _sample(rows: DataFrame, count: int, d: int, size: int, seed: int) -> list:
     """About ``size`` rows of dimension ``d``, picked by a hash of the id; never more than 1.2 times that."""
     share = 1.0 if count <= size else size / count
     picked = rows.where(F.col("dims") == d).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    return picked.limit(int(size * 1.2)).select("id", "embedding").toArrow()
+    return picked.limit(int(size * 1.2)).select("id", "embedding").toArrow().sort_by("id")  # in an order that doesn't hang on the tasks
 
 
 def _truth(rows: DataFrame, d: int, queries: np.ndarray) -> dict[int, list[np.ndarray]]:
