@@ -32,7 +32,7 @@ K = 5
 MIN_SIMILARITY = 0.85
 SAMPLE = 65_536  #: vectors a tree is fitted on, at most, per dimension
 QUERIES = 512  #: queries the visits are calibrated with, at most, per dimension
-LEAF_ROWS = 1_000
+LEAF_ROWS = 2_500
 MAX_LEAVES = 4_096
 BLOCK_ROWS = 8_192
 FANOUT = 16
