@@ -10,6 +10,8 @@ matches nothing; equal ranks (9 decimals) are ordered by id; other columns are i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,29 +34,35 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def search(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most 300."""
+def search(queries: DataFrame, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most 300.
+
+    ``keep`` filters the hits (``qid, id, k, bm25``) before they are ranked and cut.
+    """
     spark = docs.sparkSession
     post = cut(postings(docs))  # the index, read for the statistics and for the matches
     asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").select(
         "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(MOST_HITS)).alias("k"), F.explode(query_terms(F.col("text"))).alias("term")
     )
     asked = asked.groupBy("qid", "tenant_id", "namespace", "k", "term").agg(F.count("*").alias("w"))
-    return spark.sql(
+    hits = spark.sql(
         f"""
         WITH st AS (SELECT count(*) AS n, avg(size(regexp_extract_all(lower(content), '([\\\\p{{{{L}}}}\\\\p{{{{N}}}}]+)', 1))) AS avgdl FROM {{docs}} WHERE content IS NOT NULL),
         df AS (SELECT term, count(*) AS df FROM {{post}} GROUP BY term),
         q AS (
-          SELECT a.*, greatest(ln(((SELECT n FROM st) - df + 0.5D) / (df + 0.5D)), {IDF_FLOOR}D) AS idf FROM {{asked}} a JOIN df USING (term)),
-        hits AS (
-          SELECT q.qid, p.id, first(q.k) AS k,
-                 round(sum(q.w * q.idf * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.doc_len / (SELECT avgdl FROM st)))), 9) AS bm25
-          FROM q JOIN {{post}} p ON p.term = q.term AND p.tenant_id = q.tenant_id AND p.namespace = q.namespace
-          WHERE p.live GROUP BY q.qid, p.id)
-        SELECT qid, id, bm25, rank FROM (
-          SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM hits)
-        WHERE rank <= {MOST_HITS} AND rank <= k""",
+          SELECT a.*, greatest(ln(((SELECT n FROM st) - df + 0.5D) / (df + 0.5D)), {IDF_FLOOR}D) AS idf FROM {{asked}} a JOIN df USING (term))
+        SELECT q.qid, p.id, first(q.k) AS k,
+               round(sum(q.w * q.idf * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.doc_len / (SELECT avgdl FROM st)))), 9) AS bm25
+        FROM q JOIN {{post}} p ON p.term = q.term AND p.tenant_id = q.tenant_id AND p.namespace = q.namespace
+        WHERE p.live GROUP BY q.qid, p.id""",
         docs=docs,
         post=post,
         asked=asked,
     )
+    return spark.sql(
+        f"""
+        SELECT qid, id, bm25, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM {{hits}})
+        WHERE rank <= {MOST_HITS} AND rank <= k""",
+        hits=keep(hits) if keep else hits,
+    )

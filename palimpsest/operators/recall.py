@@ -75,13 +75,27 @@ def prepared(memories: DataFrame) -> DataFrame:
     return cut(latest(memories, _FIELDS))
 
 
+def _has_metadata():
+    """Whether ``meta`` has all that ``q_meta`` asks for, where ``q_has_meta``."""
+    asks = F.coalesce(F.size("q_meta") > 0, F.lit(False))
+    return ~F.col("q_has_meta") | (F.col("q_meta").isNotNull() & (~asks | (F.coalesce(F.size(F.array_except("q_meta", "meta")), F.lit(1)) == 0)))
+
+
 def candidates(requests: DataFrame, records: DataFrame) -> DataFrame:
     """``qid, id, vrank, dist, trank, rrf``: both candidate lists of the valid requests over ``prepared`` records, fused."""
     active = records.where("status = 'active'")
     vectors = active.where("size(embedding) = embedding_dims").select("id", "tenant_id", "namespace", F.col("embedding").alias("vec"))
     dense = knn.batch_nearest(requests.select("qid", "vec", "k", "tenant_id", "namespace"), vectors, "cosine", ["tenant_id", "namespace"])
     docs = records.select("id", "tenant_id", "namespace", "content", (F.col("status") == "active").alias("live"))
-    text = fulltext.search(requests.select("qid", "tenant_id", "namespace", "text", "k"), docs)
+    asks = requests.where("q_has_meta").select("qid", "q_has_meta", "q_meta")
+    metas = records.where("metadata_json IS NOT NULL").select("id", S.json_entries("metadata_json").alias("meta"))
+
+    def asked_metadata(hits: DataFrame) -> DataFrame:
+        c = hits.join(asks, "qid", "left").withColumn("q_has_meta", F.coalesce("q_has_meta", F.lit(False))).join(metas, "id", "left")
+        return c.where(_has_metadata()).select(hits.columns)
+
+    # metadata is asked for before the cut; kinds, importance and expiry come after it, as does everything in the dense branch
+    text = fulltext.search(requests.select("qid", "tenant_id", "namespace", "text", "k"), docs, asked_metadata)
     return fuse(dense.select("qid", "id", F.col("rank").alias("vrank"), "dist"), text.select("qid", "id", F.col("rank").alias("trank")))
 
 
@@ -98,9 +112,7 @@ def scored(requests: DataFrame, records: DataFrame, pool: DataFrame, by_agent: b
     c = c.where(live(F.col("now_ms")))
     c = c.where(F.col("q_kinds").isNull() | F.array_contains("q_kinds", F.col("kind")))
     c = c.where(F.col("q_min").isNull() | (F.col("importance") >= F.col("q_min")))
-    asks = F.coalesce(F.size("q_meta") > 0, F.lit(False))
-    c = c.withColumn("meta", S.json_entries("metadata_json"))
-    c = c.where(~F.col("q_has_meta") | (F.col("q_meta").isNotNull() & (~asks | (F.coalesce(F.size(F.array_except("q_meta", "meta")), F.lit(1)) == 0))))
+    c = c.withColumn("meta", S.json_entries("metadata_json")).where(_has_metadata())
     if by_agent:
         c = c.where(F.col("q_agent").isNull() | (F.col("agent_id") == F.col("q_agent")))
     if by_user:

@@ -71,6 +71,20 @@ def test_filters(spark):
     assert by(recall.scored(r, m, pool, by_agent=True))["q7"] == {"c"}
 
 
+def test_metadata_before_the_text_cut(spark):
+    near = [{"id": f"a{i}", "content": "word", "embedding": [1.0, 0.0, 0.0], "metadata_json": '{"p": "2"}'} for i in range(5)]
+    far = [{"id": f"b{i}", "content": "word and more", "embedding": [0.0, 0.0, 1.0], "metadata_json": m} for i, m in enumerate(['{"p": "1", "x": 2}', '{"p": 1}', None])]
+    q = requests(spark, [{"query_text": "word", "max_items": 1, "metadata_eq_json": m} for m in ('{"p": "1"}', '{"p": 1}', "{}", "broken", None)])
+    r, m = recall.valid_requests(q), recall.prepared(memories(spark, near + far))
+    pool = recall.candidates(r, m)
+    text = {}
+    for x in pool.where("trank IS NOT NULL").orderBy("trank").collect():
+        text.setdefault(x["qid"], []).append(x["id"])
+    assert text == {"q0": ["b0"], "q1": ["b1"], "q2": ["a0", "a1", "a2"], "q4": ["a0", "a1", "a2"]}
+    got = {(x["qid"], x["id"]): x["notes"] for x in recall.scored(r, m, pool).collect()}
+    assert [k for k in sorted(got) if k[0] in ("q0", "q1")] == [("q0", "b0"), ("q1", "b1")] and "fts5_lexical_candidate" in got["q0", "b0"]
+
+
 def test_invalid_requests_and_empty_tables(spark):
     q = requests(spark, [{}, {"tenant_id": " "}, {"namespace": None}, {"max_items": 0}, {"query_embedding": [1.0]}, {"mmr_lambda": 2.0}, {"request_id": None}, {"query_embedding": None}])
     bad = {r["request_id"]: r["reason"] for r in recall.invalid_requests(q, 3).collect()}
