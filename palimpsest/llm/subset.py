@@ -3,8 +3,11 @@
 A set is worth the sum, over all records, of each record's similarity to its nearest member,
 where a record counts the less the more records are like it (one over its density), so that large
 groups of alike records weigh about as much as small ones, and a member of another ``kind`` covers
-a record only partly. First blocks of bounded size nominate candidates by lazy greedy; while the
-candidates don't fit one bounded block they nominate again; a last greedy pass takes the subset.
+a record only partly. Densities are counted over all records, block against block. Then blocks of bounded
+size nominate candidates by lazy greedy, and each record's weight goes to the nominee of its block
+that covers it best; while the candidates don't fit one bounded block they nominate again, with all
+the weight they stand for; a last greedy pass takes the subset. The gains given are exact ones over
+all records, in the order of the picks, so their sum is the objective reached.
 
 Defined results: records with a null id or an unusable embedding don't take part (``neighbors``);
 several rows of an id are one record; a null kind is a kind of its own; if there are fewer records
@@ -26,6 +29,7 @@ from .neighbors import unit
 
 BLOCK_ROWS = 2_048
 OTHER_KIND = 0.8  #: how far a member covers a record of another kind
+DENSITY_ROWS = 32_768  #: rows of a block when alike records are counted
 ALIKE = 0.85  #: similarity from which records count as alike
 
 
@@ -58,35 +62,94 @@ def lazy_greedy(cover: np.ndarray, weight: np.ndarray, size: int) -> list[tuple[
     return picks
 
 
+def _alike(pair: pd.DataFrame) -> pd.DataFrame:
+    """``id, alike``: how many records of the other block (of its own, where both are one) are like each record."""
+    out = []
+    for _, same in pair.groupby("dims"):
+        lo, hi = (same[same["block"] == same[c]] for c in ("lo", "hi"))
+        one = bool((same["lo"] == same["hi"]).all())
+        if not len(lo) or not len(hi):
+            continue
+        x, y = (unit(np.stack([np.asarray(v, np.float32) for v in side["embedding"]])) for side in (lo, hi))
+        across = np.zeros(len(y), np.int64)
+        for at in range(0, len(x), 512):
+            like = x[at : at + 512] @ y.T >= ALIKE
+            out.append(pd.DataFrame({"id": lo["id"].iloc[at : at + 512], "alike": like.sum(axis=1)}))
+            across += like.sum(axis=0)
+        if not one:
+            out.append(pd.DataFrame({"id": hi["id"], "alike": across}))
+    return pd.concat(out) if out else pd.DataFrame({"id": [], "alike": []})
+
+
+def _weighted(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``weight``, one over the number of all records that are like each."""
+    blocks = max(1, math.ceil(n / DENSITY_ROWS))
+    b, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.col("other")
+    pairs = rows.select("id", "dims", "embedding", b.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    pairs = pairs.withColumn("lo", F.least("block", other)).withColumn("hi", F.greatest("block", other)).drop("other")
+    alike = pairs.groupBy("lo", "hi").applyInPandas(_alike, "id string, alike bigint").groupBy("id").agg(F.sum("alike").alias("alike"))
+    return rows.join(alike, "id").select(*rows.columns, (1.0 / F.greatest("alike", F.lit(1))).alias("weight"))
+
+
 def _nominate(block: pd.DataFrame, size: int) -> pd.DataFrame:
-    block = block[np.isfinite([np.asarray(v, np.float64).sum() for v in block["embedding"]])]
-    block = block[[bool(np.any(np.asarray(v) != 0)) for v in block["embedding"]]]
-    block = block.sort_values(["id", "kind"], na_position="first").drop_duplicates("id").reset_index(drop=True)
-    if not len(block):
-        return pd.DataFrame({"id": [], "kind": [], "dims": [], "embedding": [], "pick": [], "gain": []})
-    s = _similarity(block)
-    weight = (1.0 / np.maximum((s >= ALIKE).sum(axis=1), 1)).astype(np.float32)
+    """The picks of a block in order, each with the weight of the records that it covers best."""
+    block = block.sort_values("id").reset_index(drop=True)
+    s, dims = _similarity(block), block["dims"].to_numpy()
     kinds = block["kind"].fillna("\u0000").to_numpy()
     s *= np.where(kinds[:, None] == kinds[None, :], np.float32(1), np.float32(OTHER_KIND))
-    picks = lazy_greedy(s, weight, size)
-    out = block.iloc[[j for j, _ in picks]][["id", "kind", "dims", "embedding"]]
-    return out.assign(pick=np.arange(1, len(picks) + 1, dtype=np.int32), gain=[g for _, g in picks])
+    weight = block["weight"].to_numpy()
+    picks = [j for j, _ in lazy_greedy(s, weight.astype(np.float32), size)]
+    # a dimension without a pick covers nothing here but may in the whole: its heaviest record stands for it
+    at = picks + [int(np.where(dims == d, weight, -1).argmax()) for d in np.setdiff1d(dims, dims[picks])]
+    best = (s[:, at] + (dims[:, None] == dims[at][None, :])).argmax(axis=1)
+    mass = np.bincount(best, weights=weight, minlength=len(at))
+    out = block.iloc[at][["id", "kind", "dims", "embedding"]]
+    return out.assign(weight=mass, pick=[*range(1, len(picks) + 1), *[None] * (len(at) - len(picks))])
+
+
+def _gains(rows: DataFrame, picks: list) -> DataFrame:
+    """``pick, gain``: what each pick adds to the cover of all ``rows`` by those before it."""
+
+    def partial(parts):
+        total = np.zeros(len(picks))
+        for part in parts:
+            for lo in range(0, len(part), 4_096):
+                b = part.iloc[lo : lo + 4_096]
+                dims, kinds = b["dims"].to_numpy(), b["kind"].fillna("\u0000").to_numpy()
+                cover = np.zeros((len(b), len(picks)), np.float32)
+                for d in np.unique(dims):
+                    of = [j for j, p in enumerate(picks) if p["dims"] == d]
+                    if of:
+                        x = unit(np.stack([np.asarray(v, np.float32) for v in b["embedding"][dims == d]]))
+                        y = unit(np.stack([np.asarray(picks[j]["embedding"], np.float32) for j in of]))
+                        cover[np.ix_(np.flatnonzero(dims == d), of)] = np.clip(x @ y.T, 0, 1)
+                own = np.array(["\u0000" if p["kind"] is None else p["kind"] for p in picks], object)
+                cover *= np.where(kinds[:, None] == own[None, :], np.float32(1), np.float32(OTHER_KIND))
+                reached = np.maximum.accumulate(cover, axis=1)
+                total += b["weight"].to_numpy() @ np.diff(reached, axis=1, prepend=np.float32(0))
+        yield pd.DataFrame({"pick": np.arange(1, len(picks) + 1, dtype=np.int32), "gain": total})
+
+    return rows.select("dims", "kind", "embedding", "weight").mapInPandas(partial, "pick int, gain double").groupBy("pick").agg(F.sum("gain").alias("gain"))
 
 
 def varied_subset(memories: DataFrame, size: int = 200, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``pick, id, kind, dims, gain``: the subset in the order it was picked."""
     block_rows = max(block_rows, 8 * size)
     rows = memories.where("id IS NOT NULL AND embedding IS NOT NULL AND embedding_dims > 0 AND size(embedding) = embedding_dims AND NOT exists(embedding, e -> e IS NULL)")
-    n = rows.select("id").count()
     rows = rows.select("id", "kind", F.col("embedding_dims").cast("int").alias("dims"), F.col("embedding").cast("array<float>").alias("embedding"))
-    schema = "id string, kind string, dims int, embedding array<float>, pick int, gain double"
+    rows = rows.where("NOT exists(embedding, e -> isnan(e) OR abs(e) = float('inf')) AND exists(embedding, e -> e <> 0)")
+    rows = cut(rows.groupBy("id").agg(F.min(F.struct("kind", "dims", "embedding")).alias("r")).select("id", "r.*"))
+    n = rows.count()
+    every = rows = cut(_weighted(rows, n))
+    schema = "id string, kind string, dims int, embedding array<float>, weight double, pick int"
     seed = 0
     while n > block_rows:
         blocks = math.ceil(n / (block_rows * 0.9))
         block = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks))
-        nominated = rows.groupBy(block.alias("block")).applyInPandas(lambda b: _nominate(b.drop(columns="block", errors="ignore"), size), schema)
-        rows = cut(nominated.drop("pick", "gain"))
+        nominated = rows.groupBy(block.alias("block")).applyInPandas(lambda b: _nominate(b, size), schema)
+        rows = cut(nominated.drop("pick"))
         n, seed = rows.count(), seed + 1
     # at most block_rows candidates are left
-    chosen = rows.groupBy(F.lit(0).alias("block")).applyInPandas(lambda b: _nominate(b.drop(columns="block", errors="ignore"), size), schema)
-    return chosen.select("pick", "id", "kind", "dims", F.round("gain", 6).alias("gain"))
+    chosen = cut(rows.groupBy(F.lit(0).alias("block")).applyInPandas(lambda b: _nominate(b, size), schema).where("pick IS NOT NULL").drop("weight"))
+    picks = chosen.orderBy("pick").collect()  # as many as asked for
+    return chosen.join(_gains(every, picks), "pick").select("pick", "id", "kind", "dims", F.round("gain", 6).alias("gain"))

@@ -123,6 +123,23 @@ def test_subset_covers_small_groups(spark):
     assert subset.varied_subset(m.where("id IN ('0001', '0002')"), size=5).count() == 2
 
 
+def test_subset_counts_all_records(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6)).astype("f4")
+    x[:400] = [1, 0, 0, 0, 0, 0] + rng.normal(size=(400, 6)) * 0.1
+    rows = [{"id": f"{i:04d}", "embedding": v.tolist(), "kind": "fact" if i % 3 else "episodic"} for i, v in enumerate(x)]
+    monkeypatch.setattr(subset, "DENSITY_ROWS", 250, raising=False)
+    got = subset.varied_subset(memories(spark, rows), size=6, block_rows=60).orderBy("pick").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s, kinds = u @ u.T, np.array([r["kind"] for r in rows])
+    cover = np.clip(s, 0, 1) * np.where(kinds[:, None] == kinds, 1, subset.OTHER_KIND)
+    weight, picks = 1 / (s >= subset.ALIKE).sum(axis=1), [int(r["id"]) for r in got]
+    reached = np.cumsum([r["gain"] for r in got])
+    assert np.allclose(reached, [weight @ cover[:, picks[: i + 1]].max(axis=1) for i in range(6)], rtol=2e-3)
+    best = sum(g for _, g in subset.lazy_greedy(cover.astype("f4"), weight.astype("f4"), 6))
+    assert reached[-1] > 0.8 * best
+
+
 def test_bins():
     rng = np.random.default_rng(7)
     for _ in range(20):
