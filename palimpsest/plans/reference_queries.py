@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -76,6 +76,48 @@ def vec_distance_to(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", *[(F.round(distance(m, F.col("vec"), q), 6) + F.lit(0.0)).alias(m) for m in METRICS])
 
 
+def _searched(vectors: DataFrame, all_vectors: DataFrame, metric: str, k: int = K) -> DataFrame:
+    """Every row of ``all_vectors`` whose id is divisible by 100 as a query against ``vectors``."""
+    q = all_vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.lit(k).alias("k"))
+    return knn.batch_nearest(q, vectors.select("id", "vec"), metric)
+
+
+def _batch_filtered(where):
+    def query(spark: SparkSession, root: str) -> DataFrame:
+        v = _vectors(spark, root)
+        return _edge(_searched(v.where(where.column(F.col("metadata"))), v, "l2"))
+
+    return query
+
+
+def vec_batch_distance_to(spark: SparkSession, root: str) -> DataFrame:
+    v = _vectors(spark, root).select("id", "vec")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("q"))
+    return q.crossJoin(v).select("qid", "id", *[(F.round(distance(m, F.col("vec"), F.col("q")), 6) + F.lit(0.0)).alias(m) for m in METRICS])
+
+
+def vec_batch_union_delta_sealed(spark: SparkSession, root: str) -> DataFrame:
+    v = _vectors(spark, root)
+    delta, sealed = v.where("id % 5 = 0"), v.where("id % 5 <> 0")
+    return _edge(_searched(delta.unionByName(sealed), v, "dot"))
+
+
+def vec_batch_anti_tombstone(spark: SparkSession, root: str) -> DataFrame:
+    v = _vectors(spark, root).select("id", "vec")
+    both = v.unionByName(v.select("id", F.transform("vec", lambda x: -x).alias("vec")))
+    live = both.join(v.where("id % 3 = 0").select("id"), "id", "left_anti")
+    # an id has two vectors, so the nearest 2 * K vectors hold the nearest K ids
+    near = _searched(live, v, "cosine", 2 * K).groupBy("qid", "id").agg(F.min("dist").alias("dist"))
+    best = Window.partitionBy("qid").orderBy("dist", "id")
+    return _edge(near.withColumn("rank", F.row_number().over(best)).where(f"rank <= {K}"))
+
+
+def vec_batch_semi_filter(spark: SparkSession, root: str) -> DataFrame:
+    v = _vectors(spark, root)
+    allowed = v.where("array_contains(metadata['parity'], 'even')").select("id")
+    return _edge(_searched(v.join(allowed, "id", "left_semi"), v, "cosine"))
+
+
 def vec_selectivity(spark: SparkSession, root: str) -> DataFrame:
     return filters.selectivity(_vectors(spark, root), FILTERS["and"]).withColumn("selectivity", F.round("selectivity", 9))
 
@@ -292,9 +334,11 @@ QUERIES = {
     "vec_batch_knn_l2": _batch("l2"),
     "vec_batch_knn_dot": _batch("dot"),
     **{f"vec_filter_{n}": _filtered(f) for n, f in FILTERS.items()},
+    **{f"vec_batch_filter_{n}": _batch_filtered(f) for n, f in FILTERS.items()},
     **{
         f.__name__: f
         for f in (
+            vec_batch_distance_to, vec_batch_union_delta_sealed, vec_batch_anti_tombstone, vec_batch_semi_filter,
             vec_distance_to, vec_selectivity, vec_union_delta_sealed, vec_anti_tombstone, vec_semi_filter, vec_sizes, vec_recall_at_k,
             set_union_ids, set_intersect_ids, set_except_ids,
             mem_current_view, scope_lookup, scope_agent_lookup, rebuild_active, mem_not_expired, mem_purgeable, mem_vacuum_batch, mem_after_vacuum,

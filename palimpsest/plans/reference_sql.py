@@ -33,6 +33,14 @@ SELECT qid, id, round(dist, 6) + 0.0 AS dist, (row_number() OVER (PARTITION BY q
 QUALIFY rank <= 10"""
 
 
+def _batch_of(m: str, where: str = "true", source: str = "v") -> str:
+    return f"""
+WITH {_V}, d AS (
+  SELECT a.id AS qid, v.id, min(round({_metric(m, 'v.vec', 'a.vec')}, 9)) AS dist FROM v a, (SELECT * FROM {source} WHERE {where}) v WHERE a.id % 100 = 0 GROUP BY a.id, v.id)
+SELECT qid, id, round(dist, 6) + 0.0 AS dist, (row_number() OVER (PARTITION BY qid ORDER BY d.dist, id))::INT AS rank FROM d
+QUALIFY rank <= 10"""
+
+
 _STATUS = "CASE WHEN lower(trim(status)) IN ('pending', 'active', 'deleted', 'expired') THEN lower(trim(status)) ELSE 'pending' END"
 _KIND = "CASE WHEN lower(trim(kind)) IN ('episodic', 'fact', 'preference', 'instruction', 'context') THEN lower(trim(kind)) ELSE 'episodic' END"
 _M = f"""
@@ -131,6 +139,18 @@ SQL: dict[str, str] = {
     "vec_filter_or": _topk("l2", "has AND (label = '2' OR parity = 'odd')"),
     "vec_filter_not": _topk("l2", "has AND NOT parity = 'odd'"),
     "vec_filter_empty_and": _topk("l2", "false"),
+    "vec_batch_filter_eq": _batch_of("l2", "has AND label = '3'"),
+    "vec_batch_filter_in": _batch_of("l2", "has AND label IN ('1', '3', '5')"),
+    "vec_batch_filter_and": _batch_of("l2", "has AND parity = 'odd' AND label IN ('3', '4', '5')"),
+    "vec_batch_filter_or": _batch_of("l2", "has AND (label = '2' OR parity = 'odd')"),
+    "vec_batch_filter_not": _batch_of("l2", "has AND NOT parity = 'odd'"),
+    "vec_batch_filter_empty_and": _batch_of("l2", "false"),
+    "vec_batch_union_delta_sealed": _batch_of("dot", source="(SELECT * FROM v WHERE id % 5 = 0 UNION ALL SELECT * FROM v WHERE id % 5 <> 0)"),
+    "vec_batch_anti_tombstone": _batch_of("cosine", "id % 3 <> 0", "(SELECT id, vec FROM v UNION ALL SELECT id, list_transform(vec, lambda x: -x) FROM v)"),
+    "vec_batch_semi_filter": _batch_of("cosine", "has AND parity = 'even'"),
+    "vec_batch_distance_to": f"""
+WITH {_V} SELECT a.id AS qid, v.id, round({_metric('l2', 'v.vec', 'a.vec')}, 6) + 0.0 AS l2, round({_metric('cosine', 'v.vec', 'a.vec')}, 6) + 0.0 AS cosine,
+  round({_metric('dot', 'v.vec', 'a.vec')}, 6) + 0.0 AS dot FROM v a, v WHERE a.id % 100 = 0""",
     "vec_distance_to": f"""
 WITH {_V} SELECT id, round({_metric('l2', 'vec', 'qv')}, 6) + 0.0 AS l2, round({_metric('cosine', 'vec', 'qv')}, 6) + 0.0 AS cosine, round({_metric('dot', 'vec', 'qv')}, 6) + 0.0 AS dot
 FROM v, q WHERE id = 7""",

@@ -143,3 +143,20 @@ def test_synthetic_vectors(spark):
     a, b = uniform_vectors(spark, 50, 4).collect(), uniform_vectors(spark, 50, 4).repartition(3).orderBy("id").collect()
     assert a == b and all(len(r["vec"]) == 4 and all(0 <= x < 1 for x in r["vec"]) for r in a)
     assert len({tuple(r["vec"]) for r in a}) == 50
+
+
+def test_batch_searches_equal_sql_for_all_queries(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans import reference_queries, reference_sql
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).astype("f4").tolist(), i % 6) for i in range(1, 401)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        for name in [f"filter_{f}" for f in reference_queries.FILTERS] + ["distance_to", "union_delta_sealed", "anti_tombstone", "semi_filter"]:
+            got = reference_queries.QUERIES[f"vec_batch_{name}"](spark, str(tmp_path)).collect()
+            want = db.execute(reference_sql.SQL[f"vec_batch_{name}"]).fetchall()
+            assert len(got) == len(want) == {"filter_empty_and": 0, "distance_to": 1600}.get(name, 40), name
+            assert np.allclose(sorted(map(tuple, got)), sorted(want), atol=2e-6), name
