@@ -150,7 +150,7 @@ _HINTS = {
     ),
     "scripts": ("script", "skript", "js", "скрипт", "сценари"),
 }
-_LATIN_HINTS = ("ipsum", "commodo", "fugiat", "pariatur", "cillum", "veniam", "eiusmod", "nostrud", "labor", "adipiscing", "aliqua", "consectetur", "incididunt", "ullamco", "tempor", "deserunt")
+_LATIN_WORDS = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(LATIN_FILLER))})(?![^\W\d_])")
 _AGAIN = re.compile(r"\b([^\W\d_]{3,})(?:\s+\1\b){2,}")
 
 
@@ -216,7 +216,7 @@ def residue(text: str | None) -> tuple[bool, bool, bool, bool]:
     maybe = {k: any(h in low for h in hints) for k, hints in _HINTS.items()}
     return (
         maybe["placeholder"] and _placeholders(text) > 0,
-        bool(maybe["filler"] and _FILLER.search(text)) or bool(_AGAIN.search(low)) or (any(h in low for h in _LATIN_HINTS) and _latin(low)),
+        bool(maybe["filler"] and _FILLER.search(text)) or bool(_AGAIN.search(low)) or (len(_LATIN_WORDS.findall(low)) >= 5 and _latin(low)),
         bool(maybe["error"] and _ERROR.search(text)),
         bool(maybe["scripts"] and _SCRIPTS.search(text)),
     )

@@ -136,6 +136,11 @@ def test_residue(text, want):
     assert any(residue.residue(text)) is want
 
 
+@pytest.mark.parametrize("text", ["Duis aute irure dolor in reprehenderit in voluptate velit esse", "Excepteur sint occaecat cupidatat non proident"])
+def test_latin_filler_without_hints(text):
+    assert residue.residue(f"Our office. {text}.")[1]
+
+
 def test_residue_frames(spark):
     d = documents(spark, [(1, "404 Not Found"), (1, "404 Not Found"), (2, "fine"), (3, None), (None, "404 Not Found"), (None, "fine"), (4, "fine. " * 50 + "Dear {{ name }}")])
     assert sorted(r["doc_id"] for r in residue.residue_documents(d).collect()) == [1, 4]
