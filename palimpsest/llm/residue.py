@@ -1,8 +1,8 @@
 """Template residue and error-page text.
 
 Detects, in whole texts: unfilled placeholders (a grammar per delimiter), filler text, error
-messages of sites and programs, and notices that scripts must be allowed. Code blocks are taken
-out first. A placeholder in a sentence that explains template syntax is a tutorial, unless the
+messages of sites and programs, and notices that scripts must be allowed. For
+placeholders, code blocks that are closed are taken out first. A placeholder in a sentence that explains template syntax is a tutorial, unless the
 sentence carries more placeholders than an example would; words that merely name such things
 (an error found in a ledger, a course on scripting, prices in [brackets], a set {1, 2, 3}) match
 none of the grammars.
@@ -83,7 +83,8 @@ _PLACEHOLDERS = re.compile(
 )
 _BRACKETED = re.compile(rf"\[\s*({_ID}(?: {_ID}){{0,2}})\s*\](?!\()|(?<![<\w])<\s*({_ID})\s*>(?!>)")
 _GREETING = re.compile(r"(?:dear|hello|hi|regards|sincerely|sehr geehrte/?r?|mit gru(?:ß|ss)|bonjour|bien à vous|estimado/?a?|atentamente|здравствуйте|с уважением)\W{0,3}$", re.IGNORECASE)
-_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre|samp|kbd)\b[^>]*>.*?(?:</\1>|\Z)", re.S | re.IGNORECASE)
+_CODE_START = re.compile(r"(```)|`[^`\n]+`|<(code|pre|samp|kbd)\b[^>]*>", re.IGNORECASE)
+_CODE_END = {tag: re.compile(end, re.IGNORECASE) for tag, end in [("```", "```"), *((t, f"</{t}>") for t in ("code", "pre", "samp", "kbd"))]}
 _TUTORIAL = re.compile(
     r"\b(?:syntax|for example|e\.g\.|such as|is written|is called|stands for|template (?:engine|language)|placeholders? (?:like|such|look)|variables? (?:like|such|in)|"
     r"zum Beispiel|z\. ?B\.|Platzhalter wie|par exemple|s'écrit|por ejemplo|se escribe|например)(?!\w)",
@@ -206,16 +207,29 @@ def _latin(text: str) -> bool:
     return False
 
 
+def _without_code(text: str) -> str:
+    """``text`` with a blank for each piece of code; a marker that is never closed is plain text."""
+    out, kept, at, unclosed = [], 0, 0, set()
+    while m := _CODE_START.search(text, at):
+        tag, end = (m[1] or m[2] or "").lower(), m.end()
+        close = _CODE_END[tag].search(text, end) if tag and tag not in unclosed else None
+        at = close.end() if close else end
+        if tag and not close:
+            unclosed.add(tag)
+            continue
+        out.append(text[kept : m.start()])
+        kept = at
+    return " ".join([*out, text[kept:]])
+
+
 def residue(text: str | None) -> tuple[bool, bool, bool, bool]:
     """Whether ``text`` holds a placeholder, filler, an error message, a script notice."""
     if text is None or not text.strip():
         return False, False, False, False
-    if "`" in text or "<" in text:
-        text = _CODE.sub(" ", text)
     low = text.lower()
     maybe = {k: any(h in low for h in hints) for k, hints in _HINTS.items()}
     return (
-        maybe["placeholder"] and _placeholders(text) > 0,
+        maybe["placeholder"] and _placeholders(_without_code(text)) > 0,
         bool(maybe["filler"] and _FILLER.search(text)) or bool(_AGAIN.search(low)) or (len(_LATIN_WORDS.findall(low)) >= 5 and _latin(low)),
         bool(maybe["error"] and _ERROR.search(text)),
         bool(maybe["scripts"] and _SCRIPTS.search(text)),

@@ -141,6 +141,13 @@ def test_latin_filler_without_hints(text):
     assert residue.residue(f"Our office. {text}.")[1]
 
 
+def test_residue_around_code():
+    assert residue.residue("``` Dear {{first_name}}, welcome")[0] and residue.residue("<code> Dear {{first_name}}")[0]
+    assert residue.residue("```a``` Dear {{first_name}} ```b")[0] and not residue.residue("```Dear {{first_name}}``` and `{{x}}` <pre>{{y}}</pre>")[0]
+    assert residue.residue("<pre>404 Not Found</pre>")[2] and residue.residue("``` lorem ipsum dolor")[1]
+    assert residue.residue("<samp>Please enable JavaScript</samp>")[3]
+
+
 def test_residue_frames(spark):
     d = documents(spark, [(1, "404 Not Found"), (1, "404 Not Found"), (2, "fine"), (3, None), (None, "404 Not Found"), (None, "fine"), (4, "fine. " * 50 + "Dear {{ name }}")])
     assert sorted(r["doc_id"] for r in residue.residue_documents(d).collect()) == [1, 4]
