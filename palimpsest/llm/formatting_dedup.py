@@ -180,8 +180,9 @@ def collapse(memories: DataFrame) -> DataFrame:
 
     def emit(b: pd.DataFrame) -> pd.DataFrame:
         g = b.assign(n_ids=(~b["repeated"]).astype("int64"), n_rows=1, run=b["starts"].cumsum()).groupby("run", sort=False)
-        return g.agg({"tenant_id": lambda s: s.iloc[0], "namespace": lambda s: s.iloc[0], "first_id": "first", "n_ids": "sum", "n_rows": "sum"})
+        return g.agg({"tenant_id": lambda s: s.iloc[0], "namespace": lambda s: s.iloc[0], "kh": lambda s: s.iloc[0], "first_id": "first", "n_ids": "sum", "n_rows": "sum"})
 
-    parts = _scan(placed, carry, emit, "tenant_id string, namespace string, first_id string, n_ids bigint, n_rows bigint")
-    # an id may stand for several groups (its content differs between rows), so runs are told apart by position
-    return parts.groupBy("tenant_id", "namespace", "first_id").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_rows").alias("n_rows"))
+    hashed = placed.withColumn("kh", key_hash(["tenant_id", "namespace", "canon"]))
+    parts = _scan(hashed, carry, emit, "tenant_id string, namespace string, kh string, first_id string, n_ids bigint, n_rows bigint")
+    # an id may stand for several groups (its content differs between rows), so groups are told apart by their key
+    return parts.groupBy("tenant_id", "namespace", "kh", "first_id").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_rows").alias("n_rows")).drop("kh")

@@ -116,6 +116,11 @@ def test_formatting_copies(spark, partitions):
     assert formatting_dedup.formatting_copies(m.limit(0)).count() == 0
 
 
+def test_collapse_keeps_groups_of_one_id_apart(spark):
+    m = memories(spark, [{"id": i, "content": c} for i, c in [("a", "first text"), ("a", "second text"), ("b", "first text"), ("c", "second text"), ("d", "second text")]])
+    assert sorted((r["first_id"], r["n_ids"], r["n_rows"]) for r in formatting_dedup.collapse(m).collect()) == [("a", 2, 2), ("a", 3, 3)]
+
+
 HIT = [
     "Dear {{ name }}, hello", "Regards, ${user.email}", "arrives on #{date}.", "<%= order.total %> now", "{% city %} x", "see [[TITLE]] there", "@@due_date@@", "__first_name__ came", "%first_name% came",
     "$имя$ came", "Dear [TITLE], hi", "Dear [ ], hi", "[insert city here] came", "[TBD]", "Your &lt;company&gt; came", "Dear <recipient>, hi", "{0} came", "%1$s came", "XXXX came", "the ________ came", "[object Object] came",
