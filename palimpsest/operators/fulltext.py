@@ -34,15 +34,15 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def search(queries: DataFrame, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most 300.
+def search(queries: DataFrame, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, most: int = MOST_HITS) -> DataFrame:
+    """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most ``most``.
 
     ``keep`` filters the hits (``qid, id, k, bm25``) before they are ranked and cut.
     """
     spark = docs.sparkSession
     post = cut(postings(docs))  # the index, read for the statistics and for the matches
     asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").select(
-        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(MOST_HITS)).alias("k"), F.explode(query_terms(F.col("text"))).alias("term")
+        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).alias("k"), F.explode(query_terms(F.col("text"))).alias("term")
     )
     asked = asked.groupBy("qid", "tenant_id", "namespace", "k", "term").agg(F.count("*").alias("w"))
     hits = spark.sql(
@@ -63,6 +63,6 @@ def search(queries: DataFrame, docs: DataFrame, keep: Callable[[DataFrame], Data
         f"""
         SELECT qid, id, bm25, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM {{hits}})
-        WHERE rank <= {MOST_HITS} AND rank <= k""",
+        WHERE rank <= {most} AND rank <= k""",
         hits=keep(hits) if keep else hits,
     )

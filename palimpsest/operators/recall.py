@@ -29,7 +29,6 @@ from .records import latest, live
 
 MAX_RECALL_LIMIT = 100
 _SCORED = ["qid", "id", "score", "rrf", "top", "mmr_lambda", "embedding", "embedding_dims"]
-MOST_CANDIDATES = 2 * 3 * MAX_RECALL_LIMIT
 _FIELDS = ["tenant_id", "namespace", "agent_id", "user_id", "kind", "content", "embedding", "embedding_dims", "importance", "created_at_ms", "access_count", "expires_at_ms", "status", "metadata_json"]
 
 
@@ -49,7 +48,7 @@ def invalid_requests(requests: DataFrame, dims: int | None = None) -> DataFrame:
     return requests.select("request_id", _reason(dims).alias("reason")).where("reason IS NOT NULL")
 
 
-def valid_requests(requests: DataFrame, dims: int | None = None) -> DataFrame:
+def valid_requests(requests: DataFrame, dims: int | None = None, most: int = MAX_RECALL_LIMIT) -> DataFrame:
     ok = requests.where(_reason(dims).isNull())
     return ok.select(
         F.col("request_id").alias("qid"),
@@ -60,7 +59,7 @@ def valid_requests(requests: DataFrame, dims: int | None = None) -> DataFrame:
         F.col("query_embedding").alias("vec"),
         F.col("query_text").alias("text"),
         F.col("max_items").cast("int").alias("top"),
-        (F.least(F.col("max_items"), F.lit(MAX_RECALL_LIMIT)) * 3).cast("int").alias("k"),
+        (F.least(F.col("max_items"), F.lit(most)) * 3).cast("int").alias("k"),
         F.col("kinds").alias("q_kinds"),
         F.col("min_importance").alias("q_min"),
         S.json_entries("metadata_eq_json").alias("q_meta"),
@@ -81,7 +80,7 @@ def _has_metadata():
     return ~F.col("q_has_meta") | (F.col("q_meta").isNotNull() & (~asks | (F.coalesce(F.size(F.array_except("q_meta", "meta")), F.lit(1)) == 0)))
 
 
-def candidates(requests: DataFrame, records: DataFrame) -> DataFrame:
+def candidates(requests: DataFrame, records: DataFrame, most: int = MAX_RECALL_LIMIT) -> DataFrame:
     """``qid, id, vrank, dist, trank, rrf``: both candidate lists of the valid requests over ``prepared`` records, fused."""
     active = records.where("status = 'active'")
     vectors = active.where("size(embedding) = embedding_dims").select("id", "tenant_id", "namespace", F.col("embedding").alias("vec"))
@@ -95,7 +94,7 @@ def candidates(requests: DataFrame, records: DataFrame) -> DataFrame:
         return c.where(_has_metadata()).select(hits.columns)
 
     # metadata is asked for before the cut; kinds, importance and expiry come after it, as does everything in the dense branch
-    text = fulltext.search(requests.select("qid", "tenant_id", "namespace", "text", "k"), docs, asked_metadata)
+    text = fulltext.search(requests.select("qid", "tenant_id", "namespace", "text", "k"), docs, asked_metadata, 3 * most)
     return fuse(dense.select("qid", "id", F.col("rank").alias("vrank"), "dist"), text.select("qid", "id", F.col("rank").alias("trank")))
 
 
@@ -134,10 +133,10 @@ def scored(requests: DataFrame, records: DataFrame, pool: DataFrame, by_agent: b
     return c.withColumn("notes", notes)
 
 
-def top(scores: DataFrame) -> DataFrame:
+def top(scores: DataFrame, most: int = MAX_RECALL_LIMIT) -> DataFrame:
     """Each request's best by score, with ``position``; the literal bound lets Spark cut before the shuffle."""
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("rrf").desc(), "id")
-    return scores.withColumn("position", F.row_number().over(best)).where(f"position <= {MOST_CANDIDATES}").where("position <= top")
+    return scores.withColumn("position", F.row_number().over(best)).where(f"position <= {2 * 3 * most}").where("position <= top")
 
 
 def _diversify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,17 +165,17 @@ def diversified(scores: DataFrame) -> DataFrame:
     """``qid, id, score, mmr, position``: maximal marginal relevance of the requests that have a lambda.
 
     Greedy: lambda times score less (1 - lambda) times the greatest similarity (at least 0) to what
-    was taken; of equal values the earlier in fused order wins. A group has at most 600 rows.
+    was taken; of equal values the earlier in fused order wins. A group has at most six times the greatest limit of rows.
     """
     rows = scores.where("mmr_lambda IS NOT NULL").select("qid", "id", "score", "rrf", "top", "mmr_lambda", F.when(F.size("embedding") == F.col("embedding_dims"), F.col("embedding")).alias("embedding"))
     return rows.groupBy("qid").applyInPandas(_diversify, "qid string, id string, score double, mmr double, position int")
 
 
-def recall(requests: DataFrame, memories: DataFrame, dims: int | None = None) -> DataFrame:
+def recall(requests: DataFrame, memories: DataFrame, dims: int | None = None, most: int = MAX_RECALL_LIMIT) -> DataFrame:
     """``qid, id, content, kind, score, position, returned``: requests with a lambda diversified, the others by score."""
-    valid, records = valid_requests(requests, dims), prepared(memories)
-    scores = cut(scored(valid, records, candidates(valid, records)).select(*_SCORED))
-    plain = top(scores.where("mmr_lambda IS NULL")).select("qid", "id", "score", "position")
+    valid, records = valid_requests(requests, dims, most), prepared(memories)
+    scores = cut(scored(valid, records, candidates(valid, records, most)).select(*_SCORED))
+    plain = top(scores.where("mmr_lambda IS NULL"), most).select("qid", "id", "score", "position")
     both = plain.unionByName(diversified(scores).select("qid", "id", "score", "position"))
     texts = records.select("id", "kind", "content")
     whole = Window.partitionBy("qid")  # at most a request's limit of rows

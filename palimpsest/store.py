@@ -362,7 +362,7 @@ class MemoryStore:
 
     def recall_batch(self, requests: DataFrame) -> DataFrame:
         """Any number of requests in one plan (see ``operators.recall``)."""
-        return recall.recall(requests, self.records(), self.dims)
+        return recall.recall(requests, self.records(), self.dims, self.max_recall_limit)
 
     def format_context(self, tenant_id: str, namespace: str, query_embedding: Any, query_text: str | None = None, max_tokens: int = 1500, limit: int = 10,
                        template: str | None = None, header: str | None = None, footer: str | None = None, filter_metadata: dict | None = None) -> str:

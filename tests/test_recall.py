@@ -85,6 +85,16 @@ def test_metadata_before_the_text_cut(spark):
     assert [k for k in sorted(got) if k[0] in ("q0", "q1")] == [("q0", "b0"), ("q1", "b1")] and "fts5_lexical_candidate" in got["q0", "b0"]
 
 
+def test_store_passes_its_recall_limit(spark, tmp_path, monkeypatch):
+    from palimpsest.store import MemoryStore
+
+    rows = [{"id": f"{i:03d}", "content": "word", "embedding": [1.0, i / 400, 0.0]} for i in range(400)]
+    q = requests(spark, [{"query_text": "word", "max_items": 380}])
+    store = MemoryStore(spark, str(tmp_path / "s"), 3, "m", max_recall_limit=200)
+    monkeypatch.setattr(store, "records", lambda: memories(spark, rows))
+    assert store.recall_batch(q).count() == 380
+
+
 def test_invalid_requests_and_empty_tables(spark):
     q = requests(spark, [{}, {"tenant_id": " "}, {"namespace": None}, {"max_items": 0}, {"query_embedding": [1.0]}, {"mmr_lambda": 2.0}, {"request_id": None}, {"query_embedding": None}])
     bad = {r["request_id"]: r["reason"] for r in recall.invalid_requests(q, 3).collect()}
