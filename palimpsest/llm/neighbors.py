@@ -1,15 +1,20 @@
 """The most similar vectors for every vector: a hierarchical k-means tree, best bin first.
 
 Per dimension a tree of spherical k-means nodes is fitted on a bounded sample (``SAMPLE`` vectors);
-every row is indexed in its leaf. A query visits leaves in the order of a priority queue over the
-tree's nodes. How far it goes is calibrated: for a bounded set of queries the true neighbours are
-found by brute force over all rows, and the visits are widened (number of leaves, and how much
-less similar than the best bin a leaf may be) until the recall asked for is reached.
-
-Only routed vectors are shuffled, once per visited leaf; a leaf compares blocks by matrix product.
-A pair is seen if either of the two visits the other's leaf. Rows with the same vector are one
+every row is indexed in its leaf. Where the table is too large for the sample to give leaves of
+``LEAF_ROWS``, the tree goes on below its nodes with codebooks of residuals that all nodes share,
+one level after the other, so that leaves grow in number and not in size. A query visits leaves in
+the order of a priority queue over the tree's nodes. How far it goes is calibrated: for a bounded
+set of queries the true neighbours are found by brute force over all rows, and the visits are
+widened (number of leaves, and how much less similar than the best bin a leaf may be) until the
+recall asked for is reached.
+
+Neighbouring leaves make a shard, and a vector is shuffled once per shard with the leaves it
+visits there, however many they are; within a shard a leaf is a few matrix products. A pair is seen
+if either of the two visits the other's leaf. Shards that the sample shows to hold too many rows, or
+to get too many visitors, are cut into parts on both sides. Rows with the same vector are one
 query and at most ``K + 1`` index entries (more copies can't be among anyone's nearest K), so a
-group of copies of any size costs a row per batch. Leaves that can't be split are cut into blocks.
+group of copies of any size costs a row per batch.
 
 Defined results: rows with a null id, and vectors that are null, not of ``embedding_dims``
 elements, not finite, or all zero, take part in nothing; several rows of one id with one vector
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,32 +35,47 @@ from pyspark.sql import functions as F
 
 K = 5
 MIN_SIMILARITY = 0.85
-SAMPLE = 65_536  #: vectors a tree is fitted on, at most, per dimension
+SAMPLE = 32_768  #: vectors a tree is fitted on, at most, per dimension
 QUERIES = 512  #: queries the visits are calibrated with, at most, per dimension
-LEAF_ROWS = 2_500
-MAX_LEAVES = 4_096
-BLOCK_ROWS = 8_192
+HELD_OUT = 256  #: further queries, at most, that recall is measured on
+LEAF_ROWS = 512
+LEAF_SAMPLE = 8  #: vectors of the sample in a leaf, about, at least
+SHARD_ROWS = 12_288
+PART_ROWS = 32_768  #: rows, and visitors, of a shard in one task, about, at most
 FANOUT = 16
+CODES = 256  #: residuals of a level below the sampled tree, at most
 RECALL = 0.997
 WIDEST = 64  #: leaves a calibration looks at first
+BEAM = 32  #: nodes looked at on each level below the sampled tree
 SALTS = 16
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 @dataclass
 class Tree:
-    """Nodes in breadth-first order; node 0 is the root."""
+    """Nodes in breadth-first order; node 0 is the root. A leaf is numbered (node's number, codes below it)."""
 
     centroids: np.ndarray
     children: list[list[int]]
-    leaf: list[int]  #: number of the leaf, or -1
-    blocks: list[int]  #: blocks of each leaf
+    leaf: list[int]  #: number of the sampled leaf, or -1
+    at: list[int] = field(default_factory=list)  #: node of each sampled leaf
+    codes: list[np.ndarray] = field(default_factory=list)  #: residuals, per level below
+    shard_of: list[int] = field(default_factory=list)  #: shard of each sampled leaf
+    shard_leaves: int = 1  #: leaves of a shard, if there are levels below
+    parts: dict[int, tuple[int, int]] = field(default_factory=dict)  #: (blocks of rows, blocks of visitors) of shards with more than one
     visits: int = 1
     slack: float = 2.0
 
+    @property
+    def below(self) -> int:
+        return int(np.prod([len(c) for c in self.codes], dtype=np.int64))
+
     @property
     def leaves(self) -> int:
-        return len(self.blocks)
+        return len(self.at) * self.below
+
+    def shards(self, leaf: np.ndarray) -> np.ndarray:
+        return leaf // self.shard_leaves if self.codes else np.array(self.shard_of, np.int64)[leaf]
 
 
 def unit(x: np.ndarray, dtype: type = np.float32) -> np.ndarray:
@@ -85,30 +105,45 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return labels
 
 
+def _residuals(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and labels of a k-means of residuals."""
+    c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
+    labels = np.zeros(len(x), dtype=np.int64)
+    for _ in range(rounds):
+        labels = np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
+        n = np.bincount(labels, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, labels, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c, labels
+
+
 def fit(x: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS, seed: int = 7) -> Tree:
     """A tree on unit vectors ``x``, a sample of ``rows`` rows."""
     rng = np.random.default_rng(seed)
     scale = rows / max(len(x), 1)
-    leaf_rows = max(leaf_rows, rows / MAX_LEAVES, 8 * scale)
+    smallest = max(leaf_rows, LEAF_SAMPLE * scale)
 
     def centre(part: np.ndarray) -> np.ndarray:
         c = x[part].sum(axis=0)
         n = np.linalg.norm(c)
         return c / n if n > 0 else x[part[0]]
 
-    tree = Tree(np.zeros((0, x.shape[1]), np.float32), [], [], [])
+    tree = Tree(np.zeros((0, x.shape[1]), np.float32), [], [])
     centroids: list[np.ndarray] = []
+    sizes: list[float] = []
+    home = np.zeros(len(x), np.int64)
     queue = [(np.arange(len(x)), -1)]
     while queue:
         part, parent = queue.pop(0)
         node = len(centroids)
         centroids.append(centre(part))
+        sizes.append(len(part) * scale)
         tree.children.append([])
         tree.leaf.append(-1)
         if parent >= 0:
             tree.children[parent].append(node)
-        size = len(part) * scale
-        k = int(min(FANOUT, np.ceil(size / leaf_rows)))
+        k = int(min(FANOUT, np.ceil(sizes[node] / smallest)))
         groups = []
         if k > 1:
             labels = _kmeans(x[part], k, rng)
@@ -116,28 +151,68 @@ def fit(x: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS, seed: int = 7) ->
         if len(groups) > 1:
             queue += [(g, node) for g in groups]
         else:
-            tree.leaf[node] = tree.leaves
-            tree.blocks.append(max(1, int(np.ceil(size / BLOCK_ROWS))))
+            tree.leaf[node] = len(tree.at)
+            home[part] = len(tree.at)
+            tree.at.append(node)
     tree.centroids = np.stack(centroids).astype(np.float32)
+    rest = x - tree.centroids[np.array(tree.at)][home]
+    while rows / tree.leaves > 1.5 * leaf_rows and np.abs(rest).max() > 1e-6:
+        codes, labels = _residuals(rest, int(min(CODES, np.ceil(rows / tree.leaves / leaf_rows))), rng)
+        tree.codes.append(codes.astype(np.float32))
+        rest = rest - codes[labels]
+    _shard(tree, sizes, rows)
     return tree
 
 
+def _shard(tree: Tree, sizes: list[float], rows: int) -> None:
+    """Pack neighbouring leaves into shards, in the order of the tree."""
+    tree.shard_leaves = max(1, int(SHARD_ROWS * tree.leaves / max(rows, 1)))
+    tree.shard_of = [0] * len(tree.at)
+    order, stack = [], [0]
+    while stack:
+        node = stack.pop()
+        order += [node] if tree.leaf[node] >= 0 else []
+        stack += reversed(tree.children[node])
+    shard, held = 0, 0.0
+    for node in order:
+        if held and held + sizes[node] > SHARD_ROWS:
+            shard, held = shard + 1, 0.0
+        held += sizes[node]
+        tree.shard_of[tree.leaf[node]] = shard
+
+
+def _spread(tree: Tree, x: np.ndarray, rows: int) -> None:
+    """Cut shards that hold too much, as far as the sample ``x`` of ``rows`` rows shows."""
+    own: dict[int, int] = {}
+    came: dict[int, int] = {}
+    for lo in range(0, len(x), 2048):
+        r, leaf, _ = route(tree, x[lo : lo + 2048], tree.visits, tree.slack)
+        shard = tree.shards(leaf)
+        first = np.diff(r, prepend=-1) != 0
+        pairs = np.unique(np.stack([r, shard]), axis=1)
+        for counts, at in ((own, shard[first]), (came, pairs[1])):
+            for s, n in zip(*np.unique(at, return_counts=True)):
+                counts[int(s)] = counts.get(int(s), 0) + int(n)
+    scale = rows / max(len(x), 1) / PART_ROWS
+    cut = {s: (max(1, int(np.ceil(own.get(s, 0) * scale))), max(1, int(np.ceil((n - own.get(s, 0)) * scale)))) for s, n in came.items()}
+    tree.parts = {s: p for s, p in cut.items() if p != (1, 1)}
+
+
 def route(tree: Tree, x: np.ndarray, visits: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-bin-first visits of unit vectors: (row, leaf, gap), own leaf first; all rows advance together.
+    """Best-bin-first visits of unit vectors: (row, leaf, gap), by row, own leaf first; all rows advance together.
 
     The frontier is each row's priority queue of unopened nodes; a round pops every row's best one.
     ``gap`` is how much less similar the leaf is than the row's first leaf.
     """
     n, nodes = len(x), len(tree.leaf)
-    if tree.leaves == 1:
-        return np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.float32)
+    pops = max(visits, BEAM) if tree.codes else visits
     leaf = np.array(tree.leaf)
     frontier = np.full((n, nodes), -np.inf, np.float32)
-    frontier[:, tree.children[0]] = x @ tree.centroids[tree.children[0]].T
+    frontier[:, 0] = 0
     best = np.full(n, -np.inf, np.float32)
     seen = np.zeros(n, np.int64)
     active = np.arange(n)
-    rows, leaves, gaps = [], [], []
+    rows, leaves, keys = [], [], []
     while len(active):
         node = np.argmax(frontier[active], axis=1)
         key = frontier[active, node]
@@ -148,21 +223,62 @@ def route(tree: Tree, x: np.ndarray, visits: int, slack: float) -> tuple[np.ndar
         r, l, s = active[at_leaf], leaf[node[at_leaf]], key[at_leaf]
         first = seen[r] == 0
         best[r[first]] = s[first]
-        gap = best[r] - s
-        near = gap <= slack
+        # a leaf too far off counts as visited: nearer ones may still lie below inner nodes in the queue
+        near = best[r] - s <= (np.inf if tree.codes else slack)
         rows.append(r[near])
         leaves.append(l[near])
-        gaps.append(gap[near])
-        # a leaf too far off counts as visited: nearer ones may still lie below inner nodes in the queue
+        keys.append(s[near])
         seen[r] += 1
         done = np.zeros(n, bool)
-        done[r[seen[r] >= visits]] = True
+        done[r[seen[r] >= pops]] = True
         for inner in np.unique(node[~at_leaf]):
             q = active[~at_leaf][node[~at_leaf] == inner]
             ch = tree.children[inner]
             frontier[np.ix_(q, ch)] = x[q] @ tree.centroids[ch].T
         active = active[~done[active]]
-    return np.concatenate(rows), np.concatenate(leaves), np.concatenate(gaps)
+    r, l, s = (np.concatenate(a) if a else np.zeros(0, t) for a, t in ((rows, np.int64), (leaves, np.int64), (keys, np.float32)))
+    order = np.argsort(r, kind="stable")
+    r, l, s = r[order], l[order], s[order]
+    if tree.codes:
+        return _descend(tree, x, r, l, s, visits, slack)
+    return r, l, best[r] - s
+
+
+def _ranks(r: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its row; ``r`` is sorted."""
+    starts = np.flatnonzero(np.diff(r, prepend=-1))
+    return np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
+
+
+def _descend(tree: Tree, x: np.ndarray, r: np.ndarray, l: np.ndarray, s: np.ndarray, visits: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From sampled leaves down the shared levels: a child's centroid is its parent's plus a residual, scaled to length 1.
+
+    A row's own leaf lies below the best child of its own node on each level, whatever the visits. The
+    others follow by similarity, of ``BEAM`` nodes on each level.
+    """
+    base = tree.centroids[np.array(tree.at)]
+    dot, square = (x[r] * base[l]).sum(axis=1), np.ones(len(r), np.float32)
+    path, number, own = [l], l.astype(np.int64), _ranks(r) == 0
+    for level, codes in enumerate(tree.codes):
+        inner = (base @ codes.T)[path[0]] + sum((tree.codes[i] @ codes.T)[path[i + 1]] for i in range(level))
+        dots = dot[:, None] + (x @ codes.T)[r]
+        squares = np.maximum(square[:, None] + 2 * inner + (codes * codes).sum(axis=1), 1e-6)
+        scores = dots / np.sqrt(squares)
+        width = min(len(codes), max(visits, BEAM))
+        i = np.repeat(np.arange(len(r)), width)
+        j = np.argpartition(-scores, width - 1, axis=1)[:, :width].ravel()
+        home = own[i] & (j == np.argmax(scores, axis=1)[i])
+        order = np.lexsort((-scores[i, j], ~home, r[i]))
+        i, j, own = i[order], j[order], home[order]
+        few = _ranks(r[i]) < max(visits, BEAM)
+        i, j, own = i[few], j[few], own[few]
+        dot, square, s = dots[i, j], squares[i, j], scores[i, j]
+        path, number, r = [*[p[i] for p in path], j], number[i] * len(codes) + j, r[i]
+    best = np.full(len(x), -np.inf, np.float32)
+    best[r[own]] = s[own]
+    gap = best[r] - s
+    near = own | ((gap <= slack) & (_ranks(r) < visits))
+    return r[near], number[near], gap[near]
 
 
 # --- rows of a batch ----------------------------------------------------------------------------
@@ -175,22 +291,22 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
         x = emb.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(d))
         ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
         if ok.any():
-            yield int(d), at[ok], np.ascontiguousarray(x[ok], dtype=np.float32)
+            yield int(d), at[ok], np.ascontiguousarray(x[ok], dtype=np.float32) + np.float32(0)  # -0 is 0
 
 
-def _keys(x: np.ndarray, d: int) -> list[bytes]:
-    x = x + np.float32(0)  # -0 is 0
-    raw, width, salt = x.tobytes(), 4 * d, d.to_bytes(4, "little")
-    return [hashlib.blake2b(raw[i * width : (i + 1) * width], digest_size=16, salt=salt).digest() for i in range(len(x))]
+def _keys(vectors: list[bytes], d: int) -> list[bytes]:
+    salt = d.to_bytes(4, "little")
+    return [hashlib.blake2b(v, digest_size=16, salt=salt).digest() for v in vectors]
 
 
 def _packed(ids: list[str], uuids: bool) -> list[bytes]:
     return [bytes.fromhex(i.replace("-", "")) for i in ids] if uuids else [i.encode() for i in ids]
 
 
-def _groups(keys: list[bytes], ids: list[bytes]) -> dict[bytes, tuple[int, set[bytes]]]:
+def _groups(vectors: list[bytes], ids: list[bytes]) -> dict[bytes, tuple[int, set[bytes]]]:
+    """Per distinct vector its first row and its ids."""
     out: dict[bytes, tuple[int, set[bytes]]] = {}
-    for i, (k, v) in enumerate(zip(keys, ids)):
+    for i, (k, v) in enumerate(zip(vectors, ids)):
         if k in out:
             out[k][1].add(v)
         else:
@@ -205,51 +321,63 @@ def usable(memories: DataFrame) -> DataFrame:
     ).select("id", F.col("embedding_dims").cast("int").alias("dims"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 
-def _sample(rows: DataFrame, count: int, d: int, size: int, seed: int) -> list:
-    """About ``size`` rows of dimension ``d``, picked by a hash of the id; never more than 1.2 times that."""
-    share = 1.0 if count <= size else size / count
-    picked = rows.where(F.col("dims") == d).where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    return picked.limit(int(size * 1.2)).select("id", "embedding").toArrow().sort_by("id")  # in an order that doesn't hang on the tasks
+def _picked(rows: DataFrame, counts: dict[int, int], size: int, seed: int) -> dict[int, tuple[np.ndarray, list[str]]]:
+    """Per dimension about ``size`` vectors and their ids, picked by a hash of the id, an id once; one pass for all dimensions."""
+    size = max(1, min(size, 8 * size // max(len(counts), 1)))  # what the driver holds is bounded also with many dimensions
+    # ids that repeat make fewer picks than rows, never more than the limit
+    share = F.coalesce(*[F.when(F.col("dims") == d, F.lit(min(1_000_000, int(1_000_000 * size / n) + 1))) for d, n in counts.items()])
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < share).groupBy("dims", "id").agg(F.min("embedding").alias("embedding"))
+    table = picked.limit(int(1.2 * size * len(counts))).toArrow().sort_by([("dims", "ascending"), ("id", "ascending")])  # in an order that doesn't hang on the tasks
+    out: dict[int, tuple[np.ndarray, list[str]]] = {}
+    for batch in table.combine_chunks().to_batches():
+        ids = batch.column("id").to_pylist()
+        for d, at, x in _vectors(batch):
+            before = out.get(d, (x[:0], []))
+            out[d] = (np.concatenate([before[0], x]), before[1] + [ids[i] for i in at])
+    return out
 
 
-def _truth(rows: DataFrame, d: int, queries: np.ndarray) -> dict[int, list[np.ndarray]]:
-    """Per query the vectors of its true neighbours, by brute force over all rows in blocks."""
-    sent = rows.sparkSession.sparkContext.broadcast(unit(queries))
+def _truth(rows: DataFrame, queries: dict[int, np.ndarray]) -> dict[int, dict[int, list[tuple[float, bytes]]]]:
+    """Per dimension and query the vectors of its true neighbours, by brute force over all rows in blocks."""
+    sent = rows.sparkSession.sparkContext.broadcast({d: unit(q) for d, q in queries.items()})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
-        best: list[list[tuple[float, bytes]]] = [[] for _ in range(len(q))]
+        best: dict[tuple[int, int], dict[bytes, float]] = {}
         for batch in batches:
-            for dims, _, x in _vectors(batch):
-                if dims != d:
+            for d, _, x in _vectors(batch):
+                if d not in sent.value:
                     continue
-                s = unit(x) @ q.T
+                s = unit(x) @ sent.value[d].T
                 for r, c in zip(*np.nonzero(s >= MIN_SIMILARITY)):
-                    best[c].append((-float(s[r, c]), x[r].tobytes()))
-            best = [sorted(set(b))[: K + 1] for b in best]
-        out = [(c, -s, v) for c, b in enumerate(best) for s, v in b]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.binary())], names=["q", "s", "v"]
-        )
-
-    found = rows.where(F.col("dims") == d).mapInArrow(scan, "q int, s double, v binary")
+                    best.setdefault((d, int(c)), {})[x[r].tobytes()] = float(s[r, c])
+            for at, found in best.items():
+                if len(found) > 4 * K:
+                    best[at] = dict(sorted(found.items(), key=lambda t: (-t[1], t[0]))[: K + 1])
+        out = [(*at, s, v) for at, found in best.items() for v, s in sorted(found.items(), key=lambda t: (-t[1], t[0]))[: K + 1]]
+        columns = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.binary()))], names=["dims", "q", "s", "v"])
+
+    found = rows.mapInArrow(scan, "dims int, q int, s double, v binary")
     # every task sends at most K + 1 rows per query
-    top = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, K + 1).alias("t"))
-    sent_back = {r["q"]: [np.frombuffer(t["v"], np.float32) for t in r["t"]] for r in top.collect()}
+    top = found.groupBy("dims", "q").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, K + 1).alias("t"))
+    out: dict[int, dict[int, list[tuple[float, bytes]]]] = {d: {} for d in queries}
+    for r in top.collect():
+        out[r["dims"]][r["q"]] = [(t["s"], bytes(t["v"])) for t in r["t"]]
     sent.unpersist()
-    return sent_back
+    return out
 
 
-def calibrate(tree: Tree, queries: np.ndarray, truth: dict[int, list[np.ndarray]], target: float = RECALL) -> float:
-    """Set ``tree.visits`` and ``tree.slack`` to the cheapest visits whose recall reaches ``target``; the recall reached."""
-    if tree.leaves == 1 or not truth:
-        tree.visits, tree.slack = 1, 2.0
-        return 1.0
-    pairs = [(q, v) for q, vs in truth.items() for v in vs if not np.array_equal(v, queries[q])]
+def calibrate(tree: Tree, queries: np.ndarray, truth: dict[int, list[tuple[float, bytes]]], target: float = RECALL) -> None:
+    """Set ``tree.visits`` and ``tree.slack`` to the cheapest visits whose recall on ``queries`` reaches ``target``."""
+    tree.visits, tree.slack = 1, 2.0
+    if tree.leaves == 1:
+        return
+    pairs = [(q, v) for q, vs in truth.items() for _, v in vs if v != queries[q].tobytes()]
     if not pairs:
-        tree.visits, tree.slack = 1, 2.0
-        return 1.0
-    asked_u, others_u = unit(queries), unit(np.stack([v for _, v in pairs]))
+        return
+    number = {v: i for i, v in enumerate(dict.fromkeys(v for _, v in pairs))}
+    asked_u = unit(queries)
+    others_u = unit(np.frombuffer(b"".join(number), np.float32).reshape(len(number), -1))
 
     def table(x: np.ndarray, widest: int) -> list[dict[int, tuple[int, float]]]:
         out: list[dict[int, tuple[int, float]]] = [{} for _ in range(len(x))]
@@ -259,54 +387,60 @@ def calibrate(tree: Tree, queries: np.ndarray, truth: dict[int, list[np.ndarray]
         return out
 
     best, never = None, (tree.leaves, np.inf)
-    for widest in sorted({min(WIDEST, tree.leaves), tree.leaves}):  # all leaves only if the first leaves don't do
+    # more leaves are looked at only if the first ones don't do; beyond that what was reached is taken, and told by the held-out queries
+    for widest in sorted({min(w, tree.leaves) for w in (WIDEST, 8 * WIDEST, 4_096)}):
         asked, others = table(asked_u, widest), table(others_u, widest)
-        home = [min(t, key=lambda leaf: t[leaf][0]) for t in asked]
-        homes = [min(t, key=lambda leaf: t[leaf][0]) for t in others]
-        need = [(asked[q].get(homes[i], never), others[i].get(home[q], never)) for i, (q, _) in enumerate(pairs)]
+        home = [next(iter(t)) for t in asked]
+        homes = [next(iter(t)) for t in others]
+        need = [(asked[q].get(homes[number[v]], never), others[number[v]].get(home[q], never)) for q, v in pairs]
         for visits in sorted({v for v in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 2048) if v < widest} | {widest}):
             gaps = sorted(min((g for rank, g in n if rank < visits), default=np.inf) for n in need)
             at = gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))) - 1)]
             if not np.isfinite(at):
+                if best is None:
+                    tree.visits, tree.slack = visits, 4.0
                 continue
             slack = at + 1e-6
             cost = np.mean([sum(rank < visits and g <= slack for rank, g in t.values()) for t in asked])
             if best is None or cost < best[0]:
-                best = (cost, visits, slack, np.mean([g <= slack for g in gaps]))
+                best = (cost, visits, slack)
         if best is not None:
             break
-    tree.visits, tree.slack = best[1], best[2]
-    return float(best[3])
+    if best is not None:
+        tree.visits, tree.slack = best[1], best[2]
 
 
-def index(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float = RECALL) -> tuple[DataFrame, dict[int, Tree], list[tuple]]:
-    """The usable rows, a calibrated tree per dimension, and per dimension (dims, rows, leaves, visits, recall)."""
+@dataclass
+class Index:
+    """The usable rows with a calibrated tree per dimension."""
+
+    rows: DataFrame
+    trees: dict[int, Tree]
+    counts: dict[int, int]
+    uuids: bool
+
+
+def index(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float = RECALL) -> Index:
     rows = usable(memories)
-    trees, report = {}, []
-    for d, n in sorted((r[0], r[1]) for r in rows.groupBy("dims").count().collect()):
-        sample = _sample(rows, n, d, SAMPLE, 1)
-        parts = [x for b in pa.table({"dims": pa.array([d] * sample.num_rows, pa.int32()), "embedding": sample["embedding"]}).to_batches() for _, _, x in _vectors(b)]
-        if not parts:
-            continue
-        tree = fit(unit(np.concatenate(parts)), n, leaf_rows)
-        reached, asked = 1.0, 0
-        if tree.leaves > 1:
-            picked = _sample(rows, n, d, QUERIES, 2)
-            q = [x for b in pa.table({"dims": pa.array([d] * picked.num_rows, pa.int32()), "embedding": picked["embedding"]}).to_batches() for _, _, x in _vectors(b)]
-            if q:
-                queries = np.concatenate(q)
-                asked = len(queries)
-                reached = calibrate(tree, queries, _truth(rows, d, queries), target)
-        trees[d] = tree
-        report.append((d, n, tree.leaves, tree.visits, float(tree.slack), asked, reached))
-    return rows, trees, report
+    told = rows.groupBy("dims").agg(F.count("*").alias("n"), F.max(~F.col("id").rlike(_UUID)).alias("other")).collect()
+    counts = {r["dims"]: r["n"] for r in sorted(told, key=lambda r: r["dims"])}
+    sample = _picked(rows, counts, SAMPLE, 1) if counts else {}
+    trees = {d: fit(unit(x), counts[d], leaf_rows) for d, (x, _) in sample.items()}
+    branched = {d: counts[d] for d, tree in trees.items() if tree.leaves > 1}
+    queries = {d: x for d, (x, _) in _picked(rows, branched, QUERIES, 2).items()} if branched else {}
+    truth = _truth(rows, queries) if queries else {}
+    for d, q in queries.items():
+        calibrate(trees[d], q, truth[d], target)
+        _spread(trees[d], unit(sample[d][0][:8_192]), counts[d])
+    return Index(rows, trees, counts, not any(r["other"] for r in told))
 
 
-_ROUTED = "dims int, leaf int, block int, own boolean, key binary, vec binary, ids array<binary>, n int"
+_ROUTED = "dims int, shard bigint, part int, own boolean, leaves array<bigint>, vec binary, ids array<binary>, n int"
 
 
-def _routed(rows: DataFrame, trees: dict[int, Tree], uuids: bool) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(trees)
+def _routed(ix: Index) -> DataFrame:
+    sent = ix.rows.sparkSession.sparkContext.broadcast(ix.trees)
+    uuids = ix.uuids
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,127 +449,222 @@ def _routed(rows: DataFrame, trees: dict[int, Tree], uuids: bool) -> DataFrame:
                 tree = sent.value.get(d)
                 if tree is None:
                     continue
-                groups = _groups(_keys(x, d), _packed([ids[i] for i in at], uuids))
-                keys = list(groups)
-                x = x[[g[0] for g in groups.values()]]
-                u = unit(x)
-                for lo in range(0, len(x), 2048):
-                    r, leaf, _ = route(tree, u[lo : lo + 2048], tree.visits, tree.slack)
-                    order = np.lexsort((np.arange(len(r)), r))
-                    out = []
-                    last = -1
-                    for i, cell in zip(r[order], leaf[order]):
-                        key = keys[lo + i]
-                        blocks = tree.blocks[cell]
-                        mine = int.from_bytes(key[:4], "little") % blocks
-                        members = groups[key][1]
-                        for b in range(blocks):
-                            own = i != last and b == mine
-                            out.append((d, int(cell), b, own, key, x[lo + i].tobytes(), sorted(members)[: K + 1], len(members)))
-                        last = i
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([o[j] for o in out], t) for j, t in enumerate(_ROUTED_TYPES)], names=["dims", "leaf", "block", "own", "key", "vec", "ids", "n"]
-                    )
-
-    return rows.mapInArrow(scan, _ROUTED)
-
-
-_ROUTED_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int32()]
-_FOUND = "key binary, hot boolean, near array<struct<d:double,id:binary>>"
+                groups = _groups([v.tobytes() for v in x], _packed([ids[i] for i in at], uuids))
+                vectors, members = list(groups), [g[1] for g in groups.values()]
+                u = unit(x[[g[0] for g in groups.values()]])
+                for lo in range(0, len(u), 2048):
+                    yield _sendings(tree, d, u[lo : lo + 2048], vectors[lo : lo + 2048], members[lo : lo + 2048])
+
+    return ix.rows.mapInArrow(scan, _ROUTED)
+
+
+def _sendings(tree: Tree, d: int, u: np.ndarray, vectors: list[bytes], members: list[set[bytes]]) -> pa.RecordBatch:
+    """One row per vector and shard (and part of it), with the leaves visited there."""
+    r, leaf, _ = route(tree, u, tree.visits, tree.slack)
+    shard = tree.shards(leaf)
+    home = np.diff(r, prepend=-1) != 0
+    order = np.lexsort((~home, shard, r))
+    r, leaf, shard, home = r[order], leaf[order], shard[order], home[order]
+    starts = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(shard, prepend=-1) != 0))
+    ends = np.append(starts[1:], len(r))
+    rows, part, own, n = [], [], [], []
+    for i, s in enumerate(starts):
+        at, size = int(shard[s]), len(members[r[s]])
+        if at not in tree.parts:
+            rows.append(i), part.append(0), own.append(bool(home[s])), n.append(size if home[s] else 0)
+            continue
+        blocks, chunks = tree.parts[at]
+        mine, turn = (int.from_bytes(hashlib.blake2b(vectors[r[s]], digest_size=8, salt=salt).digest(), "little") for salt in (b"row", b"visitor"))
+        for b in range(blocks):
+            # in its own block a row meets every chunk of visitors; elsewhere it is a visitor itself
+            is_own = bool(home[s]) and b == mine % blocks
+            for c in range(chunks) if is_own else (turn % chunks,):
+                rows.append(i), part.append(b * chunks + c), own.append(is_own), n.append(size if is_own and c == 0 else 0)
+    at = np.array(rows, np.int64)
+    lengths = (ends - starts)[at]
+    flat = np.concatenate([leaf[starts[i] : ends[i]] for i in at]) if len(at) else np.zeros(0, np.int64)
+    which = r[starts[at]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(at), d, np.int32)),
+            pa.array(shard[starts[at]]),
+            pa.array(part, pa.int32()),
+            pa.array(own, pa.bool_()),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat)),
+            pa.array([vectors[i] for i in which], pa.binary()),
+            pa.array([sorted(members[i])[: K + 1] for i in which], pa.list_(pa.binary())),
+            pa.array(n, pa.int32()),
+        ],
+        names=["dims", "shard", "part", "own", "leaves", "vec", "ids", "n"],
+    )
+
+
+_FOUND = "key binary, hot boolean, mine array<binary>, near array<struct<d:double,id:binary>>"
 _NEAR = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.binary())]))
 
 
+def _leaf_pairs(u: np.ndarray, own: np.ndarray, visitors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely neighbours within a leaf: its rows among all, visitors among its rows; enough of each to hold the nearest K + 1."""
+    every = np.concatenate([own, visitors])
+    for asking, among in ((own, every), (visitors, own)):
+        for lo in range(0, len(asking), 1024):
+            rows = asking[lo : lo + 1024]
+            s = u[rows] @ u[among].T
+            floor = np.full(len(rows), MIN_SIMILARITY, np.float32)
+            if len(among) > K + 1:
+                floor = np.maximum(floor, np.partition(s, len(among) - K - 1, axis=1)[:, len(among) - K - 1])
+            r, c = np.nonzero(s >= floor[:, None] - np.float32(4e-6))
+            yield rows[r], among[c]
+
+
 def _compare(group: pa.Table) -> pa.Table:
-    """Nearest candidates of one leaf block: its own vectors against all that came, visitors against its own."""
+    """Nearest candidates within one part of a shard: in each leaf its own vectors and those that visit it."""
     d = group["dims"][0].as_py()
     merged: dict[bytes, list] = {}
-    for own, key, vec, ids, n in zip(*(group[c].to_pylist() for c in ("own", "key", "vec", "ids", "n"))):
-        m = merged.setdefault(key, [False, vec, set(), 0])
+    for own, leaves, vec, ids, n in zip(*(group[c].to_pylist() for c in ("own", "leaves", "vec", "ids", "n"))):
+        m = merged.setdefault(vec, [False, leaves, set(), 0])
         m[0] |= own
         m[2].update(ids)
-        m[3] += n * own
-    items = sorted(merged.items(), key=lambda kv: not kv[1][0])
-    own = sum(m[0] for _, m in items)
-    keys = [k for k, _ in items]
-    lists = [sorted(m[2])[: K + 1] for _, m in items]
-    x = np.frombuffer(b"".join(m[1] for _, m in items), np.float32).reshape(len(items), d)
-    u64 = unit(x, np.float64)
+        m[3] += n
+    vectors, items = list(merged), list(merged.values())
+    u64 = unit(np.frombuffer(b"".join(vectors), np.float32).reshape(len(items), d), np.float64)
     u = u64.astype(np.float32)
-    near: list[list[tuple[float, bytes]]] = []
-    for lo in range(0, len(items), 1024):
-        hi = min(lo + 1024, len(items))
-        parts = [(lo, min(hi, own), len(items))] if lo < own else []
-        parts += [(max(lo, own), hi, own)] if hi > own else []
-        for a, b, width in parts:
-            if width == 0:
-                near += [[] for _ in range(b - a)]
-                continue
-            s = u[a:b] @ u[:width].T
-            least = np.partition(s, width - K - 1, axis=1)[:, width - K - 1] if width > K + 1 else np.full(b - a, -1, np.float32)
-            r, c = np.nonzero(s >= np.maximum(least - 4e-6, MIN_SIMILARITY - 4e-6)[:, None])
-            exact = np.round(np.concatenate([np.einsum("ij,ij->i", u64[a + r[i : i + 65536]], u64[c[i : i + 65536]]) for i in range(0, len(r), 65536)]) if len(r) else np.zeros(0), 6)
-            rows: list[list[tuple[float, bytes]]] = [[] for _ in range(b - a)]
-            for i, j, e in zip(r, c, exact):
-                if e >= MIN_SIMILARITY:
-                    rows[i] += [(-e, v) for v in lists[j]]
-            near += [sorted(w)[: K + 1] for w in rows]
-    told = [i for i, w in enumerate(near) if w and (len(w) > 1 or i >= own)]
+    inside: dict[int, tuple[list[int], list[int]]] = {}
+    for i, m in enumerate(items):
+        for j, leaf in enumerate(m[1]):
+            # the first leaf of an own row is its home
+            inside.setdefault(leaf, ([], []))[0 if m[0] and j == 0 else 1].append(i)
+    found = [p for own, visitors in inside.values() if own for p in _leaf_pairs(u, np.array(own, np.int64), np.array(visitors, np.int64))]
+    r, c = (np.concatenate(a) for a in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    both = np.unique(r * len(items) + c)
+    r, c = both // max(len(items), 1), both % max(len(items), 1)
+    exact = np.concatenate([np.einsum("ij,ij->i", u64[r[i : i + 65536]], u64[c[i : i + 65536]]) for i in range(0, len(r), 65536)]) if len(r) else np.zeros(0)
+    exact = np.round(exact, 6)
+    r, c, exact = r[exact >= MIN_SIMILARITY], c[exact >= MIN_SIMILARITY], exact[exact >= MIN_SIMILARITY]
+    lists = [sorted(m[2])[: K + 1] for m in items]
+    lengths = np.array([len(v) for v in lists], np.int64)
+    flat = [i for v in lists for i in v]
+    place = np.empty(len(flat), np.int64)
+    place[sorted(range(len(flat)), key=flat.__getitem__)] = np.arange(len(flat))
+    # a pair of vectors stands for as many pairs as the second one has ids
+    times = lengths[c]
+    begins = np.cumsum(lengths) - lengths
+    ids = np.repeat(begins[c] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    r, exact = np.repeat(r, times), np.repeat(exact, times)
+    order = np.lexsort((place[ids], -exact, r))
+    r, exact, ids = r[order], exact[order], ids[order]
+    starts = np.flatnonzero(np.diff(r, prepend=-1))
+    sizes = np.diff(np.append(starts, len(r)))
+    keep = np.arange(len(r)) - np.repeat(starts, sizes) < K + 1
+    r, exact, ids = r[keep], exact[keep], ids[keep]
+    # a row that found nothing but itself tells nothing
+    alone = (np.bincount(r, minlength=len(items)) == 1) & (np.bincount(r[r == np.searchsorted(np.cumsum(lengths), ids, side="right")], minlength=len(items)) == 1)
+    keep = ~alone[r]
+    r, exact, ids = r[keep], exact[keep], ids[keep]
+    starts = np.flatnonzero(np.diff(r, prepend=-1))
+    told = r[starts].tolist()
+    entries = pa.StructArray.from_arrays([pa.array(-exact), pa.array([flat[i] for i in ids], pa.binary())], fields=list(_NEAR.value_type))
+    near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)), pa.int32()), entries)
     return pa.table(
         {
-            "key": pa.array([keys[i] for i in told], pa.binary()),
-            "hot": pa.array([items[i][1][3] > K + 1 for i in told], pa.bool_()),
-            "near": pa.array([[{"d": e, "id": v} for e, v in near[i]] for i in told], _NEAR),
+            "key": pa.array(_keys([vectors[i] for i in told], d), pa.binary()),
+            "hot": pa.array([items[i][3] > K + 1 for i in told], pa.bool_()),
+            "mine": pa.array([lists[i] for i in told], pa.list_(pa.binary())),
+            "near": near.cast(_NEAR),
         }
     )
 
 
-def _members(rows: DataFrame, uuids: bool) -> DataFrame:
+def _members(ix: Index) -> DataFrame:
     """``key, salt, ids``: per batch the ids of each vector; groups of copies are spread over salts."""
+    uuids = ix.uuids
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for d, at, x in _vectors(batch):
-                groups = _groups(_keys(x, d), _packed([ids[i] for i in at], uuids))
-                salts = [int.from_bytes(hashlib.blake2b(min(g[1]), digest_size=2).digest(), "little") % SALTS if len(g[1]) > K + 1 else 0 for g in groups.values()]
+                groups = _groups([v.tobytes() for v in x], _packed([ids[i] for i in at], uuids))
+                salts = [hashlib.blake2b(min(g[1]), digest_size=1).digest()[0] % SALTS for g in groups.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(groups), pa.binary()), pa.array(salts, pa.int32()), pa.array([sorted(g[1]) for g in groups.values()], pa.list_(pa.binary()))],
+                    [pa.array(_keys(list(groups), d), pa.binary()), pa.array(salts, pa.int32()), pa.array([sorted(g[1]) for g in groups.values()], pa.list_(pa.binary()))],
                     names=["key", "salt", "ids"],
                 )
 
-    return rows.mapInArrow(scan, "key binary, salt int, ids array<binary>")
+    return ix.rows.mapInArrow(scan, "key binary, salt int, ids array<binary>")
+
+
+def _pairs(ix: Index) -> DataFrame:
+    found = _routed(ix).groupBy("dims", "shard", "part").applyInArrow(_compare, _FOUND)
+    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, K + 1)
+    merged = found.groupBy("key").agg(F.max("hot").alias("hot"), F.array_distinct(F.flatten(F.collect_list("mine"))).alias("ids"), near.alias("near"))
+    hot = merged.where("hot").select("key", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    few = merged.where("NOT hot").select("ids", "near")
+    # only vectors with more copies than a shard is told need their members
+    both = few.unionByName(_members(ix).join(hot, ["key", "salt"]).select("ids", "near"))
+    each = both.select(F.explode("ids").alias("id"), "near").select("id", F.explode(F.expr(f"slice(filter(near, t -> t.id <> id), 1, {K})")).alias("t"))
+    return each.select(F.least("id", "t.id").alias("a"), F.greatest("id", "t.id").alias("b")).distinct()
+
+
+def _text(c: str, uuids: bool) -> F.Column:
+    if not uuids:
+        return F.decode(c, "UTF-8")
+    h = F.lower(F.hex(c))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def nearest_pairs(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float = RECALL) -> DataFrame:
     """``id_a, id_b``: pairs of which at least one is among the other's K nearest of similarity 0.85 or more."""
-    rows, trees, _ = index(memories, leaf_rows, target)
-    spark = rows.sparkSession
-    if not trees:
-        return spark.createDataFrame([], "id_a string, id_b string")
-    uuids = rows.where(~F.col("id").rlike(_UUID)).limit(1).count() == 0
-    found = _routed(rows, trees, uuids).groupBy("dims", "leaf", "block").applyInArrow(_compare, _FOUND)
-    merged = found.groupBy("key").agg(F.max("hot").alias("hot"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, K + 1).alias("near"))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    merged = merged.select("key", "near", F.explode(salts).alias("salt"))
-    pairs = (
-        _members(rows, uuids)
-        .join(merged, ["key", "salt"])
-        .select(F.explode("ids").alias("id"), "near")
-        .select("id", F.explode(F.expr(f"slice(filter(near, t -> t.id <> id), 1, {K})")).alias("t"))
-        .select(F.least("id", "t.id").alias("a"), F.greatest("id", "t.id").alias("b"))
-        .distinct()
-    )
+    ix = index(memories, leaf_rows, target)
+    if not ix.trees:
+        return memories.sparkSession.createDataFrame([], "id_a string, id_b string")
+    return _pairs(ix).select(_text("a", ix.uuids).alias("id_a"), _text("b", ix.uuids).alias("id_b"))
+
 
-    def text(c: str) -> F.Column:
-        if not uuids:
-            return F.decode(c, "UTF-8")
-        h = F.lower(F.hex(c))
-        return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+def recall_report(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float = RECALL) -> DataFrame:
+    """``dims, rows, leaves, visits, slack, queries, wanted, recall``: the pairs given out against brute force.
 
-    return pairs.select(text("a").alias("id_a"), text("b").alias("id_b"))
+    ``queries`` are up to ``HELD_OUT`` picked rows that the calibration didn't use, ``wanted`` their true
+    neighbours; without any, recall is null. Neighbours as similar as the last that counts are none of ``wanted``.
+    """
+    ix = index(memories, leaf_rows, target)
+    spark = memories.sparkSession
+    used = _picked(ix.rows, ix.counts, QUERIES, 2) if ix.counts else {}
+    picked = _picked(ix.rows, ix.counts, HELD_OUT, 3) if ix.counts else {}
+    asked: dict[int, tuple[np.ndarray, list[str]]] = {}
+    for d, (x, ids) in picked.items():
+        calibrated = set(used[d][1]) if ix.trees[d].leaves > 1 else set()
+        at = [i for i, v in enumerate(ids) if v not in calibrated]
+        if at:
+            asked[d] = (x[at], [ids[i] for i in at])
+    schema = "dims int, rows bigint, leaves bigint, visits int, slack double, queries int, wanted bigint, recall double"
+    truth = _truth(ix.rows, {d: x for d, (x, _) in asked.items()}) if asked else {}
+    wanted = []  # as many as queries times K at most
+    for d, found in truth.items():
+        for q, near in found.items():
+            others = [(s, v) for s, v in near if v != asked[d][0][q].tobytes()]
+            wanted += [(d, asked[d][1][q], v) for s, v in others[:K] if len(others) <= K or s > others[K][0] + 1e-6]
+    want = spark.createDataFrame(wanted, "dims int, qid string, v binary")
+    key = F.hash("v")
+    rows = ix.rows.select("id", "dims", "embedding")
+    bytes_of = _bytes(rows)
+    others = F.broadcast(want).withColumn("h", key).join(bytes_of.withColumn("h", key), ["dims", "h", "v"]).groupBy("dims", "qid", "v").agg(F.min("id").alias("oid"), F.count_distinct("id").alias("copies")).where("copies <= 1")
+    given = _pairs(ix).select(_text("a", ix.uuids).alias("a"), _text("b", ix.uuids).alias("b"), F.lit(1).alias("hit"))
+    both = others.withColumn("a", F.least("qid", "oid")).withColumn("b", F.greatest("qid", "oid")).where("a <> b").join(given, ["a", "b"], "left")
+    sums = {r["dims"]: r for r in both.groupBy("dims").agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("hits")).collect()}
+    out = []
+    for d, tree in ix.trees.items():
+        s = sums.get(d)
+        out.append((d, ix.counts[d], tree.leaves, tree.visits, float(tree.slack), s["queries"] if s else 0, s["wanted"] if s else 0, s["hits"] / s["wanted"] if s else None))
+    return spark.createDataFrame(out, schema)
+
+
+def _bytes(rows: DataFrame) -> DataFrame:
+    """``id, dims, v``: the vectors as bytes, as they are compared."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            for d, at, x in _vectors(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.string()), pa.array([d] * len(at), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "dims", "v"])
 
-def recall_report(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float = RECALL) -> DataFrame:
-    """``dims, rows, leaves, visits, slack, queries, recall``: what the calibration measured against brute force."""
-    rows, _, report = index(memories, leaf_rows, target)
-    return rows.sparkSession.createDataFrame(report, "dims int, rows bigint, leaves int, visits int, slack double, queries int, recall double")
+    return rows.mapInArrow(scan, "id string, dims int, v binary")

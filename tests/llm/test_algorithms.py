@@ -56,10 +56,52 @@ def test_no_vectors(spark):
     assert neighbors.recall_report(memories(spark, [])).count() == 0
 
 
-def test_unsplittable_leaf_is_cut_into_blocks():
+def test_alike_vectors_are_one_leaf():
     x = neighbors.unit(np.repeat(np.ones((1, 4), np.float32), 500, axis=0))
-    tree = neighbors.fit(x, 100_000)
-    assert tree.leaves == 1 and tree.blocks[0] > 1
+    assert neighbors.fit(x, 100_000).leaves == 1
+
+
+def test_pairs_over_shards_and_parts_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SHARD_ROWS", 300)
+    monkeypatch.setattr(neighbors, "PART_ROWS", 60)
+    rows = [(f"{i:04d}", v.tolist()) for i, v in enumerate(cloud(1500, 2))]
+    m = memories(spark, [{"id": i, "embedding": v} for i, v in rows])
+    tree = neighbors.index(m, leaf_rows=100).trees[8]
+    assert len(set(tree.shard_of)) > 2 and any(p[0] > 1 and p[1] > 1 for p in tree.parts.values())
+    want = brute_pairs(rows)
+    got = [tuple(r) for r in neighbors.nearest_pairs(m, leaf_rows=100).collect()]
+    assert len(got) == len(set(got)) and len(set(got) & want) >= 0.97 * len(want) and len(set(got) & want) >= 0.97 * len(got)
+
+
+def test_tree_goes_on_below_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SAMPLE", 150)
+    monkeypatch.setattr(neighbors, "CODES", 4)
+    monkeypatch.setattr(neighbors, "SHARD_ROWS", 200)
+    rows = [(f"{i:04d}", v.tolist()) for i, v in enumerate(cloud(2500, 4))]
+    m = memories(spark, [{"id": i, "embedding": v} for i, v in rows])
+    tree = neighbors.index(m, leaf_rows=10).trees[8]
+    assert len(tree.codes) >= 2 and tree.leaves > 150
+    want = brute_pairs(rows)
+    got = {tuple(r) for r in neighbors.nearest_pairs(m, leaf_rows=10).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_visits_are_the_same_however_they_are_asked_for():
+    x = neighbors.unit(np.stack(cloud(3000, 5)).astype(np.float32))
+    for sample in (3000, 200):
+        tree = neighbors.fit(x[:sample], 3000, 40)
+        assert bool(tree.codes) == (sample == 200)
+        wide = neighbors.route(tree, x[:50], 16, 4.0)
+        few = neighbors.route(tree, x[:50], 5, 0.05)
+        for i in range(50):
+            every, some = ([(int(leaf), round(float(gap), 4)) for leaf, gap in zip(w[1][w[0] == i], w[2][w[0] == i])] for w in (wide, few))
+            assert some[0] == every[0] and some == [t for j, t in enumerate(every) if j < 5 and (t[1] <= 0.05 or j == 0)]
+
+
+def test_recall_without_queries_is_unknown(spark):
+    m = memories(spark, [{"id": "a", "embedding": [1.0, 0.0]}, {"id": "b", "embedding": [0.0, 1.0]}])
+    report = neighbors.recall_report(m).first()
+    assert report["queries"] == 0 and report["recall"] is None
 
 
 def test_ranking_by_first_component(spark):
