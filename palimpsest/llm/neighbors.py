@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import cut
+
 K = 5
 MIN_SIMILARITY = 0.85
 SAMPLE = 32_768  #: vectors a tree is fitted on, at most, per dimension
@@ -48,6 +50,7 @@ RECALL = 0.997
 WIDEST = 64  #: leaves a calibration looks at first
 BEAM = 32  #: nodes looked at on each level below the sampled tree
 SALTS = 16
+TASK_BYTES = 64 * 1024 * 1024
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -594,13 +597,18 @@ def _members(ix: Index) -> DataFrame:
 
 
 def _pairs(ix: Index) -> DataFrame:
-    found = _routed(ix).groupBy("dims", "shard", "part").applyInArrow(_compare, _FOUND)
+    routed = _routed(ix)
+    # the shuffle is as wide as the vectors need, whatever the session's setting; a vector goes to few shards
+    width = sum(n * d * 4 for d, n in ix.counts.items())
+    tasks = max(2 * ix.rows.sparkSession.sparkContext.defaultParallelism, -(-2 * width // TASK_BYTES))
+    found = routed.repartition(tasks, "dims", "shard", "part").groupBy("dims", "shard", "part").applyInArrow(_compare, _FOUND)
     near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, K + 1)
-    merged = found.groupBy("key").agg(F.max("hot").alias("hot"), F.array_distinct(F.flatten(F.collect_list("mine"))).alias("ids"), near.alias("near"))
-    hot = merged.where("hot").select("key", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    few = merged.where("NOT hot").select("ids", "near")
-    # only vectors with more copies than a shard is told need their members
-    both = few.unionByName(_members(ix).join(hot, ["key", "salt"]).select("ids", "near"))
+    merged = cut(found.groupBy("key").agg(F.max("hot").alias("hot"), F.array_distinct(F.flatten(F.collect_list("mine"))).alias("ids"), near.alias("near")))
+    both, hot = merged.where("NOT hot").select("ids", "near"), merged.where("hot")
+    if not hot.isEmpty():
+        # only vectors with more copies than a shard is told need their members
+        salted = hot.select("key", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        both = both.unionByName(_members(ix).join(salted, ["key", "salt"]).select("ids", "near"))
     each = both.select(F.explode("ids").alias("id"), "near").select("id", F.explode(F.expr(f"slice(filter(near, t -> t.id <> id), 1, {K})")).alias("t"))
     return each.select(F.least("id", "t.id").alias("a"), F.greatest("id", "t.id").alias("b")).distinct()
 
