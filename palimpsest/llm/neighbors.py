@@ -65,6 +65,8 @@ class Tree:
     codes: list[np.ndarray] = field(default_factory=list)  #: residuals, per level below
     shard_of: list[int] = field(default_factory=list)  #: shard of each sampled leaf
     shard_leaves: int = 1  #: leaves of a shard, if there are levels below
+    alike: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: mean similarity of two vectors of each node; -1 where few tell it
+    paths: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))  #: nodes from the root to each sampled leaf, then -1
     parts: dict[int, tuple[int, int]] = field(default_factory=dict)  #: (blocks of rows, blocks of visitors) of shards with more than one
     visits: int = 1
     slack: float = 2.0
@@ -127,20 +129,26 @@ def fit(x: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS, seed: int = 7) ->
     scale = rows / max(len(x), 1)
     smallest = max(leaf_rows, LEAF_SAMPLE * scale)
 
-    def centre(part: np.ndarray) -> np.ndarray:
-        c = x[part].sum(axis=0)
+    def centre(part: np.ndarray) -> tuple[np.ndarray, float]:
+        c, m = x[part].sum(axis=0), len(part)
         n = np.linalg.norm(c)
-        return c / n if n > 0 else x[part[0]]
+        alike = (n * n - m) / (m * (m - 1)) if m >= LEAF_SAMPLE else -1.0
+        return (c / n if n > 0 else x[part[0]]), float(alike)
 
     tree = Tree(np.zeros((0, x.shape[1]), np.float32), [], [])
     centroids: list[np.ndarray] = []
     sizes: list[float] = []
+    alike: list[float] = []
+    above: list[int] = []
     home = np.zeros(len(x), np.int64)
     queue = [(np.arange(len(x)), -1)]
     while queue:
         part, parent = queue.pop(0)
         node = len(centroids)
-        centroids.append(centre(part))
+        c, a = centre(part)
+        centroids.append(c)
+        alike.append(a)
+        above.append(parent)
         sizes.append(len(part) * scale)
         tree.children.append([])
         tree.leaf.append(-1)
@@ -163,6 +171,14 @@ def fit(x: np.ndarray, rows: int, leaf_rows: int = LEAF_ROWS, seed: int = 7) ->
         codes, labels = _residuals(rest, int(min(CODES, np.ceil(rows / tree.leaves / leaf_rows))), rng)
         tree.codes.append(codes.astype(np.float32))
         rest = rest - codes[labels]
+    tree.alike = np.array(alike)
+    lines = []
+    for node in tree.at:
+        line = [node]
+        while above[line[-1]] >= 0:
+            line.append(above[line[-1]])
+        lines.append(line[::-1])
+    tree.paths = np.array([line + [-1] * (max(map(len, lines)) - len(line)) for line in lines])
     _shard(tree, sizes, rows)
     return tree
 

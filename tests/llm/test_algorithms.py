@@ -141,7 +141,7 @@ def test_component_matches_numpy():
 def test_lazy_greedy_equals_greedy():
     rng = np.random.default_rng(5)
     cover, weight = rng.random((40, 40)).astype("f4"), rng.random(40).astype("f4")
-    picks = [j for j, _ in subset.lazy_greedy(cover, weight, 10)]
+    picks = [j for j, _ in subset.lazy_greedy(lambda at: cover[:, at], weight, 10)]
     now, want = np.zeros(40, "f4"), []
     for _ in range(10):
         gains = [-1 if j in want else float(weight @ np.maximum(cover[:, j] - now, 0)) for j in range(40)]
@@ -165,21 +165,36 @@ def test_subset_covers_small_groups(spark):
     assert subset.varied_subset(m.where("id IN ('0001', '0002')"), size=5).count() == 2
 
 
-def test_subset_counts_all_records(spark, monkeypatch):
+def test_subset_counts_all_records(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(900, 6)).astype("f4")
     x[:400] = [1, 0, 0, 0, 0, 0] + rng.normal(size=(400, 6)) * 0.1
     rows = [{"id": f"{i:04d}", "embedding": v.tolist(), "kind": "fact" if i % 3 else "episodic"} for i, v in enumerate(x)]
-    monkeypatch.setattr(subset, "DENSITY_ROWS", 250, raising=False)
     got = subset.varied_subset(memories(spark, rows), size=6, block_rows=60).orderBy("pick").collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s, kinds = u @ u.T, np.array([r["kind"] for r in rows])
     cover = np.clip(s, 0, 1) * np.where(kinds[:, None] == kinds, 1, subset.OTHER_KIND)
-    weight, picks = 1 / (s >= subset.ALIKE).sum(axis=1), [int(r["id"]) for r in got]
+    exact, picks = 1 / (s >= subset.ALIKE).sum(axis=1), [int(r["id"]) for r in got]
+    told = {r["id"]: r["weight"] for r in subset._weighted(memories(spark, rows).select("id", "kind", F.col("embedding_dims").alias("dims"), "embedding")).collect()}
+    weight = np.array([told[r["id"]] for r in rows])
     reached = np.cumsum([r["gain"] for r in got])
     assert np.allclose(reached, [weight @ cover[:, picks[: i + 1]].max(axis=1) for i in range(6)], rtol=2e-3)
-    best = sum(g for _, g in subset.lazy_greedy(cover.astype("f4"), weight.astype("f4"), 6))
-    assert reached[-1] > 0.8 * best
+    # the choice is judged by exact densities, whatever groups the operator found: near full greedy, and above the mean random set
+    best = sum(g for _, g in subset.lazy_greedy(lambda at: cover.astype("f4")[:, at], exact.astype("f4"), 6))
+    chance = np.mean([exact @ cover[:, rng.choice(900, 6, replace=False)].max(axis=1) for _ in range(200)])
+    reached = exact @ cover[:, picks].max(axis=1)
+    assert reached > 0.85 * best and reached > 1.05 * chance
+
+
+def test_group_weights(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16))
+    sizes = [4000, 600, *[20] * 18]
+    x = np.concatenate([c + rng.normal(size=(n, 16)) * 0.08 for c, n in zip(centres, sizes)]).astype("f4")
+    m = memories(spark, [{"id": f"{i:05d}", "embedding": v.tolist()} for i, v in enumerate(x)])
+    got = subset._weighted(m.select("id", "kind", F.col("embedding_dims").alias("dims"), "embedding")).orderBy("id").collect()
+    mass = [sum(r["weight"] for r in got[a:b]) for a, b in zip(np.cumsum([0, *sizes]), np.cumsum(sizes))]
+    assert len(got) == len(x) and max(mass) < 4 and min(mass) > 0.2
 
 
 def test_bins():
