@@ -252,7 +252,7 @@ def update_conflicts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recovery_replay(spark: SparkSession, root: str) -> DataFrame:
-    return oplog.recovered(_log(spark, root))
+    return oplog.recovered(_log(spark, root), records.latest(_memories(spark, root), ["status"]))
 
 
 def mem_tombstones(spark: SparkSession, root: str) -> DataFrame:

@@ -193,15 +193,23 @@ SELECT active_records, tombstoned_records, pending_operations, unindexed = 0 AS
     "ops_idempotent": f"WITH {_O} SELECT operation_id, memory_id, kind, state, created_at_ms, revision, deliveries FROM o",
     "ops_pending": f"WITH {_O} SELECT operation_id, memory_id, kind, created_at_ms FROM o WHERE state = 'pending'",
     "update_conflicts": f"""
-WITH {_O}, w AS (
-  SELECT *, lag(kind) OVER x AS before_kind, lag(revision) OVER x AS current_revision FROM k WHERE kind IN ('remember', 'update', 'delete')
-  WINDOW x AS (PARTITION BY memory_id ORDER BY at_ms, rev, operation_id))
-SELECT memory_id, operation_id, revision, current_revision,
-       CASE WHEN before_kind IS NULL OR before_kind = 'delete' THEN 'not_found' WHEN coalesce(revision = current_revision + 1, false) THEN 'applied' ELSE 'revision_conflict' END AS outcome
-FROM w WHERE kind = 'update'""",
+WITH RECURSIVE {_O}, w AS (
+  SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY at_ms, rev, operation_id) AS n FROM k WHERE kind IN ('remember', 'update', 'delete')),
+z AS (
+  SELECT memory_id, n, operation_id, kind, revision, NULL::BIGINT AS before_rev, kind = 'remember' AS alive, CASE WHEN kind = 'remember' THEN revision END AS cur, false AS hit, false AS there
+  FROM w WHERE n = 1
+  UNION ALL
+  SELECT w.memory_id, w.n, w.operation_id, w.kind, w.revision, CASE WHEN z.alive THEN z.cur END,
+         CASE w.kind WHEN 'remember' THEN true WHEN 'delete' THEN false ELSE z.alive END,
+         CASE WHEN w.kind <> 'update' THEN w.revision WHEN z.alive AND coalesce(w.revision = z.cur + 1, false) THEN w.revision ELSE z.cur END,
+         z.alive AND coalesce(w.revision = z.cur + 1, false), z.alive
+  FROM z JOIN w ON w.memory_id = z.memory_id AND w.n = z.n + 1)
+SELECT memory_id, operation_id, revision, before_rev AS current_revision, CASE WHEN NOT there THEN 'not_found' WHEN hit THEN 'applied' ELSE 'revision_conflict' END AS outcome
+FROM z WHERE kind = 'update'""",
     "recovery_replay": f"""
-WITH {_O} SELECT memory_id, operation_id, CASE WHEN kind = 'delete' THEN 'deleted' ELSE 'active' END AS status FROM k WHERE state = 'pending'
-QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY at_ms DESC, operation_id DESC) = 1""",
+WITH {_M}, {_O} SELECT k.memory_id, operation_id, k.kind,
+  CASE WHEN k.kind = 'delete' THEN 'remove' WHEN m.id IS NULL THEN 'left' WHEN m.status IN ('pending', 'active') THEN 'upsert' ELSE 'applied' END AS action
+FROM k LEFT JOIN m ON m.id = k.memory_id WHERE state = 'pending' AND k.kind IN ('remember', 'update', 'delete')""",
     "mem_tombstones": f"""
 WITH {_O}, l AS (
   SELECT * FROM k WHERE kind IN ('remember', 'delete') QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY at_ms DESC, rev DESC, operation_id DESC) = 1)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import changefeed, history, oplog
 
@@ -44,12 +45,55 @@ def test_operation_log(spark):
     ])
     assert {r["operation_id"] for r in oplog.pending(feed).collect()} == {"a3", "d2"}
     assert {(r["operation_id"], r["outcome"]) for r in oplog.update_outcomes(feed).collect()} == {("a2", "applied"), ("a3", "revision_conflict"), ("b1", "not_found")}
-    assert {(r["memory_id"], r["status"]) for r in oplog.recovered(feed).collect()} == {("a", "active"), ("d", "deleted")}
+    known = memories(spark, [{"id": "a"}, {"id": "d"}])
+    assert {(r["memory_id"], r["action"]) for r in oplog.recovered(feed, known).collect()} == {("a", "upsert"), ("d", "remove")}
+    assert {(r["memory_id"], r["action"]) for r in oplog.recovered(feed, known.withColumn("status", F.lit("deleted"))).collect()} == {("a", "applied"), ("d", "remove")}
+    assert {(r["memory_id"], r["action"]) for r in oplog.recovered(feed, known.limit(0)).collect()} == {("a", "left"), ("d", "remove")}
     assert {r["memory_id"] for r in oplog.tombstones(feed).collect()} == {"c", "d"}
-    for f in (oplog.pending, oplog.update_outcomes, oplog.recovered, oplog.tombstones):
+    for f in (oplog.pending, oplog.update_outcomes, lambda log: oplog.recovered(log, known), oplog.tombstones):
         assert f(feed.limit(0)).count() == 0
 
 
+def brute_outcomes(rows):
+    alive, out = {}, {}
+    for i, m, kind, rev, at in sorted(rows, key=lambda r: (r[1], r[4], -1 if r[3] is None else r[3], r[0])):
+        if kind == "update":
+            if m not in alive:
+                out[i] = (None, "not_found")
+            elif rev is not None and alive[m] is not None and rev == alive[m] + 1:
+                out[i], alive[m] = (alive[m], "applied"), rev
+            else:
+                out[i] = (alive[m], "revision_conflict")
+        elif kind == "remember":
+            alive[m] = rev
+        else:
+            alive.pop(m, None)
+    return out
+
+
+def test_updates_after_deletions_and_rejections(spark):
+    rows = [("1", "a", "remember", 1, 1), ("2", "a", "update", 5, 2), ("3", "a", "update", 2, 3), ("4", "a", "delete", 3, 4), ("5", "a", "update", 4, 5), ("6", "a", "update", 5, 6), ("7", "a", "remember", 1, 7), ("8", "a", "update", 2, 8)]
+    got = {r["operation_id"]: (r["current_revision"], r["outcome"]) for r in oplog.update_outcomes(operations(spark, [op(*r) for r in rows])).collect()}
+    assert got == {"2": (1, "revision_conflict"), "3": (1, "applied"), "5": (None, "not_found"), "6": (None, "not_found"), "8": (1, "applied")}
+
+
+@pytest.mark.parametrize("seed,calm", [(1, 0.0), (2, 0.9), (3, 1.0)])
+def test_outcomes_of_a_hot_memory_over_partitions(spark, seed, calm):
+    rng = random.Random(seed)
+    rows, rev = [("0", "hot", "remember", 1, 0)], 1
+    for n in range(1, 400):
+        kind = "update" if rng.random() < calm else rng.choice(["update", "update", "remember", "delete"])
+        rev = rng.choice([rev + 1, rev + 1, rev, rev + 2, None]) or rev
+        rows.append((f"{n}", "hot" if rng.random() < 0.9 else rng.choice("ax"), kind, rng.choice([rev, rev, rev, None]), n))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = oplog.update_outcomes(operations(spark, [op(*r) for r in rows])).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["operation_id"]: (r["current_revision"], r["outcome"]) for r in got} == brute_outcomes(rows)
+
+
 def brute_history(rows):
     states = {}
     for i, at, rev, imp, st in rows:
