@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.metrics import METRICS, distance
-from ..operators import context, filters, fulltext, knn, oplog, recall, records
+from ..operators import context, filters, fulltext, ivf, knn, oplog, recall, records
 from ..operators.filters import And, Equals, In, Not, Or
 from ..sources.tables import load
 
@@ -48,7 +48,7 @@ def _batch(metric: str):
     def query(spark: SparkSession, root: str) -> DataFrame:
         v = _vectors(spark, root)
         q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.lit(K).alias("k"))
-        return _edge(knn.batch_nearest(q, v.select("id", "vec"), metric))
+        return _edge(knn.batch_nearest(q, v.select("id", "vec"), metric, most=K))
 
     return query
 
@@ -79,7 +79,7 @@ def vec_distance_to(spark: SparkSession, root: str) -> DataFrame:
 def _searched(vectors: DataFrame, all_vectors: DataFrame, metric: str, k: int = K) -> DataFrame:
     """Every row of ``all_vectors`` whose id is divisible by 100 as a query against ``vectors``."""
     q = all_vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.lit(k).alias("k"))
-    return knn.batch_nearest(q, vectors.select("id", "vec"), metric)
+    return knn.batch_nearest(q, vectors.select("id", "vec"), metric, most=k)
 
 
 def _batch_filtered(where):
@@ -146,12 +146,28 @@ def vec_sizes(spark: SparkSession, root: str) -> DataFrame:
     return v.agg(F.count_if(F.col("id") % 5 == 0).alias("delta_rows"), F.count_if(F.col("id") % 5 != 0).alias("sealed_rows"), F.count("*").alias("total_rows"), (F.max("id") + 1).alias("next_id"))
 
 
-def vec_recall_at_k(spark: SparkSession, root: str) -> DataFrame:
-    """The block operator with small blocks against itself in one block: recall is 1 if both are exact."""
+def _partitioned(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, ivf.Codebook, DataFrame]:
+    """The vectors, the same by cells, the codebook, and every row whose id is divisible by 100 as a query."""
     v = _vectors(spark, root)
-    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.lit(K).alias("k"))
-    v = v.select("id", "vec")
-    return knn.recall_at_k(knn.batch_nearest(q, v, "l2", block_rows=64), knn.batch_nearest(q, v, "l2"))
+    dims = spark.read.parquet(f"{root}/embeddings.parquet").select(F.max(F.size("embedding"))).first()[0] or 1
+    indexed, book = ivf.build(v, dims, "l2", k=K)
+    return v, indexed, book, v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec", F.lit(K).alias("k"))
+
+
+def vec_recall_at_k(spark: SparkSession, root: str) -> DataFrame:
+    """The partitioned index against exact search: its recall, and whether that is 0.9 at least."""
+    v, indexed, book, q = _partitioned(spark, root)
+    exact = knn.batch_nearest(q, v.select("id", "vec"), "l2", most=K)
+    r = knn.recall_at_k(ivf.search(q, indexed, book), exact)
+    return r.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def vec_approximate_filtered(spark: SparkSession, root: str) -> DataFrame:
+    """Filtered search in the partitioned index: how many rows each query got, all of which must pass; a rare filter is searched to the end."""
+    _, indexed, book, q = _partitioned(spark, root)
+    passing = indexed.where(FILTERS["and"].column(F.col("metadata"))).select("id", "vec", "cell")
+    found = ivf.search(q, passing, book).join(passing.select("id"), "id", "left_semi")
+    return found.groupBy("qid").agg(F.count("*").alias("found"))
 
 
 def _ids(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -339,7 +355,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             vec_batch_distance_to, vec_batch_union_delta_sealed, vec_batch_anti_tombstone, vec_batch_semi_filter,
-            vec_distance_to, vec_selectivity, vec_union_delta_sealed, vec_anti_tombstone, vec_semi_filter, vec_sizes, vec_recall_at_k,
+            vec_distance_to, vec_selectivity, vec_union_delta_sealed, vec_anti_tombstone, vec_semi_filter, vec_sizes, vec_recall_at_k, vec_approximate_filtered,
             set_union_ids, set_intersect_ids, set_except_ids,
             mem_current_view, scope_lookup, scope_agent_lookup, rebuild_active, mem_not_expired, mem_purgeable, mem_vacuum_batch, mem_after_vacuum,
             metadata_patch, token_estimates, health_counts,

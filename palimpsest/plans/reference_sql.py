@@ -166,7 +166,10 @@ SELECT id, round(dist, 6) + 0.0 AS dist FROM d ORDER BY d.dist, id LIMIT 10""",
     "vec_sizes": f"""
 WITH {_V} SELECT count(*) FILTER (WHERE id % 5 = 0) AS delta_rows, count(*) FILTER (WHERE id % 5 <> 0) AS sealed_rows, count(*) AS total_rows, max(id) + 1 AS next_id FROM v""",
     "vec_recall_at_k": f"""
-WITH {_V} SELECT count(*) AS queries, count(*) * 10 AS hits, count(*) * 10 AS wanted, 1.0::DOUBLE AS recall FROM v WHERE id % 100 = 0""",
+WITH {_V} SELECT count(*) AS queries, count(*) * 10 AS wanted, true AS reached FROM v WHERE id % 100 = 0""",
+    "vec_approximate_filtered": f"""
+WITH {_V}, p AS (SELECT count(*) AS n FROM v WHERE has AND parity = 'odd' AND label IN ('3', '4', '5'))
+SELECT id AS qid, least(10, n) AS found FROM v, p WHERE id % 100 = 0 AND n > 0""",
     "set_union_ids": f"WITH {_V} SELECT id FROM v WHERE has AND parity = 'odd' UNION SELECT id FROM v WHERE has AND label IN ('3', '4')",
     "set_intersect_ids": f"WITH {_V} SELECT id FROM v WHERE has AND parity = 'odd' INTERSECT SELECT id FROM v WHERE has AND label IN ('3', '4')",
     "set_except_ids": f"WITH {_V} SELECT id FROM v WHERE has AND parity = 'odd' EXCEPT SELECT id FROM v WHERE has AND label IN ('3', '4')",

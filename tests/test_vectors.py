@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import metrics
 from palimpsest.index import Index
-from palimpsest.operators import filters, knn
+from palimpsest.operators import filters, ivf, knn
 from palimpsest.operators.filters import And, Equals, In, Not, Or
 
 
@@ -55,8 +55,9 @@ def test_tombstones_and_repeated_ids(spark):
     assert [tuple(r) for r in knn.nearest_live(v, dead, [0.0], 5, "l2").collect()] == [(1, 1.0), (2, 4.0)]
 
 
-@pytest.mark.parametrize("metric,block", list(itertools.product(["l2", "cosine", "dot"], [7, 1000])))
-def test_batch_matches_brute_force(spark, metric, block):
+@pytest.mark.parametrize("metric,block,few", list(itertools.product(["l2", "cosine", "dot"], [7, 1000], [0, 100])))
+def test_batch_matches_brute_force(spark, metric, block, few, monkeypatch):
+    monkeypatch.setattr(knn, "FEW", few)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 4)).astype("f4")
     x[10] = x[11]
@@ -76,6 +77,44 @@ def test_batch_matches_brute_force(spark, metric, block):
     assert set(got) == {1, 2}
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_batch_keeps_precision_and_large_values(spark, metric):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 8)).astype("f4")
+    x[40:60] = x[0] * (1 + 1e-6 * rng.normal(size=(20, 8)))
+    x[60:] *= np.float32(1e25)
+    x[79] = 0
+    v = spark.createDataFrame([(int(i), x[i].tolist()) for i in range(80)], "id bigint, vec array<float>")
+    got = {}
+    for r in knn.batch_nearest(v.selectExpr("id AS qid", "vec", "30 AS k"), v, metric).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    m = x.astype("f8")
+    for i in range(80):
+        norms = np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(m[i]), 1.1920928955078125e-07)
+        d = {"l2": ((m - m[i]) ** 2).sum(1), "dot": -np.einsum("ij,j->i", m, m[i]), "cosine": 1 - np.einsum("ij,j->i", m, m[i]) / norms}[metric]
+        assert got[i] == [j for _, j in sorted(zip(np.round(d, 9), range(80)))][:30]
+
+
+def test_partitioned_index(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8)) * 4
+    x = (centres[rng.integers(20, size=1500)] + rng.normal(size=(1500, 8))).astype("f4")
+    rows = [(int(i), x[i].tolist(), int(i % 100), 1.5) for i in range(1500)] + [(5000, None, 0, 0.0), (5001, [1.0], 0, 0.0), (None, x[0].tolist(), 0, 0.0)]
+    v = spark.createDataFrame(rows, "id bigint, vec array<float>, tag int, cell_size double")
+    q = v.where("id % 30 = 0 AND id < 1500").selectExpr("id AS qid", "vec", "10 AS k")
+    for metric in ("l2", "cosine"):
+        indexed, book = ivf.build(v, 8, metric, cells=24)
+        assert indexed.count() == 1500 and set(indexed.columns) == {"id", "vec", "tag", "cell_size", "cell"}
+        found = ivf.search(q, indexed, book)
+        assert knn.recall_at_k(found, knn.batch_nearest(q, v.select("id", "vec"), metric)).first()["recall"] >= 0.9
+        rare = ivf.search(q, indexed.where("tag = 7"), book)  # 15 rows pass: found only in all cells together
+        exact = knn.batch_nearest(q, v.where("tag = 7").select("id", "vec"), metric)
+        assert rare.count() == 500 and knn.recall_at_k(rare, exact).first()["recall"] >= 0.7
+    empty = v.limit(0)
+    indexed, book = ivf.build(empty, 8, "l2")
+    assert indexed.count() == 0 and ivf.search(q, indexed, book).count() == 0
+
+
 def test_recall_at_k(spark):
     exact = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4)], "qid int, id int")
     found = spark.createDataFrame([(1, 1), (1, 9), (2, 3), (2, 4)], "qid int, id int")
