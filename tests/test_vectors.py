@@ -199,3 +199,61 @@ def test_batch_searches_equal_sql_for_all_queries(spark, tmp_path):
             want = db.execute(reference_sql.SQL[f"vec_batch_{name}"]).fetchall()
             assert len(got) == len(want) == {"filter_empty_and": 0, "distance_to": 1600}.get(name, 40), name
             assert np.allclose(sorted(map(tuple, got)), sorted(want), atol=2e-6), name
+
+
+def test_index_survives_reopening(spark, tmp_path):
+    at = str(tmp_path / "ix")
+    ix = Index(spark, 2, "l2", at)
+    assert [ix.insert([0.0, 1.0]), ix.insert([1.0, 0.0], {"c": "x"})] == [1, 2]
+    ix.compact()
+    again = Index(spark, 2, "l2", at)
+    assert len(again) == 2 and again.num_sealed() == 1 and again.insert([2.0, 2.0]) == 3
+    again.insert_with_id(40, [3.0, 3.0])
+    again.compact()
+    third = Index(spark, 2, "l2", at)
+    assert len(third) == 4 and third.insert([9.0, 9.0]) == 41 and [i for i, _ in third.search([3.0, 3.0], 2)] == [40, 3]
+    third.insert_frame(spark.createDataFrame([(100, [5.0, 5.0], None), (101, [5.0], None)], "id bigint, vec array<float>, metadata map<string,array<string>>"))
+    fourth = Index(spark, 2, "l2", at)  # what wasn't sealed is gone, the part is there
+    assert sorted(r["id"] for r in fourth.frame().collect()) == [1, 2, 3, 40, 100] and fourth.insert([0.0, 0.0]) == 101
+    # without any manifest, the finished parts are listed; an unfinished one doesn't count and isn't overwritten
+    for f in (tmp_path / "ix").glob("manifest-*"):
+        f.unlink()
+    (tmp_path / "ix" / "part-000000009").mkdir()
+    fifth = Index(spark, 2, "l2", at)
+    assert len(fifth) == 5 and fifth.insert([7.0, 7.0]) == 101
+    fifth.compact()
+    assert (tmp_path / "ix" / "part-000000010" / "_SUCCESS").exists()
+    # a manifest that was cut off falls back to the one before
+    newest = max((tmp_path / "ix").glob("manifest-*"))
+    (tmp_path / "ix" / "manifest-000000099.json").write_text(newest.read_text()[:20])
+    assert len(Index(spark, 2, "l2", at)) == 6
+
+
+def test_index_upsert_and_remove(spark, tmp_path):
+    ix = Index(spark, 1, "l2", str(tmp_path / "ix"))
+    ix.upsert(7, [1.0])
+    ix.upsert(7, [2.0])
+    ix.upsert(8, [5.0])
+    assert ix.search_records([0.0], 5) == [(7, 1.0), (8, 25.0)] and len(ix.search([0.0], 5)) == 3
+    ix.remove([7, 99])
+    ix.compact()
+    ix = Index(spark, 1, "l2", str(tmp_path / "ix"))
+    assert ix.search_records([0.0], 5) == [(8, 25.0)]
+    ix.upsert(7, [3.0])
+    assert ix.search_records([0.0], 5) == [(7, 9.0), (8, 25.0)]
+
+
+def test_index_approximate_search(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4)).astype("f4")
+    ix = Index(spark, 4, "cosine", str(tmp_path / "ix"))
+    ix.insert_batch(x, [{"parity": "even" if i % 2 else "odd"} for i in range(400)])
+    assert ix.search_approximate(x[3], 3) == ix.search(x[3], 3)
+    assert ix.train(cells=8) >= 0.95
+    ix = Index(spark, 4, "cosine", str(tmp_path / "ix"))
+    late = ix.insert(x[3], {"parity": "odd"})
+    got, want = ({i for i, _ in f(x[3], 10)} for f in (ix.search_approximate, ix.search))
+    assert {4, late} <= got and len(got & want) >= 8
+    assert len(ix.search_approximate(x[3], 200, {"parity": "even"})) == 200
+    ix.remove(4)
+    assert 4 not in {i for i, _ in ix.search_approximate(x[3], 10)}
