@@ -29,6 +29,20 @@ class Folder:
         lead = f"{folder}/" if folder else ""
         return [n for n in self.numbers(prefix, folder) if self._fs.exists(self._at(f"{lead}{prefix}{n:09d}/_SUCCESS"))]
 
+    def marked(self, folder: str) -> list[int]:
+        """Numbers of the finished tables in ``folder``, by one listing of their markers."""
+        found = self._fs.globStatus(self._at(f"{folder}/*/_SUCCESS"))
+        names = [s.getPath().getParent().getName() for s in found or []]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def put(self, name: str, content: bytes) -> None:
+        """A new file; one that is there is an error."""
+        stream = self._fs.create(self._at(name), False)
+        try:
+            stream.write(bytearray(content))
+        finally:
+            stream.close()
+
     def numbers(self, prefix: str, folder: str = "") -> list[int]:
         """Numbers of all tables, finished or not."""
         return sorted(int(n[len(prefix) :]) for n in self.names(folder) if n.startswith(prefix) and n[len(prefix) :].isdigit())

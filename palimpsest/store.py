@@ -4,18 +4,28 @@ Layout below ``path``: ``log/<n>`` holds one committed batch each, ``snapshots/<
 after batch n. A batch or snapshot counts once its ``_SUCCESS`` marker is there, which the Parquet
 committer writes last; that is the atomic step, on any Hadoop file system. The current records are
 the latest snapshot with later batches replayed: per field the latest value set after the latest
-creation, one aggregation per record. There must be a single writer at a time; optimistic
-revision checks and idempotence are decided against the current records when a batch is written.
+creation, one aggregation per record. An operation that was journalled as pending takes effect when
+it is marked applied, also if snapshots were written in between. There must be a single writer at a
+time; optimistic revision checks and idempotence are decided against the current records when a
+batch is written. Small batches are written as one Parquet file without a Spark job; after
+``COMPACT_BATCHES`` batches the records are written as a snapshot.
+
+Manifests hold the layouts that the store has gone through; opening a store of an older layout
+migrates it. Layout 2 has a content hash in every record.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import time
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +33,12 @@ from . import validation
 from .errors import StoreError
 from .functions import scalars as S
 from .operators import context, recall, records
+from .sources.files import Folder
 
 LOG = (
     "operation_id string, op string, state string, id string, tenant_id string, namespace string, agent_id string, user_id string, kind string, content string, "
     "content_hash bigint, embedding array<float>, embedding_model string, embedding_dims int, importance double, expires_at_ms bigint, sets_expiry boolean, "
-    "metadata_json string, source_json string, revision bigint, at_ms bigint, seq bigint"
+    "metadata_json string, source_json string, revision bigint, at_ms bigint, seq bigint, status string"
 )
 _SET = ["tenant_id", "namespace", "agent_id", "user_id", "kind", "content", "content_hash", "embedding", "embedding_model", "embedding_dims", "importance", "metadata_json", "source_json"]
 RECORD = (
@@ -37,12 +48,20 @@ RECORD = (
 )
 KEEP = object()  #: an update's expiry: leave it; None clears it
 SCHEMA_VERSION = 2
+COMPACT_BATCHES = 64
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32())}
+
+
+def content_hash(text: str) -> int:
+    """What ``xxhash64`` gives in SQL."""
+    return int.from_bytes(xxhash.xxh64_digest(text.encode(), seed=42), "big", signed=True)
 
 
 class MemoryStore:
     def __init__(self, spark: SparkSession, path: str, dimensions: int, embedding_model: str, max_recall_limit: int = 100, clock: Callable[[], int] | None = None):
         validation.config(dimensions, embedding_model, max_recall_limit)
         self.spark, self.path = spark, path.rstrip("/")
+        self.folder = Folder(spark, self.path)
         self.dims, self.model, self.max_recall_limit = dimensions, embedding_model, max_recall_limit
         self.now = clock or (lambda: int(time.time() * 1000))
 
@@ -50,43 +69,81 @@ class MemoryStore:
     def open(cls, spark: SparkSession, path: str, dimensions: int, embedding_model: str, max_recall_limit: int = 100, clock: Callable[[], int] | None = None) -> MemoryStore:
         """Open or create the store and finish what is pending."""
         store = cls(spark, path, dimensions, embedding_model, max_recall_limit, clock)
+        store.migrate()
         store.recover()
         return store
 
+    # --- layout -------------------------------------------------------------------------------
     def schema_version(self) -> int:
-        """The version of the layout; an empty store has it from its first batch on."""
+        """The latest layout that the store has gone through; 0 for a store that was never opened, 1 for data without a manifest."""
+        found = self.folder.manifest()
+        if found:
+            return max(a["version"] for a in found["applied"])
+        return 1 if self._committed("log") or self._committed("snapshots") else 0
+
+    def migrate(self) -> int:
+        """Bring the store to ``SCHEMA_VERSION``, one layout after the other; the version reached."""
+        version = self.schema_version()
+        if version > SCHEMA_VERSION:
+            raise StoreError("INVALID_INPUT", f"the store has layout {version}, this library knows {SCHEMA_VERSION}")
+        applied = (self.folder.manifest() or {"applied": []})["applied"]
+        steps = {1: lambda: None, 2: self._fill_hashes}
+        for v in range(version + 1, SCHEMA_VERSION + 1):
+            if version:
+                steps[v]()
+            applied = [*applied, {"version": v, "at_ms": self.now()}]
+        if version < SCHEMA_VERSION:
+            self.folder.commit({"applied": applied})
         return SCHEMA_VERSION
 
+    def _fill_hashes(self) -> None:
+        """Layout 1 left the content hash of single writes empty."""
+        missing = self.records().where("content_hash IS NULL AND content IS NOT NULL")
+        if not missing.isEmpty():
+            self._append(missing.select(F.uuid().alias("operation_id"), F.lit("status").alias("op"), F.lit("applied").alias("state"), "id", "tenant_id", "namespace",
+                                        F.xxhash64("content").alias("content_hash"), "status", "revision", F.col("updated_at_ms").alias("at_ms")))
+
     # --- files --------------------------------------------------------------------------------
     def _committed(self, folder: str) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/{n}/_SUCCESS"))]
-        return sorted(map(int, done))
+        """Numbers of the batches or snapshots whose marker is there: one listing."""
+        return self.folder.marked(folder)
 
     def _read(self, folder: str, numbers: list[int], schema: str) -> DataFrame:
         if not numbers:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{folder}/{n:09d}" for n in numbers])
 
+    def _next(self) -> int:
+        return max([0, *map(int, filter(str.isdigit, self.folder.names("log"))), *self._committed("snapshots")]) + 1
+
     def _append(self, rows: DataFrame) -> int:
-        seq = max([0, *self._committed("log"), *self._committed("snapshots")]) + 1
+        seq = self._next()
         columns = [c.split()[0] for c in LOG.split(", ")]
         there = set(rows.columns)
         types = dict(c.split(maxsplit=1) for c in LOG.split(", "))
         rows = rows.withColumn("seq", F.lit(seq)).select(
             *[(F.col(c) if c in there or c == "seq" else F.lit(None)).cast(types[c]).alias(c) for c in columns]
         )
-        rows.write.mode("overwrite").parquet(f"{self.path}/log/{seq:09d}")
+        rows.write.mode("errorifexists").parquet(f"{self.path}/log/{seq:09d}")
+        self._tidy(seq)
         return seq
 
     def _append_rows(self, rows: list[dict]) -> int:
-        names = [c.split()[0] for c in LOG.split(", ")]
-        return self._append(self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], LOG))
+        """One Parquet file, then the marker: no Spark job."""
+        seq = self._next()
+        types = dict(c.split(maxsplit=1) for c in LOG.split(", "))
+        table = pa.table({n: pa.array([seq if n == "seq" else r.get(n) for r in rows], _ARROW[t]) for n, t in types.items()})
+        sink = io.BytesIO()
+        pq.write_table(table, sink)
+        self.folder.put(f"log/{seq:09d}/part-00000.parquet", sink.getvalue())
+        self.folder.put(f"log/{seq:09d}/_SUCCESS", b"")
+        self._tidy(seq)
+        return seq
+
+    def _tidy(self, seq: int) -> None:
+        """Compact now and then, so that reading stays a few batches behind a snapshot."""
+        if seq % COMPACT_BATCHES == 0:
+            self.compact()
 
     def log(self) -> DataFrame:
         """All committed operations, as appended."""
@@ -103,20 +160,23 @@ class MemoryStore:
         """The current records, deleted ones included until they are vacuumed."""
         snaps = self._committed("snapshots")
         base = self._read("snapshots", snaps[-1:], RECORD)
-        later = [n for n in self._committed("log") if not snaps or n > snaps[-1]]
+        batches = self._committed("log")
+        later = [n for n in batches if not snaps or n > snaps[-1]]
         ops = self._read("log", later, LOG)
-        marked = ops.where("op = 'mark'").select("operation_id").distinct().withColumn("marked", F.lit(True))
-        ops = ops.where("op <> 'mark'").join(marked, "operation_id", "left").where("state = 'applied' OR marked")
+        earlier = self._read("log", [n for n in batches if n not in set(later)], LOG).where("state = 'pending'")
+        marks = ops.where("op = 'mark'").groupBy("operation_id").agg(F.min("seq").alias("marked"))
+        pending = ops.where("op <> 'mark' AND state = 'pending'").unionByName(earlier).join(marks, "operation_id").withColumn("seq", F.col("marked")).drop("marked")
+        ops = ops.where("op <> 'mark' AND state = 'applied'").unionByName(pending)
         started = base.select(
-            F.lit("snapshot").alias("op"), F.lit(0).cast("bigint").alias("seq"), "id", *_SET, "expires_at_ms", F.lit(True).alias("sets_expiry"), "revision",
+            F.lit("snapshot").alias("op"), F.lit(-1).cast("bigint").alias("seq"), "id", *_SET, "expires_at_ms", F.lit(True).alias("sets_expiry"), "revision",
             F.col("updated_at_ms").alias("at_ms"), "created_at_ms", "status", "access_count", "last_accessed_at_ms",
         )
         events = started.unionByName(
-            ops.select("op", "seq", "id", *_SET, "expires_at_ms", "sets_expiry", "revision", "at_ms", F.when(F.col("op") == "remember", F.col("at_ms")).alias("created_at_ms"), F.lit(None).cast("string").alias("status"),
+            ops.select("op", "seq", "id", *_SET, "expires_at_ms", "sets_expiry", "revision", "at_ms", F.when(F.col("op") == "remember", F.col("at_ms")).alias("created_at_ms"), "status",
                        F.when(F.col("op") == "remember", F.lit(0)).cast("bigint").alias("access_count"), F.lit(None).cast("bigint").alias("last_accessed_at_ms"))
         )
         order = F.col("seq")
-        status = F.when(F.col("op") == "snapshot", F.col("status")).when(F.col("op") == "delete", "deleted").otherwise("active")
+        status = F.when(F.col("op").isin("snapshot", "status"), F.col("status")).when(F.col("op") == "delete", "deleted").otherwise("active")
 
         def last(value, when) -> F.Column:
             return F.max_by(F.struct(order.alias("seq"), value.alias("v")), F.when(when, order))
@@ -146,13 +206,13 @@ class MemoryStore:
     def _row(self, r: dict, state: str = "applied") -> dict:
         tenant, namespace, agent, user = validation.scope(r.get("tenant_id"), r.get("namespace"), r.get("agent_id"), r.get("user_id"))
         if r.get("embedding_model") not in (None, self.model):
-            raise StoreError("EMBEDDING_MODEL_MISMATCH", f"Embedding model mismatch: expected {self.model}, got {r['embedding_model']}")
+            raise StoreError("EMBEDDING_MODEL_MISMATCH", f"this store holds embeddings of {self.model}, not of {r['embedding_model']}")
         kind = str(r.get("kind") or "fact").strip().lower()
         text = validation.content(r["content"])
         return {
             "operation_id": r.get("operation_id") or str(uuid.uuid4()), "op": "remember", "state": state, "id": str(uuid.uuid4()),
             "tenant_id": tenant, "namespace": namespace, "agent_id": agent, "user_id": user, "kind": kind if kind in records.KINDS else "episodic",
-            "content": text, "embedding": validation.vector(r["embedding"], self.dims), "embedding_model": self.model, "embedding_dims": self.dims,
+            "content": text, "content_hash": content_hash(text), "embedding": validation.vector(r["embedding"], self.dims), "embedding_model": self.model, "embedding_dims": self.dims,
             "importance": validation.importance(r.get("importance", 0.5)), "expires_at_ms": r.get("expires_at_ms"), "sets_expiry": True,
             "metadata_json": validation.metadata(r.get("metadata")), "source_json": json.dumps(r.get("source") or {}), "revision": 1, "at_ms": self.now(),
         }
@@ -186,9 +246,10 @@ class MemoryStore:
     def remember_frame(self, rows: DataFrame) -> DataFrame:
         """Store a DataFrame in one distributed batch; the rejected rows come back with a ``reason``.
 
-        Columns as in ``remember_batch``, metadata as ``metadata_json``; operations already in the
-        log and repeated within the frame are left out, the earliest by ``operation_id`` order kept.
+        Columns as in ``remember_batch``, metadata as ``metadata_json``; operations already in the log
+        are left out, and of those repeated within the frame the row with the smallest fields is kept.
         """
+        rows = rows.select(*[c for c in ("tenant_id", "namespace", "content", "embedding", "operation_id", "agent_id", "user_id", "kind", "importance", "expires_at_ms", "metadata_json", "source_json") if c in rows.columns])
         for c in ("operation_id", "agent_id", "user_id", "kind", "importance", "expires_at_ms", "metadata_json", "source_json"):
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None))
@@ -196,16 +257,18 @@ class MemoryStore:
         reason = (
             F.when(F.coalesce(F.btrim("tenant_id"), F.lit("")) == "", "INVALID_SCOPE").when(F.coalesce(F.btrim("namespace"), F.lit("")) == "", "INVALID_SCOPE")
             .when(F.coalesce(F.btrim("content"), F.lit("")) == "", "INVALID_INPUT").when(F.coalesce(F.size("embedding"), F.lit(-1)) != self.dims, "DIMENSION_MISMATCH")
-            .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), "INVALID_INPUT").when(~importance.between(0, 1), "INVALID_INPUT")
+            .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "INVALID_INPUT").when(~importance.between(0, 1), "INVALID_INPUT")
         )
         judged = rows.withColumn("reason", reason)
         good = judged.where("reason IS NULL").withColumn("operation_id", F.coalesce(F.col("operation_id").cast("string"), F.uuid()))
-        good = good.dropDuplicates(["tenant_id", "operation_id"])
+        good = good.withColumn("tenant_id", F.btrim("tenant_id"))
+        rest = [c for c in good.columns if c not in ("tenant_id", "operation_id")]
+        good = good.groupBy("tenant_id", "operation_id").agg(F.min(F.struct(*rest)).alias("r")).select("tenant_id", "operation_id", "r.*")
         seen = self.log().where("op = 'remember'").select("tenant_id", "operation_id").distinct()
         good = good.join(seen, ["tenant_id", "operation_id"], "left_anti")
         self._append(
             good.select(
-                "operation_id", F.lit("remember").alias("op"), F.lit("applied").alias("state"), F.uuid().alias("id"), F.btrim("tenant_id").alias("tenant_id"), F.btrim("namespace").alias("namespace"),
+                "operation_id", F.lit("remember").alias("op"), F.lit("applied").alias("state"), F.uuid().alias("id"), "tenant_id", F.btrim("namespace").alias("namespace"),
                 "agent_id", "user_id", records.kind_of(F.coalesce(F.col("kind").cast("string"), F.lit("fact"))).alias("kind"), "content", F.xxhash64("content").alias("content_hash"),
                 "embedding", F.lit(self.model).alias("embedding_model"), F.lit(self.dims).alias("embedding_dims"), importance.alias("importance"), "expires_at_ms", F.lit(True).alias("sets_expiry"),
                 F.coalesce(F.col("metadata_json").cast("string"), F.lit("{}")).alias("metadata_json"), F.coalesce(F.col("source_json").cast("string"), F.lit("{}")).alias("source_json"),
@@ -228,7 +291,7 @@ class MemoryStore:
             raise StoreError("REVISION_CONFLICT", f"expected {expected_revision}, found {now['revision']}")
         row = {"operation_id": operation_id or str(uuid.uuid4()), "op": "update", "state": "applied", "id": now["id"], "tenant_id": now["tenant_id"], "namespace": now["namespace"], "revision": expected_revision + 1, "at_ms": self.now()}
         if content is not None:
-            row["content"] = validation.content(content)
+            row |= {"content": validation.content(content), "content_hash": content_hash(content)}
         if embedding is not None:
             row["embedding"] = validation.vector(embedding, self.dims)
         if kind is not None:
@@ -249,17 +312,27 @@ class MemoryStore:
         Of several patches of a record only one can have the expected revision and is applied, the
         smallest by its fields; the others are conflicts.
         """
-        fields = [c for c in ("content", "embedding", "kind", "importance") if c in patches.columns]
+        types = {"content": "string", "embedding": "array<float>", "kind": "string", "importance": "double"}
+        fields = [c for c in types if c in patches.columns]
         current = self.records().select("id", F.col("tenant_id").alias("t"), F.col("namespace").alias("n"), F.col("status").alias("s"), F.col("revision").alias("r"))
         one = patches.groupBy("id", "tenant_id", "namespace", "expected_revision").agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("k"))
         joined = one.join(current, "id", "left")
+
+        def given(c: str) -> F.Column:
+            return F.col(f"p.{c}").cast(types[c]) if c in fields else F.lit(None).cast(types[c])
+
         missing = F.col("r").isNull() | (F.col("s") == "deleted") | (F.col("t") != F.col("tenant_id")) | (F.col("n") != F.col("namespace"))
-        reason = F.when(missing, "NOT_FOUND").when(F.col("r") != F.col("expected_revision"), "REVISION_CONFLICT")
+        reason = (
+            F.when(missing, "NOT_FOUND").when(F.col("r") != F.col("expected_revision"), "REVISION_CONFLICT")
+            .when(F.btrim(given("content")) == "", "INVALID_INPUT").when(F.size(given("embedding")) != self.dims, "DIMENSION_MISMATCH")
+            .when(F.exists(given("embedding"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "INVALID_INPUT").when(~given("importance").between(0, 1), "INVALID_INPUT")
+        )
         judged = joined.withColumn("reason", reason)
         good = judged.where("reason IS NULL")
+        values = [(F.when(given(c).isNotNull(), records.kind_of(given(c))) if c == "kind" else given(c)).alias(c) for c in fields]
         self._append(
-            good.select(F.uuid().alias("operation_id"), F.lit("update").alias("op"), F.lit("applied").alias("state"), "id", "tenant_id", "namespace", *[F.col(f"p.{c}") for c in fields],
-                        (F.col("expected_revision") + 1).alias("revision"), F.lit(self.now()).alias("at_ms"))
+            good.select(F.uuid().alias("operation_id"), F.lit("update").alias("op"), F.lit("applied").alias("state"), "id", "tenant_id", "namespace", *values,
+                        F.when(given("content").isNotNull(), F.xxhash64(given("content"))).alias("content_hash"), (F.col("expected_revision") + 1).alias("revision"), F.lit(self.now()).alias("at_ms"))
         )
         return judged.where("reason IS NOT NULL OR k > 1").select("id", "expected_revision", F.coalesce("reason", F.lit("REVISION_CONFLICT")).alias("reason"))
 
@@ -275,6 +348,20 @@ class MemoryStore:
         hit = self.records().where(F.col("id").isin(wanted) & (F.col("tenant_id") == tenant) & (F.col("namespace") == ns) & (F.col("status") != "deleted"))
         self._append(hit.select(F.uuid().alias("operation_id"), F.lit("delete").alias("op"), F.lit("applied").alias("state"), "id", "tenant_id", "namespace", "revision", F.lit(self.now()).alias("at_ms")))
 
+    def set_status(self, id: str, status: str) -> None:
+        self.set_status_batch([id], status)
+
+    def set_status_batch(self, ids: list[str], status: str) -> None:
+        """Give records a status, in whatever scope they are, revision and times unchanged; unknown ids change nothing."""
+        if status not in records.STATUSES:
+            raise StoreError("INVALID_INPUT", f"no status {status!r}")
+        wanted = [validation.identifier(i) for i in ids]
+        if wanted:
+            hit = self.records().where(F.col("id").isin(wanted)).select("id", "tenant_id", "namespace", "revision", "updated_at_ms").collect()
+            rows = [{"operation_id": str(uuid.uuid4()), "op": "status", "state": "applied", "status": status, "at_ms": r["updated_at_ms"], **{c: r[c] for c in ("id", "tenant_id", "namespace", "revision")}} for r in hit]
+            if rows:
+                self._append_rows(rows)
+
     def mark_applied(self, operation_ids: list[str]) -> None:
         self._append_rows([{"operation_id": o, "op": "mark", "state": "applied", "at_ms": self.now()} for o in operation_ids])
 
@@ -313,12 +400,7 @@ class MemoryStore:
         done = self.log().where("op = 'mark'").select("operation_id", F.lit("applied").alias("state"))
         states = ops.unionByName(done).groupBy("operation_id").agg(F.min("state").alias("state"))
         h = records.health(self.records(), states).first().asDict()
-        jvm = self.spark._jvm
-        size = {}
-        for folder in ("snapshots", "log"):
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-            fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            size[folder] = fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+        size = {folder: self.folder.size(folder) for folder in ("snapshots", "log")}
         return {
             "is_healthy": h["is_healthy"], "total_active_records": h["active_records"], "total_tombstoned_records": h["tombstoned_records"],
             "pending_operations_count": h["pending_operations"], "index_rebuild_required": h["rebuild_required"], "db_size_bytes": size["snapshots"], "wal_size_bytes": size["log"],
@@ -330,14 +412,28 @@ class MemoryStore:
         return bad.limit(1).count() == 0
 
     def backup(self, target: str) -> None:
-        """A store at ``target`` with the records as they are now."""
-        self.records().write.mode("overwrite").parquet(f"{target.rstrip('/')}/snapshots/{max([0, *self._committed('log')]):09d}")
+        """A store at ``target`` with the records and all operations as they are now: known ones stay known, pending ones pending."""
+        log, copy = self._committed("log"), Folder(self.spark, target)
+        if copy.names("log") or copy.names("snapshots"):
+            raise StoreError("INVALID_INPUT", f"{target} is not empty")
+        last = max([0, *log])
+        if log:
+            self._read("log", log, LOG).write.parquet(f"{copy.path}/log/{last:09d}")
+        self.records().write.parquet(f"{copy.path}/snapshots/{last:09d}")
+        found = self.folder.manifest()
+        if found:
+            copy.commit(found)
 
     # --- reading ------------------------------------------------------------------------------
     def get_raw(self, tenant_id: str, namespace: str, id: str) -> dict | None:
         row = self._one(tenant_id, namespace, id)
         return row.asDict() if row else None
 
+    def find(self, id: str) -> dict | None:
+        """A record of any scope and status, for recovery and tools."""
+        row = self.records().where(F.col("id") == validation.identifier(id)).first()
+        return row.asDict() if row else None
+
     def get(self, tenant_id: str, namespace: str, id: str) -> dict | None:
         """An active record, whether or not it has expired."""
         row = self.get_raw(tenant_id, namespace, id)

@@ -60,6 +60,76 @@ def test_batch_vacuum_health_backup(spark, store, tmp_path):
     assert MemoryStore.open(spark, str(tmp_path / "copy"), 3, "m").active().count() == 2
 
 
+def test_backup_keeps_operations(spark, store, tmp_path):
+    a = store.remember("t", "n", "first", [1, 0, 0], operation_id="known")
+    (b,) = store.remember_batch([{"tenant_id": "t", "namespace": "n", "content": "later", "embedding": [0, 1, 0]}], state="pending")
+    store.backup(str(tmp_path / "copy"))
+    with pytest.raises(StoreError):
+        store.backup(str(tmp_path / "copy"))
+    copy = MemoryStore(spark, str(tmp_path / "copy"), 3, "m", clock=Clock())
+    assert copy.pending().count() == 1 and copy.active().count() == 1
+    assert copy.remember("t", "n", "again", [1, 0, 0], operation_id="known") == a and copy.active().count() == 1
+    assert copy.recover() == 1 and copy.get("t", "n", b)["content"] == "later" and copy.schema_version() == 2
+    copy.compact()
+    assert copy.active().count() == 2 and store.active().count() == 1
+
+
+def test_pending_before_a_snapshot(store):
+    store.remember("t", "n", "one", [1, 0, 0])
+    (b,) = store.remember_batch([{"tenant_id": "t", "namespace": "n", "content": "two", "embedding": [0, 1, 0], "operation_id": "p"}], state="pending")
+    store.compact()
+    store.mark_applied(["p"])
+    assert store.get("t", "n", b)["content"] == "two"
+    store.compact()
+    assert store.active().count() == 2
+
+
+def test_content_hash_status_and_compaction(spark, store, monkeypatch):
+    monkeypatch.setattr("palimpsest.store.COMPACT_BATCHES", 4)
+    a = store.remember("t", "n", "grüße", [1, 0, 0])
+    hashed = store.records().select(F.expr("content_hash = xxhash64(content)").alias("same"))
+    assert hashed.first()["same"]
+    store.update("t", "n", a, 1, content="other")
+    assert hashed.first()["same"] and store.find(a)["revision"] == 2 and store.find("none") is None
+    patch = spark.createDataFrame([(a, "t", "n", 2, "third")], "id string, tenant_id string, namespace string, expected_revision bigint, content string")
+    assert store.update_frame(patch).count() == 0
+    assert store.records().select(F.expr("content_hash = xxhash64(content)").alias("same")).first()["same"]
+    before = store.find(a)
+    store.set_status(a, "expired")
+    store.set_status_batch(["none"], "active")
+    after = store.find(a)
+    assert after["status"] == "expired" and {k: v for k, v in before.items() if k != "status"} == {k: v for k, v in after.items() if k != "status"}
+    with pytest.raises(StoreError):
+        store.set_status(a, "odd")
+    assert store._committed("snapshots") == [4]
+    store.set_status(a, "active")
+    assert store.get("t", "n", a)["content"] == "third"
+
+
+def test_update_frame_rejects_what_a_single_update_does(spark, store):
+    ids = store.remember_batch([{"tenant_id": "t", "namespace": "n", "content": f"c{i}", "embedding": [1, i, 0]} for i in range(5)])
+    rows = [(ids[0], "t", "n", 1, " ", None, None), (ids[1], "t", "n", 1, None, [1.0], None), (ids[2], "t", "n", 1, None, [1.0, float("nan"), 0.0], None), (ids[3], "t", "n", 1, None, None, 2.0), (ids[4], "t", "n", 1, "ok", [0.0, 0.0, 1.0], 0.5)]
+    patches = spark.createDataFrame(rows, "id string, tenant_id string, namespace string, expected_revision bigint, content string, embedding array<float>, importance double")
+    got = {r["id"]: r["reason"] for r in store.update_frame(patches).collect()}
+    assert got == dict(zip(ids, ["INVALID_INPUT", "DIMENSION_MISMATCH", "INVALID_INPUT", "INVALID_INPUT"]))
+    assert store.find(ids[4])["embedding"] == [0.0, 0.0, 1.0] and store.find(ids[0])["revision"] == 1
+
+
+def test_migration_fills_hashes(spark, tmp_path):
+    old = MemoryStore(spark, str(tmp_path / "old"), 3, "m", clock=Clock())
+    assert old.schema_version() == 0
+    row = old._row({"tenant_id": "t", "namespace": "n", "content": "x", "embedding": [1, 0, 0]}) | {"content_hash": None}
+    old._append_rows([row])
+    assert old.schema_version() == 1
+    new = MemoryStore.open(spark, str(tmp_path / "old"), 3, "m", clock=Clock())
+    assert new.schema_version() == 2 and [a["version"] for a in new.folder.manifest()["applied"]] == [2]
+    r = new.find(row["id"])
+    assert r["content_hash"] is not None and r["revision"] == 1 and r["updated_at_ms"] == r["created_at_ms"]
+    new.folder.commit({"applied": [{"version": 9, "at_ms": 0}]})
+    with pytest.raises(StoreError):
+        MemoryStore.open(spark, str(tmp_path / "old"), 3, "m")
+
+
 def test_recovery(spark, store):
     (a,) = store.remember_batch([{"tenant_id": "t", "namespace": "n", "content": "x", "embedding": [1, 0, 0]}], state="pending")
     assert store.get("t", "n", a) is None and store.health()["pending_operations_count"] == 1
