@@ -1,25 +1,35 @@
-"""Full-text search: BM25 over postings, many queries at once.
+"""Full-text search: BM25 of phrases and terms, many queries at once.
 
-Any term of a query suffices. Statistics come from all records that have a content, of all scopes
-and also deleted ones, as long as they are in the table; matches only from live ones in the
-query's scope. Postings and statistics are ordinary aggregations, so nothing has to be maintained.
+A query is one phrase of all its tokens or any of its terms; any of them suffices, and the phrase
+lifts the rank. Statistics come from all records that have a content, of all scopes and also deleted
+ones, as long as they are in the table; matches only from live ones in the query's scope.
 
-Defined results: a null or empty content has no postings; a query without any letter or digit
-matches nothing; equal ranks (9 decimals) are ordered by id; other columns are ignored.
+Nothing is kept: the tokens of the texts are the index. The phrases of the queries are sent to all
+tasks in slices of bounded number, and their document frequencies come back. Then scopes are cut
+into blocks of texts and of queries by their counted sizes; within a block inverted lists are built,
+each query adds up its lists, and only its best rows leave the block. So a common term costs
+its postings in one task's memory and never a row per query and text in a shuffle.
+
+Defined results: a null content has no postings, one without tokens counts as a text of length 0; a
+query without any letter or digit matches nothing; equal ranks (9 decimals) are ordered by id;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, tokens
-from .durable import cut
+from ..functions.text import query_phrases, tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values
 MOST_HITS = 300  #: a literal bound lets Spark cut each query's hits before the shuffle
+SLICE = 100_000  #: phrases counted in one pass over the texts
+BLOCK_ROWS = 20_000  #: texts, and queries, of a block
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -34,35 +44,152 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def search(queries: DataFrame, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, most: int = MOST_HITS) -> DataFrame:
+class _Inverted:
+    """Inverted lists with positions of the texts of a block, of the tokens that some query asks for."""
+
+    def __init__(self, texts: pa.ChunkedArray, wanted: set[str]):
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        flat = texts.flatten().to_pylist()
+        self.lengths = np.diff(texts.offsets.to_numpy()) if len(texts) else np.zeros(0, np.int64)
+        self.number = {t: i for i, t in enumerate(sorted(wanted))}
+        # a gap behind each text keeps phrases from running into the next one
+        codes = np.full(len(flat) + len(texts), -1, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.lengths + 1)
+        codes[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), self.lengths)] = [self.number.get(t, -1) for t in flat]
+        self.codes = np.append(codes, np.full(1, -1))
+        order = np.argsort(codes, kind="stable")
+        self.at = order[np.searchsorted(codes[order], 0) :]
+        self.starts = np.searchsorted(codes[self.at], np.arange(len(self.number) + 1))
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def find(self, phrase: str) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that hold the phrase, and how often."""
+        if phrase not in self.known:
+            numbers = [self.number[t] for t in phrase.split(" ")]
+            pos = self.at[self.starts[numbers[0]] : self.starts[numbers[0] + 1]]
+            for j, n in enumerate(numbers[1:], 1):
+                pos = pos[pos + j < len(self.codes)]
+                pos = pos[self.codes[pos + j] == n]
+            self.known[phrase] = np.unique(self.doc[pos], return_counts=True)
+        return self.known[phrase]
+
+
+def _frequencies(texts: DataFrame, phrases: list[str]) -> DataFrame:
+    """``term, df`` of the given phrases over ``tokens`` arrays; each task sends a row per phrase at most."""
+    sent = texts.sparkSession.sparkContext.broadcast(phrases)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = [p.split(" ") for p in sent.value]
+        wanted = {t for ts in split for t in ts}
+        df = np.zeros(len(split), np.int64)
+        single: dict[str, int] = {ts[0]: i for i, ts in enumerate(split) if len(ts) == 1}
+        longer: dict[tuple[str, str], list[int]] = {}
+        for i, ts in enumerate(split):
+            if len(ts) > 1:
+                longer.setdefault((ts[0], ts[1]), []).append(i)
+        for b in batches:
+            index = _Inverted(b.column("tokens"), wanted)
+            v = max(len(index.number), 1)
+            names = sorted(wanted)
+            pairs = np.unique(index.doc[index.at] * v + index.codes[index.at])
+            for code, n in zip(*np.unique(pairs % v, return_counts=True)):
+                if names[code] in single:
+                    df[single[names[code]]] += n
+            # only phrases whose first two tokens stand side by side somewhere are looked for
+            x, y = index.codes[:-1], index.codes[1:]
+            beside = np.unique(x[(x >= 0) & (y >= 0)] * v + y[(x >= 0) & (y >= 0)])
+            for code in beside:
+                for i in longer.get((names[code // v], names[code % v]), ()):
+                    df[i] += len(index.find(sent.value[i])[0])
+        yield pa.RecordBatch.from_arrays([pa.array(sent.value, pa.string()), pa.array(df)], names=["term", "df"])
+
+    return texts.select("tokens").mapInArrow(count, "term string, df bigint").where("df > 0").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _slices(phrases: DataFrame) -> Iterator[list[str]]:
+    n = phrases.count()
+    parts = max(1, -(-n // SLICE))
+    for i in range(parts):
+        yield [r[0] for r in phrases.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()]
+
+
+def _score(avgdl: float):
+    def best(key, docs: pa.Table, queries: pa.Table) -> pa.Table:
+        docs = docs.sort_by("id")
+        asked = list(zip(*(queries[c].to_pylist() for c in ("qid", "k", "terms", "asked"))))
+        index = _Inverted(docs["tokens"], {t for _, _, terms, _ in asked for p in terms for t in p["term"].split(" ")}) if docs.num_rows and asked else None
+        marks: dict[str, set[int]] = {}
+        if index and any(m for *_, m in asked):
+            wanted = {e for *_, m in asked for e in m or ()}
+            for i, entries in enumerate(docs["entries"].to_pylist()):
+                for e in entries or ():
+                    if e in wanted:
+                        marks.setdefault(e, set()).add(i)
+        which, at, scores = [], [], []
+        if index:
+            norm = K1 * (1 - B + B * index.lengths / avgdl) if avgdl else np.full(docs.num_rows, K1)
+            total = np.zeros(docs.num_rows)
+            for i, (_, k, terms, m) in enumerate(asked):
+                touched = []
+                for t in terms:
+                    d, tf = index.find(t["term"])
+                    if len(d):
+                        total[d] += t["w"] * t["idf"] * tf * (K1 + 1) / (tf + norm[d])
+                        touched.append(d)
+                if not touched:
+                    continue
+                d = np.unique(np.concatenate(touched))
+                s = np.round(total[d], 9)
+                total[d] = 0
+                if m:
+                    passing = set.intersection(*(marks.get(e, set()) for e in m))
+                    ok = np.isin(d, np.fromiter(passing, np.int64, len(passing)))
+                    d, s = d[ok], s[ok]
+                order = np.lexsort((d, -s))[:k]  # texts are in the order of their ids
+                which.append(np.full(len(order), i))
+                at.append(d[order])
+                scores.append(s[order])
+        rows, which, scores = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (which, np.int64), (scores, float)))
+        found = queries.select(["qid", "k"]).take(pa.array(which))
+        return pa.table({"qid": found["qid"], "id": docs["id"].take(pa.array(rows)), "k": found["k"], "bm25": pa.array(scores)})
+
+    return best
+
+
+def search(queries: DataFrame, docs: DataFrame, most: int = MOST_HITS) -> DataFrame:
     """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most ``most``.
 
-    ``keep`` filters the hits (``qid, id, k, bm25``) before they are ranked and cut.
+    If queries have ``asked`` (an array, null for no wish) and records ``entries``, only records with
+    all entries asked for are ranked.
     """
-    spark = docs.sparkSession
-    post = cut(postings(docs))  # the index, read for the statistics and for the matches
+    if "entries" not in docs.columns:
+        docs = docs.withColumn("entries", F.lit(None).cast("array<string>"))
+    if "asked" not in queries.columns:
+        queries = queries.withColumn("asked", F.lit(None).cast("array<string>"))
+    texts = docs.where("content IS NOT NULL").select("id", "tenant_id", "namespace", "live", "entries", tokens(F.col("content")).alias("tokens"))
     asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").select(
-        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).alias("k"), F.explode(query_terms(F.col("text"))).alias("term")
-    )
-    asked = asked.groupBy("qid", "tenant_id", "namespace", "k", "term").agg(F.count("*").alias("w"))
-    hits = spark.sql(
-        f"""
-        WITH st AS (SELECT count(*) AS n, avg(size(regexp_extract_all(lower(content), '([\\\\p{{{{L}}}}\\\\p{{{{N}}}}]+)', 1))) AS avgdl FROM {{docs}} WHERE content IS NOT NULL),
-        df AS (SELECT term, count(*) AS df FROM {{post}} GROUP BY term),
-        q AS (
-          SELECT a.*, greatest(ln(((SELECT n FROM st) - df + 0.5D) / (df + 0.5D)), {IDF_FLOOR}D) AS idf FROM {{asked}} a JOIN df USING (term))
-        SELECT q.qid, p.id, first(q.k) AS k,
-               round(sum(q.w * q.idf * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.doc_len / (SELECT avgdl FROM st)))), 9) AS bm25
-        FROM q JOIN {{post}} p ON p.term = q.term AND p.tenant_id = q.tenant_id AND p.namespace = q.namespace
-        WHERE p.live GROUP BY q.qid, p.id""",
-        docs=docs,
-        post=post,
-        asked=asked,
-    )
-    return spark.sql(
-        f"""
-        SELECT qid, id, bm25, rank FROM (
-          SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rank FROM {{hits}})
-        WHERE rank <= {most} AND rank <= k""",
-        hits=keep(hits) if keep else hits,
+        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), "asked", F.explode(query_phrases(F.col("text"))).alias("term")
     )
+    weights = asked.groupBy("qid", "term").agg(F.count("*").alias("w"))
+    stats = texts.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
+    n, avgdl = stats["n"], stats["avgdl"] or 0.0
+    df = None
+    for phrases in _slices(asked.select("term").distinct()):
+        part = _frequencies(texts, phrases)
+        df = part if df is None else df.unionByName(part)
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    terms = weights.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", F.col("w").cast("double").alias("w"), idf.alias("idf"))).alias("terms"))
+    q = asked.drop("term").dropDuplicates(["qid"]).join(terms, "qid")
+    live = texts.where("live")
+    scope = ["tenant_id", "namespace"]
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+
+    sizes = blocks(live, "db").join(blocks(queries, "qb"), scope)
+    d = live.join(sizes, scope).select(*scope, "id", "tokens", "entries", F.pmod(F.xxhash64("id"), F.col("db")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
+    q = q.join(sizes, scope).select(*scope, "qid", "k", "terms", "asked", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("db") - 1)).alias("b"))
+    qid_type, id_type = (t.simpleString() for t in (queries.schema["qid"].dataType, docs.schema["id"].dataType))
+    found = d.groupBy(*scope, "b", "c").cogroup(q.groupBy(*scope, "b", "c")).applyInArrow(_score(avgdl), f"qid {qid_type}, id {id_type}, k int, bm25 double")
+    order = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), "id")  # at most k rows per block
+    return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {most}").where("rank <= k").select("qid", "id", "bm25", "rank")

@@ -84,17 +84,11 @@ def candidates(requests: DataFrame, records: DataFrame, most: int = MAX_RECALL_L
     """``qid, id, vrank, dist, trank, rrf``: both candidate lists of the valid requests over ``prepared`` records, fused."""
     active = records.where("status = 'active'")
     vectors = active.where("size(embedding) = embedding_dims").select("id", "tenant_id", "namespace", F.col("embedding").alias("vec"))
-    dense = knn.batch_nearest(requests.select("qid", "vec", "k", "tenant_id", "namespace"), vectors, "cosine", ["tenant_id", "namespace"])
-    docs = records.select("id", "tenant_id", "namespace", "content", (F.col("status") == "active").alias("live"))
-    asks = requests.where("q_has_meta").select("qid", "q_has_meta", "q_meta")
-    metas = records.where("metadata_json IS NOT NULL").select("id", S.json_entries("metadata_json").alias("meta"))
-
-    def asked_metadata(hits: DataFrame) -> DataFrame:
-        c = hits.join(asks, "qid", "left").withColumn("q_has_meta", F.coalesce("q_has_meta", F.lit(False))).join(metas, "id", "left")
-        return c.where(_has_metadata()).select(hits.columns)
-
+    dense = knn.batch_nearest(requests.select("qid", "vec", "k", "tenant_id", "namespace"), vectors, "cosine", ["tenant_id", "namespace"], most=3 * most)
+    docs = records.select("id", "tenant_id", "namespace", "content", (F.col("status") == "active").alias("live"), S.json_entries("metadata_json").alias("entries"))
     # metadata is asked for before the cut; kinds, importance and expiry come after it, as does everything in the dense branch
-    text = fulltext.search(requests.select("qid", "tenant_id", "namespace", "text", "k"), docs, asked_metadata, 3 * most)
+    asking = requests.where("NOT q_has_meta OR q_meta IS NOT NULL").select("qid", "tenant_id", "namespace", "text", "k", F.col("q_meta").alias("asked"))
+    text = fulltext.search(asking, docs, 3 * most)
     return fuse(dense.select("qid", "id", F.col("rank").alias("vrank"), "dist"), text.select("qid", "id", F.col("rank").alias("trank")))
 
 

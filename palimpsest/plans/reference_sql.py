@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import ACCENTED, PLAIN
+
 _V = """
 v AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec, label::VARCHAR AS label,
@@ -56,7 +58,8 @@ CASE WHEN request_id IS NULL THEN 'request_id' WHEN coalesce(trim(tenant_id), ''
      WHEN coalesce(max_items, 0) <= 0 THEN 'max_items' WHEN query_embedding IS NULL OR len(query_embedding) <> 96 THEN 'query_embedding'
      WHEN mmr_lambda < 0 OR mmr_lambda > 1 OR isnan(mmr_lambda) THEN 'mmr_lambda' END
 """
-_TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_FOLD = "translate(regexp_replace(lower({}), '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '%s', '%s')" % (ACCENTED, PLAIN)
+_TOKENS = f"regexp_extract_all({_FOLD}, '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 _USABLE = "embedding IS NOT NULL AND len(embedding) = embedding_dims AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _FTS = f"""
 t AS (SELECT id, tenant_id, namespace, status = 'active' AS live, {_TOKENS.format('content')} AS terms FROM m WHERE content IS NOT NULL),
@@ -72,17 +75,29 @@ r AS (
          min_importance AS q_min, metadata_eq_json AS q_meta, mmr_lambda, asked_at_ms AS now_ms
   FROM recall_requests WHERE ({_REASON}) IS NULL)
 """
+_ENTRIES = "CASE WHEN json_valid({0}) AND json_type({0}) = 'OBJECT' THEN list_transform(json_keys({0}), lambda k: k || chr(31) || json_extract({0}, '$.\"' || k || '\"')::VARCHAR) END"
 _SEARCH = f"""
-qt0 AS (SELECT qid, tenant_id, namespace, k, {_TOKENS.format('text')} AS terms FROM r WHERE text IS NOT NULL),
-qt AS (SELECT qid, tenant_id, namespace, k, CASE WHEN len(terms) = 1 THEN list_concat(terms, terms) ELSE terms END AS terms FROM qt0),
-qw AS (SELECT qid, tenant_id, namespace, k, term, count(*) AS w FROM (SELECT qid, tenant_id, namespace, k, unnest(terms) AS term FROM qt) GROUP BY ALL),
+q0 AS (SELECT qid, tenant_id, namespace, k, q_meta, {_FOLD.format("regexp_replace(text, '[^\\p{L}\\p{N}_-]', ' ', 'g')")} AS clean FROM r WHERE text IS NOT NULL),
+q1 AS (SELECT *, list_filter(list_transform(string_split_regex(clean, '\\s+'), lambda t: array_to_string(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+'), ' ')), lambda t: t <> '') AS terms,
+       array_to_string(regexp_extract_all(clean, '[\\p{{L}}\\p{{N}}]+'), ' ') AS whole FROM q0),
+qw AS (SELECT qid, tenant_id, namespace, k, q_meta, term, count(*) AS w FROM (SELECT qid, tenant_id, namespace, k, q_meta, unnest(list_concat([whole], terms)) AS term FROM q1 WHERE len(terms) > 0) GROUP BY ALL),
+ph AS (SELECT DISTINCT term, string_split(term, ' ') AS ts FROM qw WHERE contains(term, ' ')),
+pt AS (
+  SELECT tf.id, tf.tenant_id, tf.namespace, tf.live, tf.dl, ph.term,
+         len(list_filter(range(1, tf.dl - len(ph.ts) + 2), lambda i: t.terms[i:i + len(ph.ts) - 1] = ph.ts)) AS tf
+  FROM ph JOIN tf ON tf.term = ph.ts[1] JOIN t ON t.id = tf.id),
+every AS (SELECT id, tenant_id, namespace, live, dl, term, tf FROM tf UNION ALL SELECT * FROM pt WHERE tf > 0),
+dfs AS (SELECT term, count(*) AS df FROM every GROUP BY term),
+meta AS (SELECT id, {_ENTRIES.format('metadata_json')} AS entries FROM m),
 hits AS (
-  SELECT qw.qid, tf.id, any_value(qw.k) AS k,
+  SELECT qw.qid, p.id, any_value(qw.k) AS k, any_value(qw.q_meta) AS q_meta,
     round(sum(w * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS bm25
-  FROM qw JOIN df USING (term) JOIN tf ON tf.term = qw.term AND tf.tenant_id = qw.tenant_id AND tf.namespace = qw.namespace, st
-  WHERE tf.live GROUP BY qw.qid, tf.id),
-txt AS (SELECT qid, id, bm25, (row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id))::INT AS trank FROM hits QUALIFY trank <= k)
+  FROM qw JOIN dfs USING (term) JOIN every p ON p.term = qw.term AND p.tenant_id = qw.tenant_id AND p.namespace = qw.namespace, st
+  WHERE p.live GROUP BY qw.qid, p.id),
+fit AS (SELECT hits.* FROM hits JOIN meta USING (id) WHERE {{asked}}),
+txt AS (SELECT qid, id, bm25, (row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id))::INT AS trank FROM fit QUALIFY trank <= k)
 """
+_ASKED = f"q_meta IS NULL OR (json_valid(q_meta) AND json_type(q_meta) = 'OBJECT' AND len(list_filter({_ENTRIES.format('q_meta')}, lambda e: NOT list_contains(coalesce(entries, []), e))) = 0)"
 _POOL = f"""
 e AS (SELECT id, tenant_id, namespace, list_transform(embedding, lambda x: x::DOUBLE) AS emb FROM m WHERE status = 'active' AND {_USABLE}),
 dn AS (
@@ -111,7 +126,7 @@ s AS (
   SELECT *, least(1.0, greatest(0.0, 1 - cosd / 2)) AS similarity,
          round(0.70 * least(1.0, greatest(0.0, 1 - cosd / 2)) + 0.15 * importance_score + 0.10 * recency + 0.05 * reinforcement, 9) AS score FROM c)
 """
-_RECALL = f"WITH {_M}, {_R}, {_FTS}, {_SEARCH}, {_POOL}, {_SCORES}"
+_RECALL = f"WITH {_M}, {_R}, {_FTS}, {_SEARCH.replace("{asked}", _ASKED)}, {_POOL}, {_SCORES}"
 _TOP = "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, rrf DESC, id))::INT AS position FROM s QUALIFY position <= top"
 _LINE = "'- [' || kind || '] ' || coalesce(content, '') || ' (score: ' || printf('%.2f', score) || ')'"
 
@@ -218,9 +233,9 @@ WITH {_O}, l AS (
   SELECT * FROM k WHERE kind IN ('remember', 'delete') QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY at_ms DESC, rev DESC, operation_id DESC) = 1)
 SELECT memory_id, operation_id FROM l WHERE kind = 'delete'""",
     "fts_vocabulary": f"WITH {_M}, {_FTS} SELECT term, df, cf FROM df",
-    "fts_search": f"WITH {_M}, {_R}, {_FTS}, {_SEARCH} SELECT qid, id, round(bm25, 6) AS bm25, trank AS rank FROM txt",
+    "fts_search": f"WITH {_M}, {_R}, {_FTS}, {_SEARCH.replace("{asked}", "true")} SELECT qid, id, round(bm25, 6) AS bm25, trank AS rank FROM txt",
     "recall_invalid": f"SELECT request_id, {_REASON} AS reason FROM recall_requests WHERE ({_REASON}) IS NOT NULL",
-    "rrf_fusion": f"WITH {_M}, {_R}, {_FTS}, {_SEARCH}, {_POOL} SELECT qid, id, vrank, trank, round(rrf, 9) AS rrf FROM pool",
+    "rrf_fusion": f"WITH {_M}, {_R}, {_FTS}, {_SEARCH.replace("{asked}", _ASKED)}, {_POOL} SELECT qid, id, vrank, trank, round(rrf, 9) AS rrf FROM pool",
     "recall_scored": f"{_RECALL} SELECT qid, id, round(score, 6) AS score, position FROM ({_TOP})",
     "recall_explained": f"""
 {_RECALL} SELECT qid, id, round(score, 6) AS score, round(similarity, 6) AS similarity, round(importance_score, 6) AS importance_score, round(recency, 6) AS recency,
