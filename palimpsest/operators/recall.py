@@ -159,9 +159,9 @@ def diversified(scores: DataFrame) -> DataFrame:
     """``qid, id, score, mmr, position``: maximal marginal relevance of the requests that have a lambda.
 
     Greedy: lambda times score less (1 - lambda) times the greatest similarity (at least 0) to what
-    was taken; of equal values the earlier in fused order wins. A group has at most six times the greatest limit of rows.
+    was taken, an unusable vector being like none; of equal values the earlier in fused order wins. A group has at most six times the greatest limit of rows.
     """
-    rows = scores.where("mmr_lambda IS NOT NULL").select("qid", "id", "score", "rrf", "top", "mmr_lambda", F.when(F.size("embedding") == F.col("embedding_dims"), F.col("embedding")).alias("embedding"))
+    rows = scores.where("mmr_lambda IS NOT NULL").select("qid", "id", "score", "rrf", "top", "mmr_lambda", F.when((F.size("embedding") == F.col("embedding_dims")) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.col("embedding")).alias("embedding"))
     return rows.groupBy("qid").applyInPandas(_diversify, "qid string, id string, score double, mmr double, position int")
 
 

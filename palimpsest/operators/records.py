@@ -38,8 +38,12 @@ def latest(memories: DataFrame, columns: list[str]) -> DataFrame:
     for c in _ORDER:
         low = F.lit("") if c in ("status", "metadata_json") else F.lit(-1)
         order.append(F.coalesce(F.col(c), low).alias(c))
-    picked = memories.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r"))
-    out = picked.select("id", "r.*")
+    rows = memories.where("id IS NOT NULL").select("id", *dict.fromkeys([*columns, *_ORDER]))
+    # a narrow hash aggregation finds the ids that repeat; only their rows are compared, the others pass unsorted
+    repeated = rows.groupBy("id").agg(F.count("*").alias("__n")).where("__n > 1").select("id")
+    once = rows.join(repeated, "id", "left_anti").select("id", *columns)
+    chosen = rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r"))
+    out = once.unionByName(chosen.select("id", "r.*"))
     if "status" in columns:
         out = out.withColumn("status", status_of(F.col("status")))
     if "kind" in columns:

@@ -238,7 +238,8 @@ def metadata_patch(spark: SparkSession, root: str) -> DataFrame:
     m = records.latest(_memories(spark, root), ["metadata_json"])
     patch = F.create_map(F.lit("project"), F.lit("patched"), F.lit("reviewed"), F.lit("yes"))
     merged = S.patch_map(F.from_json("metadata_json", "map<string,string>"), patch)
-    return m.select("id", F.array_join(F.array_sort(F.map_keys(merged)), ",").alias("keys"), merged["project"].alias("project"))
+    entries = F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return m.select("id", F.array_join(F.array_sort(entries), ";").alias("metadata"))
 
 
 def token_estimates(spark: SparkSession, root: str) -> DataFrame:
@@ -335,11 +336,11 @@ def _recalled(spark: SparkSession, root: str) -> DataFrame:
 
 
 def context_lines(spark: SparkSession, root: str) -> DataFrame:
-    return context.lines(_recalled(spark, root), max_tokens=300).select("qid", "position", "tokens", "used")
+    return context.lines(_recalled(spark, root), max_tokens=300).select("qid", "position", "line", "tokens", "used")
 
 
 def context_texts(spark: SparkSession, root: str) -> DataFrame:
-    return context.contexts(_recalled(spark, root), max_tokens=300, footer="---").select("qid", "tokens", F.length("context").alias("chars"))
+    return context.contexts(_recalled(spark, root), max_tokens=300, footer="---").select("qid", "tokens", "context")
 
 
 QUERIES = {

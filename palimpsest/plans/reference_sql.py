@@ -128,6 +128,23 @@ s AS (
 """
 _RECALL = f"WITH {_M}, {_R}, {_FTS}, {_SEARCH.replace("{asked}", _ASKED)}, {_POOL}, {_SCORES}"
 _TOP = "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, rrf DESC, id))::INT AS position FROM s QUALIFY position <= top"
+_DIVERSE = f"""
+{_RECALL[len('WITH '):]},
+e0 AS (SELECT s.qid, s.id, s.score, s.rrf, s.top, s.mmr_lambda AS lam, CASE WHEN len(m.embedding) = m.embedding_dims AND len(list_filter(m.embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_transform(m.embedding, lambda x: x::DOUBLE) END AS v
+       FROM s JOIN m USING (id) WHERE s.mmr_lambda IS NOT NULL),
+couples AS (
+  SELECT a.qid, a.id AS a, b.id AS b, a.v[1:least(len(a.v), len(b.v))] AS x, b.v[1:least(len(a.v), len(b.v))] AS y FROM e0 a JOIN e0 b ON a.qid = b.qid AND a.id <> b.id),
+alike AS (
+  SELECT qid, a, b, least(1.0, greatest(0.0, list_inner_product(x, y) / greatest(sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)), {_EPS}))) AS sim FROM couples),
+z AS (
+  SELECT 0 AS step, qid, id, score, rrf, top, lam, 0.0::DOUBLE AS worst, false AS chosen, NULL::DOUBLE AS mmr FROM e0
+  UNION ALL
+  SELECT x.step + 1, x.qid, x.id, x.score, x.rrf, x.top, x.lam, greatest(x.worst, coalesce(sim, 0.0)), x.id = x.pick, x.value
+  FROM (SELECT *, round(lam * score - (1 - lam) * worst, 9) AS value,
+               first_value(id) OVER (PARTITION BY qid ORDER BY round(lam * score - (1 - lam) * worst, 9) DESC, rrf DESC, id) AS pick
+        FROM z WHERE NOT chosen AND step < top) x
+  LEFT JOIN alike ON alike.qid = x.qid AND alike.a = x.pick AND alike.b = x.id)
+"""
 _LINE = "'- [' || kind || '] ' || coalesce(content, '') || ' (score: ' || printf('%.2f', score) || ')'"
 
 _O = r"""
@@ -199,8 +216,9 @@ SELECT id AS qid, least(10, n) AS found FROM v, p WHERE id % 100 = 0 AND n > 0""
 WITH {_M}, g AS (SELECT id FROM m WHERE status = 'deleted' OR expires_at_ms <= {_NOW} ORDER BY updated_at_ms NULLS FIRST, id LIMIT 100)
 SELECT id, status FROM m WHERE id NOT IN (SELECT id FROM g)""",
     "metadata_patch": f"""
-WITH {_M}, j AS (SELECT id, CASE WHEN json_valid(metadata_json) THEN json_keys(metadata_json) ELSE [] END AS ks FROM m)
-SELECT id, array_to_string(list_sort(list_distinct(list_concat(coalesce(ks, []), ['project', 'reviewed']))), ',') AS keys, 'patched' AS project FROM j""",
+WITH {_M}, j AS (SELECT id, CASE WHEN json_valid(metadata_json) AND json_type(metadata_json) = 'OBJECT' THEN metadata_json ELSE '{{}}' END AS doc FROM m)
+SELECT id, array_to_string(list_sort(list_concat(['project=patched', 'reviewed=yes'],
+  list_transform(list_filter(json_keys(doc), lambda k: k NOT IN ('project', 'reviewed')), lambda k: k || '=' || coalesce(json_extract_string(doc, '$."' || k || '"'), 'null')))), ';') AS metadata FROM j""",
     "token_estimates": f"WITH {_M} SELECT id, ceil(strlen(content) / 4.0)::INT AS tokens FROM m",
     "health_counts": f"""
 WITH {_M}, {_O}, a AS (
@@ -243,13 +261,19 @@ SELECT memory_id, operation_id FROM l WHERE kind = 'delete'""",
   || CASE WHEN trank IS NOT NULL AND vrank IS NOT NULL THEN ',reciprocal_rank_fusion' ELSE '' END AS notes FROM s""",
     "recall_agent_scope": f"""
 {_RECALL} SELECT qid, id, round(score, 6) AS score FROM s WHERE (q_agent IS NULL OR agent_id = q_agent) AND (q_user IS NULL OR user_id = q_user)""",
+    "recall_mmr": f"WITH RECURSIVE {_DIVERSE} SELECT qid, id, round(score, 6) AS score, round(mmr, 6) AS mmr, step::INT AS position FROM z WHERE chosen",
+    "recall_full": f"""
+WITH RECURSIVE {_DIVERSE}, f AS (
+  SELECT qid, id, score, position FROM ({_TOP}) WHERE mmr_lambda IS NULL UNION ALL SELECT qid, id, score, step::INT FROM z WHERE chosen)
+SELECT f.qid, f.id, m.kind, round(score, 6) AS score, position, count(*) OVER (PARTITION BY f.qid) AS returned FROM f JOIN m USING (id)""",
     "context_lines": f"""
-{_RECALL}, tp AS ({_TOP}), ln AS (SELECT qid, position, ceil(strlen({_LINE}) / 4.0)::INT AS tokens FROM tp),
+{_RECALL}, tp AS ({_TOP}), ln AS (SELECT qid, position, {_LINE} AS line, ceil(strlen({_LINE}) / 4.0)::INT AS tokens FROM tp),
 u AS (SELECT *, (8 + sum(tokens) OVER (PARTITION BY qid ORDER BY position))::INT AS used FROM ln)
-SELECT qid, position, tokens, used FROM u WHERE used <= 300""",
+SELECT qid, position, line, tokens, used FROM u WHERE used <= 300""",
     "context_texts": f"""
 {_RECALL}, tp AS ({_TOP}), ln AS (SELECT qid, position, {_LINE} AS line, ceil(strlen({_LINE}) / 4.0)::INT AS tokens FROM tp),
 u AS (SELECT *, (8 + sum(tokens) OVER (PARTITION BY qid ORDER BY position))::INT AS used FROM ln),
-g AS (SELECT qid, coalesce(max(used) FILTER (WHERE used <= 300), 8) AS used, coalesce(sum(length(line) + 1) FILTER (WHERE used <= 300), 0) AS chars FROM u GROUP BY qid)
-SELECT qid, CASE WHEN used + 1 <= 300 THEN used + 1 ELSE used END::INT AS tokens, (29 + chars + CASE WHEN used + 1 <= 300 THEN 3 ELSE 0 END)::INT AS chars FROM g""",
+g AS (SELECT qid, coalesce(max(used) FILTER (WHERE used <= 300), 8) AS used, coalesce(string_agg(line || chr(10), '' ORDER BY position) FILTER (WHERE used <= 300), '') AS body FROM u GROUP BY qid)
+SELECT qid, CASE WHEN used + 1 <= 300 THEN used + 1 ELSE used END::INT AS tokens,
+  '### Relevant Agent Memories:' || chr(10) || body || CASE WHEN used + 1 <= 300 THEN '---' ELSE '' END AS context FROM g""",
 }
