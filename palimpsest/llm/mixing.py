@@ -4,14 +4,14 @@ Each source's documents get the same expected number of copies, chosen so that t
 its share of the mixture's tokens. Laid out by size, each document is emitted once per integer
 that its stretch of the running sum of expected copies crosses, after one random offset per
 source; ordering by size spreads the copies evenly over short and long texts, so the shares come
-out near the targets. The mixture is as large as all shares can be kept without repeating any
-document more than allowed, unless another size is asked for; then sources that can't follow are
-repeated up to their cap and the shares reached are reported as they are.
+out near the targets.
 
-The offset of a source is, of ``OFFSETS`` random ones, the one whose sample comes nearest to the
-source's goal, as a few very long texts would otherwise move a small source's share.
+The mixture is as large as the documents of its sources together, unless another size is asked for.
+A source that is too small for its share of that is repeated up to its cap and no further; nothing
+else is taken in its place, and the shares reached are reported as they are.
 
-Running sums come from range partitions (``ordered``), so one source may hold any part of the rows.
+Running sums come from range partitions (``ordered``), so one source may hold any part of the rows;
+the plan is a table too, so there may be any number of sources.
 
 Defined results: sources without a target or with a null or non-positive share, and documents with
 a null source, a null or blank text don't take part; targets of sources without documents are left
@@ -21,69 +21,64 @@ the smallest cap; a null cap means 1; empty tables give no rows; other columns a
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import cut
 from ..operators.ordered import running_totals
-from .tokens import VOCABULARY, sizes
+from .tokens import sizes
 
 SEED = 11
-OFFSETS = 64
-SOURCE_BOUND = 10_000  #: sources of a mixture at most; the plan is made on the driver
+Measure = Callable[[DataFrame], DataFrame]  #: gives ``doc_id, source, tokens`` of the documents
+
+
+def in_characters(documents: DataFrame) -> DataFrame:
+    """Sizes in characters, where no tokenizer is wanted."""
+    return documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source", F.char_length("text").cast("bigint").alias("tokens"))
+
+
+def _offset() -> F.Column:
+    """A random number from 0 to 1 that hangs on the seed and the source only."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED} "), F.col("source"))), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
 def _plan(tokens: DataFrame, mix_targets: DataFrame, total_tokens: float | None) -> DataFrame:
-    """``source, goal, max_repeats, copies`` of the sources that take part; their number is checked."""
+    """``source, goal, max_repeats, copies, offset`` of the sources that take part."""
     targets = (
         mix_targets.where("source IS NOT NULL AND target_share > 0 AND NOT isnan(target_share) AND coalesce(max_repeats, 1) > 0")
         .groupBy("source")
         .agg(F.max("target_share").alias("goal"), F.min(F.coalesce("max_repeats", F.lit(1))).cast("int").alias("max_repeats"))
     )
-    there = tokens.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    rows = targets.join(there, "source").limit(SOURCE_BOUND + 1).collect()
-    if len(rows) > SOURCE_BOUND:
-        raise ValueError(f"more than {SOURCE_BOUND} sources")
-    goals = sum(r["goal"] for r in rows)
-    goal = {r["source"]: r["goal"] / goals for r in rows}
-    total = total_tokens if total_tokens is not None else min((r["max_repeats"] * r["source_tokens"] / goal[r["source"]] for r in rows), default=0.0)
-    plan = [(r["source"], goal[r["source"]], r["max_repeats"], min(float(r["max_repeats"]), total * goal[r["source"]] / r["source_tokens"])) for r in rows]
-    return tokens.sparkSession.createDataFrame(sorted(plan), "source string, goal double, max_repeats int, copies double")
-
-
-def _mixture(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None, vocabulary: str) -> tuple[DataFrame, DataFrame]:
-    tokens = cut(sizes(documents, vocabulary).where("source IS NOT NULL AND tokens > 0"))
-    plan = _plan(tokens, mix_targets, total_tokens)
-    chosen = tokens.join(F.broadcast(plan.select("source", "copies", "max_repeats")), "source")
-    placed = running_totals(chosen, ["source"], [F.col("tokens"), F.col("doc_id")], None, "at")
+    rows = cut(targets.join(tokens.groupBy("source").agg(F.sum("tokens").alias("source_tokens")), "source"))
+    whole = rows.agg(F.coalesce(F.sum("goal"), F.lit(1.0)).alias("goals"), F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("tokens")).first()
+    total = float(whole["tokens"]) if total_tokens is None else float(total_tokens)
+    goal = F.col("goal") / F.lit(whole["goals"])
+    copies = F.least(F.col("max_repeats").cast("double"), F.lit(total) * goal / F.col("source_tokens"))
+    return rows.select("source", goal.alias("goal"), "max_repeats", copies.alias("copies"), _offset().alias("offset"))
 
-    def copies(offset: F.Column) -> F.Column:
-        return (F.floor(F.col("at") * F.col("copies") + offset) - F.floor((F.col("at") - 1) * F.col("copies") + offset)).cast("int")
 
-    rng = random.Random(SEED)
-    offsets = [rng.random() for _ in range(OFFSETS)]
-    tried = placed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("goal"), F.array(*[F.sum(F.col("tokens") * copies(F.lit(o))) for o in offsets]).alias("sums"))
-    nearest = [(r["source"], min(zip(r["sums"], offsets), key=lambda x: abs(x[0] - r["goal"]))[1]) for r in tried.collect()]
-    drawn = tokens.sparkSession.createDataFrame(nearest, "source string, offset double")
-    taken = placed.join(F.broadcast(drawn), "source").withColumn("n", F.least(copies(F.col("offset")), F.col("max_repeats")))
-    mixture = taken.where("n > 0")
+def _mixture(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    tokens = cut(measure(documents).where("source IS NOT NULL AND tokens > 0"))
+    plan = _plan(tokens, mix_targets, total_tokens)
+    chosen = tokens.join(plan.select("source", "copies", "offset", "max_repeats"), "source")
+    placed = running_totals(chosen, ["source"], [F.col("tokens"), F.col("doc_id")], None, "at")
+    crossed = F.floor(F.col("at") * F.col("copies") + F.col("offset")) - F.floor((F.col("at") - 1) * F.col("copies") + F.col("offset"))
+    mixture = placed.withColumn("n", F.least(crossed.cast("int"), F.col("max_repeats"))).where("n > 0")
     return mixture.select("source", "doc_id", "tokens", F.col("n").alias("copies")), plan
 
 
-def mixture(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def mixture(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, measure: Measure = sizes) -> DataFrame:
     """``source, doc_id, tokens, copies``: the documents taken and how often each."""
-    return _mixture(documents, mix_targets, total_tokens, vocabulary)[0]
+    return _mixture(documents, mix_targets, total_tokens, measure)[0]
 
 
-def shares(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def shares(documents: DataFrame, mix_targets: DataFrame, total_tokens: float | None = None, measure: Measure = sizes) -> DataFrame:
     """``source, target_share, reached_share, tokens, docs, most_copies, max_repeats``, one row per source taking part."""
-    mixed, plan = _mixture(documents, mix_targets, total_tokens, vocabulary)
+    mixed, plan = _mixture(documents, mix_targets, total_tokens, measure)
     per = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("docs"), F.max("copies").alias("most_copies"))
-    per = plan.select("source", F.col("goal").alias("target_share"), "max_repeats").join(per, "source", "left").na.fill(0, ["tokens", "docs", "most_copies"])
-    rows = per.collect()
-    whole = max(sum(r["tokens"] for r in rows), 1)
-    out = [(r["source"], round(r["target_share"], 6), round(r["tokens"] / whole, 6), r["tokens"], r["docs"], r["most_copies"], r["max_repeats"]) for r in rows]
-    schema = "source string, target_share double, reached_share double, tokens bigint, docs bigint, most_copies int, max_repeats int"
-    return documents.sparkSession.createDataFrame(sorted(out), schema)
+    per = cut(plan.select("source", F.col("goal").alias("target_share"), "max_repeats").join(per, "source", "left").na.fill(0, ["tokens", "docs", "most_copies"]))
+    whole = max(per.agg(F.sum("tokens")).first()[0] or 0, 1)
+    reached = F.round(F.col("tokens") / F.lit(whole), 6).alias("reached_share")
+    return per.select("source", F.round("target_share", 6).alias("target_share"), reached, "tokens", "docs", "most_copies", "max_repeats")

@@ -56,6 +56,11 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(load(spark, root, "documents"), load(spark, root, "mix_targets"))
 
 
+def p9_by_characters(spark: SparkSession, root: str) -> DataFrame:
+    """The mixture with sizes in characters, which SQL can tell."""
+    return mixing.mixture(load(spark, root, "documents"), load(spark, root, "mix_targets"), measure=mixing.in_characters)
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_documents(load(spark, root, "documents"))
 
@@ -68,11 +73,23 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_redacted, p3_ranking, p4_found, p4_recall, p5_subset, p7_found, p7_collapsed,
-        p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_flags,
+        p8_containers, p8_report, p9_mixture, p9_shares, p9_by_characters, p10_found, p10_flags,
     )
 }
 
 SQL: dict[str, str] = {
+    "p9_by_characters": """
+WITH d AS (SELECT doc_id, source, length(text) AS tokens FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0),
+t AS (
+  SELECT source, max(target_share) AS goal, min(coalesce(max_repeats, 1)) AS cap FROM mix_targets
+  WHERE source IS NOT NULL AND target_share > 0 AND NOT isnan(target_share) AND coalesce(max_repeats, 1) > 0 GROUP BY source),
+p AS (SELECT t.*, (SELECT sum(tokens) FROM d WHERE d.source = t.source) AS own FROM t WHERE source IN (SELECT source FROM d)),
+c AS (
+  SELECT source, cap, least(cap::DOUBLE, (SELECT sum(own) FROM p)::DOUBLE * (goal / (SELECT sum(goal) FROM p)) / own) AS copies,
+         ('0x' || substr(md5('11 ' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM p),
+a AS (SELECT d.*, copies, start, cap, row_number() OVER (PARTITION BY d.source ORDER BY tokens, doc_id) AS pos FROM d JOIN c USING (source)),
+n AS (SELECT source, doc_id, tokens, least((floor(pos * copies + start) - floor((pos - 1) * copies + start))::INT, cap) AS copies FROM a)
+SELECT source, doc_id, tokens, copies FROM n WHERE copies > 0""",
     "p4_found": """
 WITH u AS (
   SELECT DISTINCT id, embedding_dims AS d, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM memories

@@ -238,15 +238,45 @@ def test_mixing(spark):
     rows += [(1000, None, "en", "big"), (1001, "x", "en", None), (1002, "", "en", "small"), (1003, "x", "en", "untargeted")]
     d = documents(spark, rows)
     t = spark.createDataFrame([("big", 0.4, 1), ("small", 0.4, 3), ("mid", 0.2, None), ("absent", 0.2, 2), ("zero", 0.0, 2), (None, 0.1, 1), ("untargeted", None, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mixture(d, t)
+    mixed = mixing.mixture(d, t, total_tokens=8_000)
     cap = {"big": 1, "small": 3, "mid": 1}
     got = mixed.collect()
     assert {r["source"] for r in got} == set(cap) and all(1 <= r["copies"] <= cap[r["source"]] for r in got)
     assert len(got) == len({r["doc_id"] for r in got})
-    s = {r["source"]: r for r in mixing.shares(d, t).collect()}
+    s = {r["source"]: r for r in mixing.shares(d, t, total_tokens=8_000).collect()}
     for source, want in (("big", 0.4), ("small", 0.4), ("mid", 0.2)):
         assert s[source]["target_share"] == pytest.approx(want) and s[source]["reached_share"] == pytest.approx(want, abs=0.02)
+    own = {r["source"]: r["x"] for r in tokens.sizes(d).groupBy("source").agg(F.sum("tokens").alias("x")).collect()}
+    whole = {r["source"]: r for r in mixing.shares(d, t).collect()}
+    size = own["big"] + own["small"] + own["mid"]  # by default as large as the documents: the small source is repeated, the one that can't be is taken whole
+    assert whole["mid"]["tokens"] == own["mid"] < 0.2 * size and whole["mid"]["reached_share"] < 0.2
+    assert all(abs(whole[s]["tokens"] - 0.4 * size) < 0.03 * size for s in ("big", "small")) and whole["small"]["most_copies"] in (2, 3)
     big = {r["source"]: r for r in mixing.shares(d, t, total_tokens=1e9).collect()}
     assert big["big"]["most_copies"] == 1 and big["small"]["most_copies"] == 3 and big["big"]["docs"] == d.where("source = 'big' AND text IS NOT NULL").count()
     assert mixing.mixture(d.limit(0), t).count() == 0 and mixing.shares(d, t.limit(0)).count() == 0
     assert mixed.agg(F.sum("copies")).first()[0] > 0
+
+
+def test_a_tiny_source_does_not_shrink_the_mixture(spark):
+    d = documents(spark, [(i, "one two three", "en", "large") for i in range(500)] + [(900, "x", "en", "tiny")])
+    t = spark.createDataFrame([("large", 0.5, 1), ("tiny", 0.5, 4)], "source string, target_share double, max_repeats int")
+    s = {r["source"]: r for r in mixing.shares(d, t).collect()}
+    assert s["tiny"]["tokens"] == 4 and s["tiny"]["most_copies"] == 4 and 248 <= s["large"]["docs"] <= 252
+
+
+def test_sampling_rule(spark):
+    import hashlib
+
+    rng = np.random.default_rng(11)
+    rows = [(i, "x" * int(rng.integers(1, 40)), "en", "a" if i % 4 else "b") for i in range(400)]
+    t = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 5)], "source string, target_share double, max_repeats int")
+    got = {r["doc_id"]: r["copies"] for r in mixing.mixture(documents(spark, rows), t, total_tokens=3_000, measure=mixing.in_characters).collect()}
+    want = {}
+    for s, share in (("a", 0.3), ("b", 0.7)):
+        docs = sorted((len(text), i) for i, text, _, source in rows if source == s)
+        copies, at = 3_000 * share / sum(n for n, _ in docs), int(hashlib.md5(f"{mixing.SEED} {s}".encode()).hexdigest()[:8], 16) / 2**32
+        for _, i in docs:
+            n = int(at + copies) - int(at)
+            at += copies
+            want |= {i: n} if n else {}
+    assert got == want
