@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import EPSILON
 from ..functions.text import query_phrases, tokens
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values
@@ -113,6 +114,21 @@ def _slices(phrases: DataFrame) -> Iterator[list[str]]:
         yield [r[0] for r in phrases.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()]
 
 
+def _distances(queries: list, docs: list, which: np.ndarray, rows: np.ndarray) -> list[float | None]:
+    """Cosine distances of the hits, null where either side has no usable vector or their lengths differ."""
+    out: list[float | None] = [None] * len(rows)
+    starts = np.flatnonzero(np.diff(which, prepend=-1))
+    for lo, hi in zip(starts, np.append(starts[1:], len(rows))):
+        q = queries[which[lo]]
+        at = [i for i in range(lo, hi) if q is not None and docs[rows[i]] is not None and len(docs[rows[i]]) == len(q)]
+        if at:
+            v, a = np.array([docs[rows[i]] for i in at], float), np.array(q, float)
+            d = np.round(1 - v @ a / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(a @ a), EPSILON), 9)
+            for i, x in zip(at, d):
+                out[i] = float(x) if np.isfinite(x) else None
+    return out
+
+
 def _score(avgdl: float):
     def best(key, docs: pa.Table, queries: pa.Table) -> pa.Table:
         docs = docs.sort_by("id")
@@ -151,24 +167,25 @@ def _score(avgdl: float):
                 scores.append(s[order])
         rows, which, scores = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (which, np.int64), (scores, float)))
         found = queries.select(["qid", "k"]).take(pa.array(which))
-        return pa.table({"qid": found["qid"], "id": docs["id"].take(pa.array(rows)), "k": found["k"], "bm25": pa.array(scores)})
+        near = _distances(queries["vec"].to_pylist(), docs["vec"].to_pylist(), which, rows)
+        return pa.table({"qid": found["qid"], "id": docs["id"].take(pa.array(rows)), "k": found["k"], "bm25": pa.array(scores), "dist": pa.array(near, pa.float64())})
 
     return best
 
 
 def search(queries: DataFrame, docs: DataFrame, most: int = MOST_HITS) -> DataFrame:
-    """``qid, id, bm25, rank``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most ``most``.
+    """``qid, id, bm25, rank, dist``: per query (``qid, tenant_id, namespace, text, k``) its k best records, k at most ``most``.
 
     If queries have ``asked`` (an array, null for no wish) and records ``entries``, only records with
-    all entries asked for are ranked.
+    all entries asked for are ranked. If both have ``vec``, ``dist`` is their cosine distance.
     """
-    if "entries" not in docs.columns:
-        docs = docs.withColumn("entries", F.lit(None).cast("array<string>"))
-    if "asked" not in queries.columns:
-        queries = queries.withColumn("asked", F.lit(None).cast("array<string>"))
-    texts = docs.where("content IS NOT NULL").select("id", "tenant_id", "namespace", "live", "entries", tokens(F.col("content")).alias("tokens"))
+    for c, kind in (("entries", "array<string>"), ("vec", "array<float>")):
+        docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast(kind))
+    for c, kind in (("asked", "array<string>"), ("vec", "array<float>")):
+        queries = queries if c in queries.columns else queries.withColumn(c, F.lit(None).cast(kind))
+    texts = docs.where("content IS NOT NULL").select("id", "tenant_id", "namespace", "live", "entries", "vec", tokens(F.col("content")).alias("tokens"))
     asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").select(
-        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), "asked", F.explode(query_phrases(F.col("text"))).alias("term")
+        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), F.explode(query_phrases(F.col("text"))).alias("term")
     )
     weights = asked.groupBy("qid", "term").agg(F.count("*").alias("w"))
     stats = texts.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
@@ -179,7 +196,7 @@ def search(queries: DataFrame, docs: DataFrame, most: int = MOST_HITS) -> DataFr
         df = part if df is None else df.unionByName(part)
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     terms = weights.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", F.col("w").cast("double").alias("w"), idf.alias("idf"))).alias("terms"))
-    q = asked.drop("term").dropDuplicates(["qid"]).join(terms, "qid")
+    q = queries.select("qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), "asked", "vec").dropDuplicates(["qid"]).join(terms, "qid")
     live = texts.where("live")
     scope = ["tenant_id", "namespace"]
 
@@ -187,9 +204,9 @@ def search(queries: DataFrame, docs: DataFrame, most: int = MOST_HITS) -> DataFr
         return rows.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
     sizes = blocks(live, "db").join(blocks(queries, "qb"), scope)
-    d = live.join(sizes, scope).select(*scope, "id", "tokens", "entries", F.pmod(F.xxhash64("id"), F.col("db")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
-    q = q.join(sizes, scope).select(*scope, "qid", "k", "terms", "asked", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("db") - 1)).alias("b"))
+    d = live.join(sizes, scope).select(*scope, "id", "tokens", "entries", "vec", F.pmod(F.xxhash64("id"), F.col("db")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
+    q = q.join(sizes, scope).select(*scope, "qid", "k", "terms", "asked", "vec", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("db") - 1)).alias("b"))
     qid_type, id_type = (t.simpleString() for t in (queries.schema["qid"].dataType, docs.schema["id"].dataType))
-    found = d.groupBy(*scope, "b", "c").cogroup(q.groupBy(*scope, "b", "c")).applyInArrow(_score(avgdl), f"qid {qid_type}, id {id_type}, k int, bm25 double")
+    found = d.groupBy(*scope, "b", "c").cogroup(q.groupBy(*scope, "b", "c")).applyInArrow(_score(avgdl), f"qid {qid_type}, id {id_type}, k int, bm25 double, dist double")
     order = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), "id")  # at most k rows per block
-    return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {most}").where("rank <= k").select("qid", "id", "bm25", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {most}").where("rank <= k").select("qid", "id", "bm25", "rank", "dist")

@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.metrics import cosine_distance
 from . import fulltext, knn
 from .durable import cut
 from .records import latest, live
 
 MAX_RECALL_LIMIT = 100
-_SCORED = ["qid", "id", "score", "rrf", "top", "mmr_lambda", "embedding", "embedding_dims"]
+_SCORED = ["qid", "id", "score", "rrf", "top", "mmr_lambda"]
 _FIELDS = ["tenant_id", "namespace", "agent_id", "user_id", "kind", "content", "embedding", "embedding_dims", "importance", "created_at_ms", "access_count", "expires_at_ms", "status", "metadata_json"]
 
 
@@ -85,11 +84,12 @@ def candidates(requests: DataFrame, records: DataFrame, most: int = MAX_RECALL_L
     active = records.where("status = 'active'")
     vectors = active.where("size(embedding) = embedding_dims").select("id", "tenant_id", "namespace", F.col("embedding").alias("vec"))
     dense = knn.batch_nearest(requests.select("qid", "vec", "k", "tenant_id", "namespace"), vectors, "cosine", ["tenant_id", "namespace"], most=3 * most)
-    docs = records.select("id", "tenant_id", "namespace", "content", (F.col("status") == "active").alias("live"), S.json_entries("metadata_json").alias("entries"))
+    docs = records.select("id", "tenant_id", "namespace", "content", (F.col("status") == "active").alias("live"), S.json_entries("metadata_json").alias("entries"), F.when(F.size("embedding") == F.col("embedding_dims"), F.col("embedding")).alias("vec"))
     # metadata is asked for before the cut; kinds, importance and expiry come after it, as does everything in the dense branch
-    asking = requests.where("NOT q_has_meta OR q_meta IS NOT NULL").select("qid", "tenant_id", "namespace", "text", "k", F.col("q_meta").alias("asked"))
+    asking = requests.where("NOT q_has_meta OR q_meta IS NOT NULL").select("qid", "tenant_id", "namespace", "text", "k", "vec", F.col("q_meta").alias("asked"))
     text = fulltext.search(asking, docs, 3 * most)
-    return fuse(dense.select("qid", "id", F.col("rank").alias("vrank"), "dist"), text.select("qid", "id", F.col("rank").alias("trank")))
+    both = fuse(dense.select("qid", "id", F.col("rank").alias("vrank"), "dist"), text.select("qid", "id", F.col("rank").alias("trank"), F.col("dist").alias("text_dist")))
+    return both.withColumn("dist", F.coalesce("dist", "text_dist")).drop("text_dist")
 
 
 def fuse(dense: DataFrame, text: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def fuse(dense: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def scored(requests: DataFrame, records: DataFrame, pool: DataFrame, by_agent: bool = False, by_user: bool = False) -> DataFrame:
-    """The candidates that pass their request's filters, with all score components and notes."""
-    c = pool.join(requests.drop("tenant_id", "namespace"), "qid").join(records, "id")
+    """The candidates that pass their request's filters, with all score components and notes; texts and vectors stay behind."""
+    c = pool.join(requests.drop("tenant_id", "namespace", "vec", "text", "k"), "qid").join(records.drop("tenant_id", "namespace", "content", "embedding", "embedding_dims"), "id")
     c = c.where(live(F.col("now_ms")))
     c = c.where(F.col("q_kinds").isNull() | F.array_contains("q_kinds", F.col("kind")))
     c = c.where(F.col("q_min").isNull() | (F.col("importance") >= F.col("q_min")))
@@ -110,11 +110,8 @@ def scored(requests: DataFrame, records: DataFrame, pool: DataFrame, by_agent: b
         c = c.where(F.col("q_agent").isNull() | (F.col("agent_id") == F.col("q_agent")))
     if by_user:
         c = c.where(F.col("q_user").isNull() | (F.col("user_id") == F.col("q_user")))
-    same = (F.size("embedding") == F.col("embedding_dims")) & (F.size("embedding") == F.size("vec"))
-    # the dense branch has its distances; only those of candidates found by text alone are computed here
-    cosine = F.coalesce(F.col("dist"), F.when(same, F.round(cosine_distance(F.col("embedding"), F.col("vec")), knn.DECIMALS)))
     importance = F.coalesce(S.clamp01(F.nanvl(F.col("importance"), F.lit(0.0))), F.lit(0.0))
-    c = c.withColumn("similarity", S.similarity(F.nanvl(cosine, F.lit(1.0)))).withColumn("importance_score", importance)
+    c = c.withColumn("similarity", S.similarity(F.col("dist"))).withColumn("importance_score", importance)
     c = c.withColumn("recency", S.recency(F.col("created_at_ms"), F.col("now_ms"))).withColumn("reinforcement", S.reinforcement(F.col("access_count")))
     c = c.withColumn("score", F.round(S.total_score(F.col("similarity"), F.col("importance_score"), F.col("recency"), F.col("reinforcement")), 9))
     notes = F.array_compact(
@@ -155,13 +152,15 @@ def _diversify(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"qid": pdf["qid"].iloc[at].to_numpy(), "id": pdf["id"].iloc[at].to_numpy(), "score": score[at], "mmr": [v for _, v in order], "position": np.arange(1, len(at) + 1)})
 
 
-def diversified(scores: DataFrame) -> DataFrame:
+def diversified(scores: DataFrame, records: DataFrame) -> DataFrame:
     """``qid, id, score, mmr, position``: maximal marginal relevance of the requests that have a lambda.
 
     Greedy: lambda times score less (1 - lambda) times the greatest similarity (at least 0) to what
     was taken, an unusable vector being like none; of equal values the earlier in fused order wins. A group has at most six times the greatest limit of rows.
     """
-    rows = scores.where("mmr_lambda IS NOT NULL").select("qid", "id", "score", "rrf", "top", "mmr_lambda", F.when((F.size("embedding") == F.col("embedding_dims")) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.col("embedding")).alias("embedding"))
+    usable = (F.size("embedding") == F.col("embedding_dims")) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    vectors = records.select("id", F.when(usable, F.col("embedding")).alias("embedding"))
+    rows = scores.where("mmr_lambda IS NOT NULL").select("qid", "id", "score", "rrf", "top", "mmr_lambda").join(vectors, "id")
     return rows.groupBy("qid").applyInPandas(_diversify, "qid string, id string, score double, mmr double, position int")
 
 
@@ -170,7 +169,7 @@ def recall(requests: DataFrame, memories: DataFrame, dims: int | None = None, mo
     valid, records = valid_requests(requests, dims, most), prepared(memories)
     scores = cut(scored(valid, records, candidates(valid, records, most)).select(*_SCORED))
     plain = top(scores.where("mmr_lambda IS NULL"), most).select("qid", "id", "score", "position")
-    both = plain.unionByName(diversified(scores).select("qid", "id", "score", "position"))
+    both = plain.unionByName(diversified(scores, records).select("qid", "id", "score", "position"))
     texts = records.select("id", "kind", "content")
     whole = Window.partitionBy("qid")  # at most a request's limit of rows
     return both.join(texts, "id").withColumn("returned", F.count("*").over(whole)).select("qid", "id", "content", "kind", "score", "position", "returned")

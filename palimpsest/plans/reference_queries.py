@@ -292,7 +292,7 @@ def fts_vocabulary(spark: SparkSession, root: str) -> DataFrame:
 
 def fts_search(spark: SparkSession, root: str) -> DataFrame:
     r = _requests(spark, root).select("qid", "tenant_id", "namespace", "text", "k")
-    return fulltext.search(r, _docs(spark, root)).withColumn("bm25", F.round("bm25", 6))
+    return fulltext.search(r, _docs(spark, root)).drop("dist").withColumn("bm25", F.round("bm25", 6))
 
 
 def recall_invalid(spark: SparkSession, root: str) -> DataFrame:
@@ -323,7 +323,8 @@ def recall_agent_scope(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recall_mmr(spark: SparkSession, root: str) -> DataFrame:
-    return recall.diversified(_scores(spark, root)).select("qid", "id", F.round("score", 6).alias("score"), F.round("mmr", 6).alias("mmr"), "position")
+    r, m = _requests(spark, root), recall.prepared(_memories(spark, root))
+    return recall.diversified(recall.scored(r, m, recall.candidates(r, m)), m).select("qid", "id", F.round("score", 6).alias("score"), F.round("mmr", 6).alias("mmr"), "position")
 
 
 def recall_full(spark: SparkSession, root: str) -> DataFrame:
@@ -332,7 +333,9 @@ def recall_full(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _recalled(spark: SparkSession, root: str) -> DataFrame:
-    return recall.top(_scores(spark, root)).select("qid", "position", "kind", "content", "score")
+    r, m = _requests(spark, root), recall.prepared(_memories(spark, root))
+    best = recall.top(recall.scored(r, m, recall.candidates(r, m))).select("qid", "id", "position", "kind", "score")
+    return best.join(m.select("id", "content"), "id").select("qid", "position", "kind", "content", "score")
 
 
 def context_lines(spark: SparkSession, root: str) -> DataFrame:
