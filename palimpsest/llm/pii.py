@@ -81,8 +81,14 @@ _ID_VALUE = re.compile(
     rf"\d{{9,14}}(?!\w)|(?=(?:[^\W\d_]*\d){{5}})[^\W_]{{2,6}}(?:[-./]?[^\W_]{{1,6}}){{1,5}}(?!\w)",
     re.IGNORECASE,
 )
-_BARE_ID = re.compile(r"(?<![\w.\-/])(?:(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)|(?P<dni>\d{8}-?[A-Z])|(?P<nino>[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]))(?![\w\-])")
-_ID_WORD = re.compile(r"\b(?:identity|identification|id|passport|licen[cs]e|insurance|social|tax|holder|showed|document|doc_no|dni|ausweis)\b", re.IGNORECASE)
+#: numbers without a label, by the scheme whose checksum can confirm them
+_BARE_ID = re.compile(
+    rf"(?<![\w.\-/])(?:(?P<mod23>\d{{8}}{_HY}?[A-Z]|[XYZ]{_HY}?\d{{7}}{_HY}?[A-Z])|(?P<nino>[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D])|"
+    rf"(?P<mod97>[12] ?\d{{2}} ?(?:0[1-9]|1[0-2]) ?\d{{2}} ?\d{{3}} ?\d{{3}} ?\d{{2}}|\d{{2}}\.(?:0\d|1[0-2])\.[0-3]\d-\d{{3}}\.\d{{2}})|"
+    rf"(?P<mod11_10>[1-9]\d(?: ?\d{{3}}){{3}})|(?P<luhn>\d{{3}}[ \-]\d{{3}}[ \-]\d{{3}}))(?![\w\-])"
+)
+_ID_WORD = re.compile(r"\b(?:identity|identification|id|passport|licen[cs]e|insurance|social|tax|citizen|resident|national|holder|showed|document|doc_no|dni|nie|nif|ausweis|steuer|sécurité|sin)\b", re.IGNORECASE)
+
 
 # --- addresses ----------------------------------------------------------------------------------
 _COMMA = rf"{_S}*[,\n]{_S}*"
@@ -176,6 +182,9 @@ _ENDING = re.compile(rf"(?:^|[.;!?\n|:]{_H}*|\bvisitor{_H}+)(?P<title>{_TITLE})?
 _TITLED = re.compile(rf"{_TITLE}(?P<first>(?:{_INITIAL}{{1,3}}|{_PART}))(?P<second>{_H}+(?:{_INITIAL}{{1,2}}{_H}*)?{_PARTICLE}{_PART})?", re.IGNORECASE)
 # words of which a text holds one wherever the expression they stand for can match
 _PLAIN_WORD = re.compile(r"[^\W\d_]+")
+_WORD_START = re.compile(rf"(?<![\w'’\u0300-\u036f]){_W}")
+_WORD_MORE = re.compile(rf"[-‐‑'’ ]{_W}")
+_IN_WORD = re.compile(r"[\w\u0300-\u036f]")
 _CUE_HINTS = frozenset(
     "contact guest visitor holder signed call called belong belongs belonging spoke spoken met meeting attn attention full owner client customer patient employee colleague "
     "applicant tenant author speaker sender recipient reviewer assignee reported requested assigned written behalf ask dear name".split()
@@ -203,6 +212,7 @@ def mod97(iban: str) -> bool:
 
 def mod23(number: str) -> bool:
     s = re.sub(r"\W", "", number).upper()
+    s = {"X": "0", "Y": "1", "Z": "2"}.get(s[:1], s[:1]) + s[1:]  # a foreigner's number begins with a letter for a digit
     return s[:8].isdigit() and len(s) == 9 and "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:8]) % 23] == s[8]
 
 
@@ -214,11 +224,26 @@ def mod11_10(digits: str) -> bool:
     return (11 - p) % 10 == int(digits[-1])
 
 
-def _valid_id(value: str) -> bool:
-    s = re.sub(r"[\W_]", "", value)
-    if s.isdigit():
-        return len(s) == 11 and mod11_10(s) or len(s) in (9, 15, 16) and luhn(s)
-    return mod23(value) or bool(re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", s, re.IGNORECASE))
+def mod97_key(number: str) -> bool:
+    """Social security numbers that end in 97 less the rest modulo 97 (of births from 2000 on, with a 2 before the rest)."""
+    s = re.sub(r"\D", "", number)
+    body, key = s[:-2], int(s[-2:])
+    return any(97 - int(lead + body) % 97 == key for lead in (("", "2") if len(s) == 11 else ("",)))
+
+
+def nino(number: str) -> bool:
+    """National insurance numbers have no checksum, but prefixes that were never given out."""
+    s = re.sub(r"\W", "", number).upper()
+    return bool(re.fullmatch(r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\d{6}[A-D]", s)) and s[:2] not in ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+
+
+VALIDATORS = {"mod23": mod23, "nino": nino, "mod97": mod97_key, "mod11_10": mod11_10, "luhn": luhn}
+
+
+def valid_id(kind: str, value: str) -> bool:
+    """Whether a number is one of the scheme ``kind``."""
+    plain = re.sub(r"[\W_]", "", value)
+    return VALIDATORS[kind](plain if kind in ("mod11_10", "luhn") else value)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int, str, float]]:
@@ -258,16 +283,19 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _ids(text: str) -> Iterator[tuple[int, int, str, float]]:
+    """A label that names an identity number is context enough, whatever its checksum: cards are mistyped, and schemes
+    differ. Without a label a valid checksum and a word nearby that speaks of identity are needed, both of them."""
     for m in _ID_LABEL.finditer(text):
         v = _ID_VALUE.match(text, m.end())
         if v and sum(c.isdigit() for c in v[0]) >= 5:
-            yield v.start(), v.end(), "id_number", 1.0 + 0.2 * _valid_id(v[0])
+            yield v.start(), v.end(), "id_number", 1.0
     for m in _BARE_ID.finditer(text):
-        kind = m.lastgroup
-        valid = {"iban": mod97, "dni": mod23, "nino": lambda _: True}[kind](m[0])
         near = text[max(0, m.start() - 40) : m.start()]
-        if valid and kind != "iban" and _ID_WORD.search(near) and not _OTHER_NUMBER.search(near):
-            yield m.start(), m.end(), "id_number", 0.6
+        score = 0.2
+        score += 0.25 if valid_id(m.lastgroup, m[0]) else -0.3
+        score += 0.3 if _ID_WORD.search(near) else 0.0
+        score -= 0.6 if _OTHER_NUMBER.search(near) or _OTHER_AFTER.search(text[m.end() : m.end() + 24]) else 0.0
+        yield m.start(), m.end(), "id_number", score
 
 
 def _trim_town(text: str, start: int, end: int) -> int:
@@ -303,9 +331,12 @@ class _Names:
 
     def __init__(self, parts: dict[str, str]):
         self.parts = parts
-        alternatives = "|".join(sorted((re.escape(p) for p in parts), key=len, reverse=True))
-        self.known = re.compile(rf"(?<![\w'’\u0300-\u036f])(?:{alternatives})(?![\w\u0300-\u036f])", re.IGNORECASE) if parts else None
-        self.hints = frozenset(w for p in parts for w in _PLAIN_WORD.findall(p)) if parts else frozenset()
+        self.longest: dict[str, int] = {}  #: by first word, the words of the longest part
+        for p in parts:
+            words = _PLAIN_WORD.findall(p)
+            if words:
+                self.longest[words[0]] = max(self.longest.get(words[0], 1), len(words))
+        self.hints = frozenset(self.longest)
         self.after = re.compile(rf"{_H}+(?:{_INITIAL}{{1,2}}{_H}*)?{_PARTICLE}(?P<part>{_PART})", re.IGNORECASE)
         self.comma = re.compile(rf",{_H}+(?P<part>{_PART})(?:{_H}+{_L}\.(?={_H}|$))?(?!{_H}*[:=])", re.IGNORECASE)
         self.before = re.compile(rf"(?:(?P<part>{_PART}){_H}+(?:{_INITIAL}{{1,2}}{_H}*)?|(?<!\w)(?P<ini>(?:{_L}\.{_H}?){{1,3}})){_PARTICLE}$", re.IGNORECASE)
@@ -327,8 +358,24 @@ class _Names:
             if n:
                 yield from self._announced(text, n, at, at)
         if words & self.hints:
-            for m in self.known.finditer(text):
-                yield from self._around(text, m)
+            for start, end in self._known(text):
+                yield from self._around(text, start, end)
+
+    def _known(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where known parts stand: a look-up per word, whatever the number of parts; the longest part wins."""
+        behind = 0
+        for m in _WORD_START.finditer(text):
+            most = self.longest.get(_fold(m[0])) if m.start() >= behind else None
+            if most is None:
+                continue
+            ends = [m.end()]
+            while len(ends) < most and (n := _WORD_MORE.match(text, ends[-1])):
+                ends.append(n.end())
+            for end in reversed(ends):
+                if _fold(text[m.start() : end]) in self.parts and not _IN_WORD.match(text, end):
+                    yield m.start(), end
+                    behind = end
+                    break
 
     def _titled(self, m: re.Match) -> Iterator[tuple[int, int, str, float]]:
         first, second = m["first"], m["second"]
@@ -359,25 +406,25 @@ class _Names:
         if capital or lowered or any(known):
             yield start, end, "name", 0.75 + 0.1 * any(known) - 0.2 * (lowered and not any(known))
 
-    def _around(self, text: str, m: re.Match) -> Iterator[tuple[int, int, str, float]]:
+    def _around(self, text: str, start: int, end: int) -> Iterator[tuple[int, int, str, float]]:
         """Pairs with a known part: the other one known too, or written like a name."""
-        own, kind = m[0], self.kind(m[0])
+        own, kind = text[start:end], self.kind(text[start:end])
         everyday = _fold(own) in EVERYDAY
-        a = self.after.match(text, m.end())
+        a = self.after.match(text, end)
         if a:
-            yield from self._pair(text, m.start(), a.end(), own, a["part"], kind == "given")
-        c = self.comma.match(text, m.end())
+            yield from self._pair(text, start, a.end(), own, a["part"], kind == "given")
+        c = self.comma.match(text, end)
         if c and kind == "family" and self.kind(c["part"]) == "given" and not (everyday and _fold(c["part"]) in EVERYDAY and own.islower()):
-            yield self._particled(text, m.start()), c.end(), "name", 0.8
-        at = max(0, m.start() - 48)
-        b = self.before.search(text[at : m.start()])
+            yield self._particled(text, start), c.end(), "name", 0.8
+        at = max(0, start - 48)
+        b = self.before.search(text[at : start])
         if not b or kind != "family":
             return
         if b["ini"] is not None:
             if b["ini"][0].isupper() == own[0].isupper() and not everyday:
-                yield at + b.start(), m.end(), "name", 0.75
+                yield at + b.start(), end, "name", 0.75
         elif self.kind(b["part"]) is None:
-            yield from self._pair(text, at + b.start("part"), m.end(), own, b["part"], True)
+            yield from self._pair(text, at + b.start("part"), end, own, b["part"], True)
 
     def _pair(self, text: str, start: int, end: int, own: str, other: str, likely: bool) -> Iterator[tuple[int, int, str, float]]:
         everyday = [w for w in (own, other) if _fold(w) in EVERYDAY]

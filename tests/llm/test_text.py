@@ -55,6 +55,43 @@ def test_validators():
     assert pii.mod11_10("86095742719") and not pii.mod11_10("86095742718")
 
 
+#: (text, scheme, number, a number that differs in one digit or letter)
+NEAR_MISSES = [
+    ("Her document {} lies in the drawer", "mod23", "12345678Z", "12345678A"),
+    ("resident {} came by", "mod23", "X1234567L", "X1234567M"),
+    ("tax file {} was sent", "mod11_10", "86095742719", "86095742718"),
+    ("the holder of {} asked", "luhn", "046 454 286", "046 454 287"),
+    ("identity {} is on the card", "mod97", "2 55 08 14 168 025 38", "2 55 08 14 168 025 39"),
+    ("national {} it says", "mod97", "85.07.30-033.28", "85.07.30-033.29"),
+    ("his id is {} I think", "nino", "AB 12 34 56 C", "GB 12 34 56 C"),
+]
+
+
+@pytest.mark.parametrize("text,scheme,good,bad", NEAR_MISSES)
+def test_checksums_decide_without_a_label(text, scheme, good, bad, monkeypatch):
+    assert items(text.format(good)).get("id_number") == pii._squeeze(good)
+    assert "id_number" not in items(text.format(bad))
+    assert "id_number" not in items(f"Lunch at noon, then {good} again")  # valid by chance: nothing speaks of identity
+    assert "id_number" not in items(f"id of batch {good}")
+    monkeypatch.setitem(pii.VALIDATORS, scheme, lambda _: False)
+    assert "id_number" not in items(text.format(good))
+    monkeypatch.setitem(pii.VALIDATORS, scheme, lambda _: True)
+    assert items(text.format(bad)).get("id_number") == pii._squeeze(bad)
+
+
+def test_a_label_outweighs_a_failed_checksum():
+    assert items("DNI 12345678A was shown") == {"id_number": "12345678a"}
+    assert items("social security number 123-45-6789 on file") == {"id_number": "123456789"}
+
+
+def test_names_by_look_up_of_many_parts():
+    parts = tuple((f"Zu{a}{b}{c}nek", "family") for a in "abcdefghij" for b in "klmnopqrst" for c in "aeiou") + PARTS
+    text = "We met Liora Zuaklnek and Liora Zuakanek, then Liora Ashgrove-Lint; A. Țeromir wrote. " * 50
+    names = pii._names(parts)
+    assert {i for _, i in pii.scan_text(text, names)[1]} >= {"liorazuakanek", "lioraashgrovelint", "ațeromir"}
+    assert ["Ashgrove-Lint", "Stone"] == ["xLiora Ashgrove-Lint, Liora2 Stone"[a:b] for a, b in names._known("xLiora Ashgrove-Lint, Liora2 Stone")]
+
+
 def test_redaction_keeps_the_rest(spark):
     names = spark.createDataFrame([*PARTS, (None, "given"), (" ", None)], "name_part string, part_kind string")
     meta = '{"n": 5, "e\\u00e9": "ask liora skarsen", "tel": "+33 1 99 00 67 21",  "k": true}'
