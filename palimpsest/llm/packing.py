@@ -5,6 +5,8 @@ feasible functions give a lower bound on the containers a partition needs; where
 it, it is certified. Partitions with a gap give up their emptiest containers, whose documents are
 exchanged between partitions and packed again, as long as that saves containers.
 
+Sizes come from a tokenizer unless another measure is given.
+
 A text longer than the capacity is split into full containers and a rest; no other is split.
 
 Defined results: a null text isn't placed; a blank text has no tokens and goes into any
@@ -15,7 +17,10 @@ doc_id is placed first; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,26 +28,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import cut
-from .tokens import VOCABULARY, sizes
+from .mixing import Measure
+from .tokens import sizes
 
 PART_ITEMS = 20_000
-KIND_BOUND = 1_000
-ROUNDS = 3
+KINDS = 1_000  #: kinds of containers in one pass over the sizes
 SCHEMA = "container_kind string, capacity bigint, container string, doc_id bigint, piece int, first_token bigint, tokens bigint, gap int, fullness int"
 
 
-def lower_bound(weights: np.ndarray, capacity: int) -> int:
-    """Containers needed at least: the best of several dual feasible functions."""
-    w = weights[weights > 0].astype(np.int64)
+def lower_bound(weights: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Containers needed at least by items of ``weights``, ``counts`` of each: the best of several dual feasible functions."""
+    n = np.ones(len(weights), np.int64) if counts is None else counts.astype(np.int64)
+    w, n = weights[weights > 0].astype(np.int64), n[weights > 0]
     if not len(w):
         return 0
-    best = -(-int(w.sum()) // capacity)
-    count = np.bincount(w, minlength=capacity + 1)
+    best = -(-int((w * n).sum()) // capacity)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, w, n)
     total = count * np.arange(capacity + 1)
     n_upto, t_upto = np.cumsum(count), np.cumsum(total)
-    for a in range(0, capacity // 2 + 1):
+    half = capacity // 2
+    for a in range(0, half + 1):
         large = n_upto[-1] - n_upto[capacity - a]
-        half = capacity // 2
         middle_n = n_upto[capacity - a] - n_upto[half]
         middle_t = t_upto[capacity - a] - t_upto[half]
         small_t = t_upto[half] - (t_upto[a - 1] if a else 0)
@@ -52,7 +59,7 @@ def lower_bound(weights: np.ndarray, capacity: int) -> int:
         scaled = w * (k + 1)
         floor, exact = scaled // capacity, scaled % capacity == 0
         value = np.where(exact, w * k, floor * capacity)  # times k * capacity
-        best = max(best, -(-int(value.sum()) // (k * capacity)))
+        best = max(best, -(-int((value * n).sum()) // (k * capacity)))
     return best
 
 
@@ -106,31 +113,34 @@ def _pack(part: pd.DataFrame, label: str) -> pd.DataFrame:
     )
 
 
-def containers_of(container_sizes: DataFrame) -> list[tuple[str, int]]:
-    rows = container_sizes.where("container_kind IS NOT NULL AND capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")).limit(KIND_BOUND + 1).collect()
-    if len(rows) > KIND_BOUND:
-        raise ValueError(f"more than {KIND_BOUND} kinds of containers")
-    return sorted((r[0], int(r[1])) for r in rows)
+def containers_of(container_sizes: DataFrame) -> Iterator[list[tuple[str, int]]]:
+    """The kinds with their capacities, in slices of bounded number."""
+    found = container_sizes.where("container_kind IS NOT NULL AND capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("c")).orderBy("container_kind")
+    rows = found.toLocalIterator()
+    while part := [(r[0], int(r[1])) for r in itertools.islice(rows, KINDS)]:
+        yield part
 
 
-def pieces(documents: DataFrame, kinds: list[tuple[str, int]], vocabulary: str) -> DataFrame:
-    """What has to be placed, per kind: whole texts, or full pieces and a rest."""
+def pieces(measured: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    """What has to be placed, per kind, of ``doc_id, tokens``: whole texts, or full pieces and a rest."""
     options = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in kinds])
-    each = sizes(documents, vocabulary).select("doc_id", "tokens", F.explode(options).alias("k")).select("doc_id", "tokens", "k.*")
+    each = measured.select("doc_id", "tokens", F.explode(options).alias("k")).select("doc_id", "tokens", "k.*")
     last = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")) - 1, F.lit(0))
     cutup = each.withColumn("piece", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     first = F.col("piece") * F.col("capacity")
     return cutup.select("container_kind", "capacity", "doc_id", "piece", first.alias("first_token"), F.least(F.col("capacity"), F.col("tokens") - first).alias("tokens"))
 
 
-def pack(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = VOCABULARY, part_items: int = PART_ITEMS) -> DataFrame:
+def pack(documents: DataFrame, container_sizes: DataFrame, part_items: int = PART_ITEMS, measure: Measure = sizes) -> DataFrame:
     """``container_kind, capacity, container, doc_id, piece, first_token, tokens``."""
     spark = documents.sparkSession
     columns = ["container_kind", "capacity", "container", "doc_id", "piece", "first_token", "tokens"]
-    kinds = containers_of(container_sizes)
-    if not kinds:
-        return spark.createDataFrame([], SCHEMA).select(*columns)
-    placed = cut(pieces(documents, kinds, vocabulary))
+    measured = cut(measure(documents).select("doc_id", "tokens"))
+    done = [_pack_kinds(pieces(measured, kinds), columns, part_items) for kinds in containers_of(container_sizes)]
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], SCHEMA).select(*columns)
+
+
+def _pack_kinds(placed: DataFrame, columns: list[str], part_items: int) -> DataFrame:
     full = placed.where("tokens = capacity").withColumn("container", F.concat_ws("-", "container_kind", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece").cast("string")))
     items = placed.where("tokens < capacity")
 
@@ -142,7 +152,8 @@ def pack(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = VOC
 
     most = items.groupBy("container_kind").count().agg(F.max("count")).first()[0] or 0
     done, current = [full.select(*columns)], packed(items, 0, most)
-    for salt in range(1, ROUNDS + 1):
+    for salt in itertools.count(1):
+        # every round but the last saves a container at least, so this ends
         loose = (F.col("gap") > 0) & (F.col("fullness") < F.greatest(F.lit(16), F.col("gap") * 8))
         released, kept = current.where(loose), current.where(~loose)
         before = {r[0]: (r[1], r[2]) for r in released.groupBy("container_kind").agg(F.countDistinct("container"), F.count("*")).collect()}
@@ -156,25 +167,22 @@ def pack(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = VOC
         if not better:
             break
     done.append(current.select(*columns))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
-def report(documents: DataFrame, container_sizes: DataFrame, vocabulary: str = VOCABULARY, part_items: int = PART_ITEMS) -> DataFrame:
+def report(documents: DataFrame, container_sizes: DataFrame, part_items: int = PART_ITEMS, measure: Measure = sizes) -> DataFrame:
     """Per kind: containers used, the lower bound over all documents, tokens and share of space used."""
-    out = pack(documents, container_sizes, vocabulary, part_items)
-    spark = documents.sparkSession
-    schema = "container_kind string, capacity bigint, pieces bigint, containers bigint, lower_bound bigint, tokens bigint, used_share double"
-    # at most one row per kind and size: bounded by the capacities
-    histogram = out.groupBy("container_kind", "capacity", "tokens").agg(F.count("*").alias("n")).collect()
-    used = {r[0]: r[1] for r in out.groupBy("container_kind").agg(F.countDistinct("container")).collect()}
-    rows = []
-    for kind in sorted(used):
-        own = [r for r in histogram if r["container_kind"] == kind]
-        capacity, n = own[0]["capacity"], sum(r["n"] for r in own)
-        tokens = sum(r["n"] * r["tokens"] for r in own)
-        bound = lower_bound(np.repeat([r["tokens"] for r in own], [r["n"] for r in own]), capacity)
-        rows.append((kind, capacity, n, used[kind], bound, tokens, round(tokens / (used[kind] * capacity), 6)))
-    return spark.createDataFrame(rows, schema)
+    out = cut(pack(documents, container_sizes, part_items, measure))
+    # a group holds at most a row per size, and there are no more sizes than the capacity
+    histogram = out.groupBy("container_kind", "capacity", "tokens").agg(F.count("*").alias("n"))
+    schema = "container_kind string, capacity bigint, pieces bigint, tokens bigint, lower_bound bigint"
+    bounds = histogram.groupBy("container_kind").applyInPandas(_bound, schema)
+    used = out.groupBy("container_kind").agg(F.countDistinct("container").alias("containers"))
+    share = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("used_share")
+    return bounds.join(used, "container_kind").select("container_kind", "capacity", "pieces", "containers", "lower_bound", "tokens", share)
+
+
+def _bound(sizes_of_kind: pd.DataFrame) -> pd.DataFrame:
+    w, n, capacity = sizes_of_kind["tokens"].to_numpy(), sizes_of_kind["n"].to_numpy(), int(sizes_of_kind["capacity"].iloc[0])
+    row = [sizes_of_kind["container_kind"].iloc[0], capacity, int(n.sum()), int((w * n).sum()), lower_bound(w, capacity, n)]
+    return pd.DataFrame([row], columns=["container_kind", "capacity", "pieces", "tokens", "lower_bound"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from . import formatting_dedup, mixing, neighbors, packing, pii, residue, score_fusion, subset
@@ -48,6 +49,13 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
     return packing.report(load(spark, root, "documents"), load(spark, root, "container_sizes"))
 
 
+def p8_by_characters(spark: SparkSession, root: str) -> DataFrame:
+    """The report with sizes in characters, which SQL can tell: pieces, bounds, and whether the containers are within a twentieth of the bound."""
+    r = packing.report(load(spark, root, "documents"), load(spark, root, "container_sizes"), measure=mixing.in_characters)
+    near = (F.col("containers") >= F.col("lower_bound")) & (F.col("containers") <= F.greatest(F.col("lower_bound") * 1.05, F.col("lower_bound") + 1))
+    return r.select("container_kind", "capacity", "pieces", "tokens", "lower_bound", near.alias("near_bound"))
+
+
 def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixture(load(spark, root, "documents"), load(spark, root, "mix_targets"))
 
@@ -73,11 +81,28 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_redacted, p3_ranking, p4_found, p4_recall, p5_subset, p7_found, p7_collapsed,
-        p8_containers, p8_report, p9_mixture, p9_shares, p9_by_characters, p10_found, p10_flags,
+        p8_containers, p8_report, p8_by_characters, p9_mixture, p9_shares, p9_by_characters, p10_found, p10_flags,
     )
 }
 
 SQL: dict[str, str] = {
+    "p8_by_characters": """
+WITH k AS (SELECT container_kind, max(capacity_tokens)::BIGINT AS c FROM container_sizes WHERE container_kind IS NOT NULL AND capacity_tokens > 0 GROUP BY container_kind),
+d AS (SELECT length(text) AS n FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+x AS (SELECT container_kind, c, n, unnest(range(0, greatest(ceil(n / c)::BIGINT, 1))) AS piece FROM d, k),
+h AS (SELECT container_kind, c, least(c, n - piece * c) AS w, count(*) AS m FROM x GROUP BY ALL),
+a AS (SELECT container_kind, c, unnest(range(0, c // 2 + 1)) AS a FROM k),
+f AS (
+  SELECT a.container_kind, a.a, a.c, sum(m) FILTER (WHERE w > a.c - a) AS large, sum(m) FILTER (WHERE w <= a.c - a AND w > a.c // 2) AS middle,
+    coalesce(sum(m * w) FILTER (WHERE w <= a.c // 2 AND w >= a), 0) - coalesce(sum(m * (a.c - w)) FILTER (WHERE w <= a.c - a AND w > a.c // 2), 0) AS rest
+  FROM a JOIN h USING (container_kind) GROUP BY ALL),
+b1 AS (SELECT container_kind, max(coalesce(large, 0) + coalesce(middle, 0) + greatest(0, ceil(rest / c))) AS b FROM f GROUP BY container_kind),
+g AS (
+  SELECT container_kind, c, j, sum(m * CASE WHEN (w * (j + 1)) % c = 0 THEN w * j ELSE (w * (j + 1)) // c * c END) AS v FROM h, range(1, 21) AS r(j) WHERE w > 0 GROUP BY ALL),
+b2 AS (SELECT container_kind, max(ceil(v / (j * c))) AS b FROM g GROUP BY container_kind)
+SELECT h.container_kind, h.c AS capacity, sum(m)::BIGINT AS pieces, sum(m * w)::BIGINT AS tokens,
+  greatest(any_value(b1.b), any_value(b2.b), ceil(sum(m * w) / h.c))::BIGINT AS lower_bound, true AS near_bound
+FROM h JOIN b1 USING (container_kind) JOIN b2 USING (container_kind) GROUP BY h.container_kind, h.c""",
     "p9_by_characters": """
 WITH d AS (SELECT doc_id, source, length(text) AS tokens FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0),
 t AS (
