@@ -77,11 +77,15 @@ def p10_flags(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_flags(load(spark, root, "documents"))
 
 
+def p10_clean(spark: SparkSession, root: str) -> DataFrame:
+    return residue.without_residue(load(spark, root, "documents")).select("doc_id", "lang", "source", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_redacted, p3_ranking, p4_found, p4_recall, p5_subset, p7_found, p7_collapsed,
-        p8_containers, p8_report, p8_by_characters, p9_mixture, p9_shares, p9_by_characters, p10_found, p10_flags,
+        p8_containers, p8_report, p8_by_characters, p9_mixture, p9_shares, p9_by_characters, p10_found, p10_flags, p10_clean,
     )
 }
 

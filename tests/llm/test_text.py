@@ -7,6 +7,7 @@ import pytest
 from palimpsest.llm import formatting_dedup, pii, residue
 
 from ..frames import documents, memories
+from .residue_sentences import CLEAN, SEEN, UNSEEN
 
 PARTS = (("Liora", "given"), ("Mark", "given"), ("Hazel", "given"), ("Skarsen", "family"), ("Stone", "family"), ("Frost", "family"), ("Grant", "given"), ("Ashgrove-Lint", "family"), ("Țeromir", "family"))
 
@@ -197,3 +198,10 @@ def test_residue_frames(spark):
     assert sorted(r["doc_id"] for r in residue.without_residue(d.where("doc_id IS NOT NULL")).collect()) == [2, 3]
     assert residue.residue_documents(d.limit(0)).count() == 0
     assert list(itertools.chain(residue.without_residue(d).columns)) == d.columns
+
+
+def test_residue_in_sentences_that_no_table_holds():
+    assert all(any(residue.residue(t)) for t in SEEN) and not any(any(residue.residue(t)) for t in CLEAN)
+    assert sum(any(residue.residue(t)) for t in UNSEEN) >= 0.8 * len(UNSEEN)
+    beside = "The ferry left at nine. " * 30
+    assert all(any(residue.residue(beside + t)) for t in SEEN)
