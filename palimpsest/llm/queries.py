@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.reference_sql import _M
 from ..sources.tables import load
 from . import formatting_dedup, mixing, neighbors, packing, pii, residue, score_fusion, subset
 
@@ -21,6 +22,10 @@ def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
     return score_fusion.fused_ranking(load(spark, root, "memories"))
 
 
+def p3_components(spark: SparkSession, root: str) -> DataFrame:
+    return score_fusion.components(load(spark, root, "memories"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbors.nearest_pairs(load(spark, root, "memories"))
 
@@ -84,12 +89,60 @@ def p10_clean(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_redacted, p3_ranking, p4_found, p4_recall, p5_subset, p7_found, p7_collapsed,
+        p1_found, p1_redacted, p3_ranking, p3_components, p4_found, p4_recall, p5_subset, p7_found, p7_collapsed,
         p8_containers, p8_report, p8_by_characters, p9_mixture, p9_shares, p9_by_characters, p10_found, p10_flags, p10_clean,
     )
 }
 
+_SCORES = ("importance", "access_count", "last_accessed_at_ms", "created_at_ms")
+
+
+def _component_sql() -> str:
+    """Ranks, correlations and the first component by squaring the matrix again and again, each in SQL."""
+    def clean(n: str) -> str:
+        c = f"{n}::DOUBLE"
+        c = f"CASE WHEN {c} < 1e11 THEN {c} * 1000 WHEN {c} >= 1e14 THEN {c} / 1000 ELSE {c} END" if n.endswith("_ms") else c
+        return f"CASE WHEN {n} IS NOT NULL AND NOT isnan({n}::DOUBLE) AND {c} >= 0 THEN {c} END"
+
+    scope = "coalesce(tenant_id, chr(1)) AS t, coalesce(namespace, chr(1)) AS ns"
+    at = range(4)
+    rank = "(rank() OVER (PARTITION BY t, ns ORDER BY {0}) - 1 + (count(*) OVER (PARTITION BY t, ns, {0})) / 2.0) / count({0}) OVER (PARTITION BY t, ns) - 0.5"
+    corr = ", ".join(f"CASE WHEN d{i} > 1e-9 AND d{j} > 1e-9 THEN (q{min(i, j)}{max(i, j)} - a{i} * a{j}) / (d{i} * d{j}) ELSE 0 END" for i in at for j in at)
+    square = "[" + ", ".join(" + ".join(f"m[{4 * i + x + 1}] * m[{4 * x + j + 1}]" for x in at) for i in at for j in at) + "]"
+    trace = "({0}[1] + {0}[6] + {0}[11] + {0}[16])"
+    dot = "list_sum(list_transform(range(1, 17), lambda i: c[i] * l[(i - 1) // 4 + 1] * l[(i - 1) % 4 + 1]))"
+    return f"""
+WITH RECURSIVE {_M},
+x AS (SELECT id, {scope}, {', '.join(f'{clean(n)} AS v{i}' for i, n in enumerate(_SCORES))} FROM m),
+u AS (SELECT id, t, ns, {', '.join(f'CASE WHEN v{i} IS NULL THEN 0 ELSE {rank.format(f"v{i}")} END AS u{i}' for i in at)} FROM x),
+f AS (
+  SELECT t, ns, count(*) AS n, {', '.join(f'avg(u{i}) AS a{i}' for i in at)}, {', '.join(f'avg(u{i} * u{j}) AS q{i}{j}' for i in at for j in at if i <= j)} FROM u GROUP BY t, ns),
+g AS (SELECT *, {', '.join(f'sqrt(greatest(q{i}{i} - a{i} * a{i}, 0)) AS d{i}' for i in at)} FROM f),
+c AS (SELECT *, [{corr}] AS c FROM g),
+p AS (
+  SELECT t, ns, 0 AS k, list_transform(c, lambda e: e / greatest({trace.format('c')}, 1e-300)) AS m FROM c
+  UNION ALL
+  SELECT t, ns, k + 1, list_transform(s, lambda e: CASE WHEN {trace.format('s')} > 0 THEN e / {trace.format('s')} ELSE 0 END) FROM (SELECT t, ns, k, {square} AS s FROM p WHERE k < 30)),
+o AS (SELECT t, ns, m, list_position([m[1], m[6], m[11], m[16]], list_max([m[1], m[6], m[11], m[16]])) AS b FROM p WHERE k = 30),
+r AS (SELECT t, ns, [m[b], m[4 + b], m[8 + b], m[12 + b]] AS l FROM o),
+y AS (SELECT t, ns, CASE WHEN list_sum(list_transform(l, lambda e: e * e)) > 0 THEN list_transform(l, lambda e: e / sqrt(list_sum(list_transform(l, lambda z: z * z)))) ELSE l END AS l FROM r),
+z AS (
+  SELECT t, ns, CASE WHEN list_sum(l) < -1e-9 OR (abs(list_sum(l)) <= 1e-9 AND coalesce(list_filter(l, lambda e: abs(e) > 1e-9)[1], 1) < 0) THEN list_transform(l, lambda e: -e) ELSE l END AS l FROM y),
+w AS (SELECT c.*, z.l, CASE WHEN {trace.format('c')} > 0 THEN {dot} / {trace.format('c')} ELSE 0 END AS share FROM c JOIN z USING (t, ns))
+"""
+
+
+def _scope_sql() -> str:
+    return "nullif(t, chr(1)) AS tenant_id, nullif(ns, chr(1)) AS namespace"
+
+
 SQL: dict[str, str] = {
+    "p3_components": f"""
+{_component_sql()} SELECT {_scope_sql()}, n AS items, round(share, 6) AS explained, {', '.join(f'round(l[{i + 1}], 6) + 0.0 AS {n}' for i, n in enumerate(_SCORES))} FROM w""",
+    "p3_ranking": f"""
+{_component_sql()}, s AS (
+  SELECT u.t, u.ns, id, round({' + '.join(f'CASE WHEN d{i} > 1e-9 THEN l[{i + 1}] * (u{i} - a{i}) / d{i} ELSE 0 END' for i in range(4))}, 9) AS score FROM u JOIN w USING (t, ns))
+SELECT {_scope_sql()}, id, score + 0.0 AS score, row_number() OVER (PARTITION BY t, ns ORDER BY s.score DESC, id) AS position FROM s""",
     "p8_by_characters": """
 WITH k AS (SELECT container_kind, max(capacity_tokens)::BIGINT AS c FROM container_sizes WHERE container_kind IS NOT NULL AND capacity_tokens > 0 GROUP BY container_kind),
 d AS (SELECT length(text) AS n FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),

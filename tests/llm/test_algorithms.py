@@ -134,8 +134,25 @@ def test_component_matches_numpy():
     import pandas as pd
 
     got = score_fusion.first_component(pd.DataFrame([sums]), 4, [1, -1, 1, 1]).iloc[0]
-    want = np.abs(np.linalg.eigh(np.corrcoef(u.T))[1][:, -1])
-    assert np.allclose([got[f"w{i}"] for i in range(4)], want * [1, -1, 1, 1])
+    turn = np.array([1, -1, 1, 1])
+    values, vectors = np.linalg.eigh(np.corrcoef((u * turn).T))
+    want = vectors[:, -1] * np.sign(vectors[:, -1].sum())  # turned as a whole
+    assert np.allclose([got[f"w{i}"] for i in range(4)], want * turn) and got["share"] == pytest.approx(values[-1] / 4)
+
+
+def test_component_of_special_matrices():
+    assert np.allclose(score_fusion.principal(np.array([[1.0, -1.0], [-1.0, 1.0]]))[0], [0.5**0.5, -(0.5**0.5)])
+    load, share = score_fusion.principal(np.eye(3))
+    assert np.allclose(load @ load, 1) and share == pytest.approx(1 / 3)
+    assert np.allclose(score_fusion.principal(np.diag([0.0, 1.0]))[0], [0, 1])
+
+
+def test_common_values_are_ranked_like_others(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [{"id": f"{i:03d}", "importance": float(rng.choice([0.0, 0.0, 0.5, rng.random()])), "access_count": int(rng.choice([0, 0, 0, rng.integers(9)])), "created_at_ms": int(1.7e12 + rng.integers(99)), "last_accessed_at_ms": None} for i in range(120)]
+    want = score_fusion.fused_ranking(memories(spark, rows)).orderBy("position").collect()
+    monkeypatch.setattr(score_fusion, "COMMON", 10)  # values of 12 rows and more go the other way
+    assert score_fusion.fused_ranking(memories(spark, rows)).orderBy("position").collect() == want
 
 
 def test_lazy_greedy_equals_greedy():
