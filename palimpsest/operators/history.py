@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import cut
 from .ordered import PID, partition_summaries, range_sorted
 
 FANOUT = 16
@@ -46,8 +47,11 @@ def states(df: DataFrame, export: str | None) -> DataFrame:
 
 def _trees(rows: DataFrame, levels: int) -> list[DataFrame]:
     """Digests by level, root first: ``export_ms, node, digest``."""
-    leaf = rows.groupBy("export_ms", "leaf").agg(
-        F.bit_xor(F.xxhash64(*ROW)).alias("a"), F.bit_xor(F.xxhash64(F.lit(17), *ROW)).alias("b"), F.count("*").alias("n")
+    # every level above is made from the leaves' digests, which are written once
+    leaf = cut(
+        rows.groupBy("export_ms", "leaf").agg(
+            F.bit_xor(F.xxhash64(*ROW)).alias("a"), F.bit_xor(F.xxhash64(F.lit(17), *ROW)).alias("b"), F.count("*").alias("n")
+        )
     )
     out = []
     for level in range(levels + 1):
@@ -78,7 +82,7 @@ def changed_leaves(rows: DataFrame, levels: int) -> DataFrame:
 def new_states(exports: DataFrame, levels: int) -> DataFrame:
     """States that a Merkle comparison of successive exports brings to light."""
     leaves = FANOUT**levels
-    rows = exports.distinct().withColumn("leaf", F.pmod(F.xxhash64("id"), F.lit(leaves)))
+    rows = cut(exports.distinct().withColumn("leaf", F.pmod(F.xxhash64("id"), F.lit(leaves))))
     changed = changed_leaves(rows, levels)
     candidates = rows.join(changed, ["export_ms", "leaf"])
     before = rows.select(F.col("export_ms").alias("before_ms"), *ROW)

@@ -20,13 +20,17 @@ from .durable import cut
 PID = "__partition"
 
 
-def range_sorted(df: DataFrame, by: list[Column | str], partitions: int | None = None) -> DataFrame:
+def range_sorted(df: DataFrame, by: list[Column | str], partitions: int | None = None, expensive: bool = False) -> DataFrame:
     """``df`` range-partitioned and sorted by ``by``, with its partition number in ``__partition``.
 
     Range bounds come from sampling, so the result is checkpointed: every later pass sees the
-    same rows in the same partitions, also after an executor is lost.
+    same rows in the same partitions, also after an executor is lost. The sampling runs ``df`` once
+    more, so an ``expensive`` one is written before; then there are at least as many partitions as it has.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if expensive:
+        df = cut(df)
+        n = partitions or max(n, df.rdd.getNumPartitions())
     ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
     return cut(ranged.withColumn(PID, F.spark_partition_id()))
 
