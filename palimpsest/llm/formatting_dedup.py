@@ -100,7 +100,7 @@ def _sorted_keys(memories: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "tenant_id": b["tenant_id"], "namespace": b["namespace"], "canon": [canonical(t) for t in b["content"]]})
 
     keyed = rows.mapInPandas(keys, "id string, tenant_id string, namespace string, canon string")
-    return range_sorted(keyed, ["tenant_id", "namespace", "canon", "id"])
+    return range_sorted(keyed, ["tenant_id", "namespace", "canon", "id"], expensive=True)
 
 
 def _runs(placed: DataFrame) -> tuple[DataFrame, dict[int, tuple]]:
