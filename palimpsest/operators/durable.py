@@ -32,3 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once, reliably, so that later passes read identical partitions."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, over all cores if it comes in fewer partitions; large tables are left as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

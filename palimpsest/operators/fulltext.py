@@ -17,6 +17,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import EPSILON
 from ..functions.text import query_phrases, tokens
+from .durable import cut
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6  # fixed values
 MOST_HITS = 300  #: a literal bound lets Spark cut each query's hits before the shuffle
@@ -107,11 +110,24 @@ def _frequencies(texts: DataFrame, phrases: list[str]) -> DataFrame:
     return texts.select("tokens").mapInArrow(count, "term string, df bigint").where("df > 0").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _slices(phrases: DataFrame) -> Iterator[list[str]]:
-    n = phrases.count()
-    parts = max(1, -(-n // SLICE))
+def _idf(df: float, n: int) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+
+
+def _known(texts: DataFrame, q: DataFrame, n: int) -> tuple[dict[str, float] | None, DataFrame]:
+    """The weights of all phrases of the queries, or, where they are more than a slice, the queries with ``terms`` that carry them."""
+    phrases = q.select(F.explode("phrases").alias("term")).distinct()
+    first = [r[0] for r in phrases.limit(SLICE + 1).collect()]
+    if len(first) <= SLICE:
+        return {r["term"]: _idf(r["df"], n) for r in _frequencies(texts, first).collect()}, q
+    parts, df = -(-phrases.count() // SLICE) + 1, None
     for i in range(parts):
-        yield [r[0] for r in phrases.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()]
+        part = _frequencies(texts, [r[0] for r in phrases.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect()])
+        df = part if df is None else df.unionByName(part)
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    each = q.select("qid", F.explode("phrases").alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("w"))
+    terms = each.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", "w", idf.alias("idf"))).alias("terms"))
+    return None, q.drop("terms").join(terms, "qid")
 
 
 def _distances(queries: list, docs: list, which: np.ndarray, rows: np.ndarray) -> list[float | None]:
@@ -129,11 +145,16 @@ def _distances(queries: list, docs: list, which: np.ndarray, rows: np.ndarray) -
     return out
 
 
-def _score(avgdl: float):
+def _score(avgdl: float, idf: dict[str, float] | None):
+    def weighted(phrases: list[str], terms: list[dict] | None) -> list[tuple[str, float, float]]:
+        if idf is None:
+            return [(t["term"], t["w"], t["idf"]) for t in terms or ()]
+        return [(p, float(w), idf[p]) for p, w in Counter(phrases).items() if p in idf]
+
     def best(key, docs: pa.Table, queries: pa.Table) -> pa.Table:
         docs = docs.sort_by("id")
-        asked = list(zip(*(queries[c].to_pylist() for c in ("qid", "k", "terms", "asked"))))
-        index = _Inverted(docs["tokens"], {t for _, _, terms, _ in asked for p in terms for t in p["term"].split(" ")}) if docs.num_rows and asked else None
+        asked = [(k, weighted(p, t), m) for k, p, t, m in zip(*(queries[c].to_pylist() for c in ("k", "phrases", "terms", "asked")))]
+        index = _Inverted(docs["tokens"], {t for _, terms, _ in asked for p, _, _ in terms for t in p.split(" ")}) if docs.num_rows and asked else None
         marks: dict[str, set[int]] = {}
         if index and any(m for *_, m in asked):
             wanted = {e for *_, m in asked for e in m or ()}
@@ -145,12 +166,12 @@ def _score(avgdl: float):
         if index:
             norm = K1 * (1 - B + B * index.lengths / avgdl) if avgdl else np.full(docs.num_rows, K1)
             total = np.zeros(docs.num_rows)
-            for i, (_, k, terms, m) in enumerate(asked):
+            for i, (k, terms, m) in enumerate(asked):
                 touched = []
-                for t in terms:
-                    d, tf = index.find(t["term"])
+                for phrase, w, rare in terms:
+                    d, tf = index.find(phrase)
                     if len(d):
-                        total[d] += t["w"] * t["idf"] * tf * (K1 + 1) / (tf + norm[d])
+                        total[d] += w * rare * tf * (K1 + 1) / (tf + norm[d])
                         touched.append(d)
                 if not touched:
                     continue
@@ -184,29 +205,18 @@ def search(queries: DataFrame, docs: DataFrame, most: int = MOST_HITS) -> DataFr
     for c, kind in (("asked", "array<string>"), ("vec", "array<float>")):
         queries = queries if c in queries.columns else queries.withColumn(c, F.lit(None).cast(kind))
     texts = docs.where("content IS NOT NULL").select("id", "tenant_id", "namespace", "live", "entries", "vec", tokens(F.col("content")).alias("tokens"))
-    asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").select(
-        "qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), F.explode(query_phrases(F.col("text"))).alias("term")
-    )
-    weights = asked.groupBy("qid", "term").agg(F.count("*").alias("w"))
-    stats = texts.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 0.0
-    df = None
-    for phrases in _slices(asked.select("term").distinct()):
-        part = _frequencies(texts, phrases)
-        df = part if df is None else df.unionByName(part)
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    terms = weights.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", F.col("w").cast("double").alias("w"), idf.alias("idf"))).alias("terms"))
-    q = queries.select("qid", "tenant_id", "namespace", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), "asked", "vec").dropDuplicates(["qid"]).join(terms, "qid")
-    live = texts.where("live")
     scope = ["tenant_id", "namespace"]
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
-
-    sizes = blocks(live, "db").join(blocks(queries, "qb"), scope)
-    d = live.join(sizes, scope).select(*scope, "id", "tokens", "entries", "vec", F.pmod(F.xxhash64("id"), F.col("db")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
-    q = q.join(sizes, scope).select(*scope, "qid", "k", "terms", "asked", "vec", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("db") - 1)).alias("b"))
+    asked = queries.where("qid IS NOT NULL AND text IS NOT NULL AND k > 0").dropDuplicates(["qid"])
+    weights = F.lit(None).cast("array<struct<term:string,w:double,idf:double>>").alias("terms")
+    q = cut(asked.select(*scope, "qid", F.least(F.col("k"), F.lit(most)).cast("int").alias("k"), "asked", "vec", query_phrases(F.col("text")).alias("phrases"), weights))
+    scopes = cut(texts.groupBy(*scope).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("length"), F.ceil(F.count_if("live") / BLOCK_ROWS).cast("int").alias("db")))
+    whole = scopes.agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
+    idf, q = _known(texts, q, whole["n"] or 0)
+    sizes = scopes.where("db > 0").select(*scope, "db").join(q.groupBy(*scope).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qb")), scope)
+    d = texts.where("live").join(sizes, scope).select(*scope, "id", "tokens", "entries", "vec", F.pmod(F.xxhash64("id"), F.col("db")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"))
+    q = q.join(sizes, scope).select(*scope, "qid", "k", "phrases", "terms", "asked", "vec", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("db") - 1)).alias("b"))
     qid_type, id_type = (t.simpleString() for t in (queries.schema["qid"].dataType, docs.schema["id"].dataType))
-    found = d.groupBy(*scope, "b", "c").cogroup(q.groupBy(*scope, "b", "c")).applyInArrow(_score(avgdl), f"qid {qid_type}, id {id_type}, k int, bm25 double, dist double")
+    score = _score((whole["length"] or 0) / max(whole["n"] or 0, 1), idf)
+    found = d.groupBy(*scope, "b", "c").cogroup(q.groupBy(*scope, "b", "c")).applyInArrow(score, f"qid {qid_type}, id {id_type}, k int, bm25 double, dist double")
     order = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), "id")  # at most k rows per block
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {most}").where("rank <= k").select("qid", "id", "bm25", "rank", "dist")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.metrics import METRICS, distance
 from ..operators import context, filters, fulltext, ivf, knn, oplog, recall, records
+from ..operators.durable import cut, spread
 from ..operators.filters import And, Equals, In, Not, Or
 from ..sources.tables import load
 
@@ -278,10 +279,14 @@ def mem_tombstones(spark: SparkSession, root: str) -> DataFrame:
 
 # --- full text and recall ---------------------------------------------------------------------------
 def _docs(spark: SparkSession, root: str) -> DataFrame:
-    m = records.latest(_memories(spark, root), ["tenant_id", "namespace", "content", "status"])
+    m = records.latest(spread(_memories(spark, root)), ["tenant_id", "namespace", "content", "status"])
     return m.withColumn("live", F.col("status") == "active")
 
 
+def _prepared(spark: SparkSession, root: str) -> DataFrame:
+    return recall.prepared(spread(_memories(spark, root)))
+
+
 def _requests(spark: SparkSession, root: str) -> DataFrame:
     return recall.valid_requests(load(spark, root, "recall_requests"), DIMS)
 
@@ -292,7 +297,7 @@ def fts_vocabulary(spark: SparkSession, root: str) -> DataFrame:
 
 def fts_search(spark: SparkSession, root: str) -> DataFrame:
     r = _requests(spark, root).select("qid", "tenant_id", "namespace", "text", "k")
-    return fulltext.search(r, _docs(spark, root)).drop("dist").withColumn("bm25", F.round("bm25", 6))
+    return fulltext.search(r, cut(_docs(spark, root))).drop("dist").withColumn("bm25", F.round("bm25", 6))
 
 
 def recall_invalid(spark: SparkSession, root: str) -> DataFrame:
@@ -300,11 +305,11 @@ def recall_invalid(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, root: str) -> DataFrame:
-    return recall.candidates(_requests(spark, root), recall.prepared(_memories(spark, root))).select("qid", "id", "vrank", "trank", F.round("rrf", 9).alias("rrf"))
+    return recall.candidates(_requests(spark, root), _prepared(spark, root)).select("qid", "id", "vrank", "trank", F.round("rrf", 9).alias("rrf"))
 
 
 def _scores(spark: SparkSession, root: str, **agent: bool) -> DataFrame:
-    r, m = _requests(spark, root), recall.prepared(_memories(spark, root))
+    r, m = _requests(spark, root), _prepared(spark, root)
     return recall.scored(r, m, recall.candidates(r, m), **agent)
 
 
@@ -323,17 +328,17 @@ def recall_agent_scope(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recall_mmr(spark: SparkSession, root: str) -> DataFrame:
-    r, m = _requests(spark, root), recall.prepared(_memories(spark, root))
+    r, m = _requests(spark, root), _prepared(spark, root)
     return recall.diversified(recall.scored(r, m, recall.candidates(r, m)), m).select("qid", "id", F.round("score", 6).alias("score"), F.round("mmr", 6).alias("mmr"), "position")
 
 
 def recall_full(spark: SparkSession, root: str) -> DataFrame:
-    out = recall.recall(load(spark, root, "recall_requests"), _memories(spark, root), DIMS)
+    out = recall.recall(load(spark, root, "recall_requests"), spread(_memories(spark, root)), DIMS)
     return out.select("qid", "id", "kind", F.round("score", 6).alias("score"), "position", "returned")
 
 
 def _recalled(spark: SparkSession, root: str) -> DataFrame:
-    r, m = _requests(spark, root), recall.prepared(_memories(spark, root))
+    r, m = _requests(spark, root), _prepared(spark, root)
     best = recall.top(recall.scored(r, m, recall.candidates(r, m))).select("qid", "id", "position", "kind", "score")
     return best.join(m.select("id", "content"), "id").select("qid", "position", "kind", "content", "score")
 
