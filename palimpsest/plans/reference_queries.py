@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.metrics import METRICS, distance
+from ..functions.text import query_phrases
+from ..index import Index
 from ..operators import context, filters, fulltext, ivf, knn, oplog, recall, records
-from ..operators.durable import cut, spread
+from ..operators.durable import cut, ensure_checkpoint_dir, spread
 from ..operators.filters import And, Equals, In, Not, Or
 from ..sources.tables import load
+from ..store import MemoryStore
 
 NOW_MS = 1_743_984_000_000  #: fixed clock of the queries
 DIMS = 96
@@ -277,6 +282,50 @@ def mem_tombstones(spark: SparkSession, root: str) -> DataFrame:
     return oplog.tombstones(_log(spark, root))
 
 
+# --- store and index ----------------------------------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the session's shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def store_lifecycle(spark: SparkSession, root: str) -> DataFrame:
+    """Records remembered, updated, forgotten and vacuumed in a store, which is then opened again."""
+    fields = ["tenant_id", "namespace", "content", "kind", "importance", "expires_at_ms", "status", "embedding"]
+    m = cut(records.latest(_memories(spark, root), fields))
+    path = _folder(spark, "store")
+    store = MemoryStore.open(spark, path, DIMS, "test", clock=lambda: NOW_MS)
+    store.remember_frame(m.withColumn("operation_id", F.col("id")))
+    known = cut(store.log().select(F.col("operation_id").alias("id"), F.col("id").alias("stored")).join(m.select("id", "tenant_id", "namespace", "kind", "status"), "id"))
+    facts = known.where("kind = 'fact'").select(F.col("stored").alias("id"), F.btrim("tenant_id").alias("tenant_id"), F.btrim("namespace").alias("namespace"), F.lit(1).alias("expected_revision"), F.lit(0.25).alias("importance"))
+    store.update_frame(facts)
+    store.forget_frame(known.where("status = 'deleted'").select(F.col("stored").alias("id"), "tenant_id", "namespace"))
+    store.vacuum_tombstones(2**31 - 1)
+    again = MemoryStore.open(spark, path, DIMS, "test", clock=lambda: NOW_MS)
+    hashed = F.col("content_hash") == F.xxhash64("content")
+    out = again.records().join(known.select(F.col("stored").alias("id"), F.col("id").alias("memory_id")), "id")
+    return out.select("memory_id", "tenant_id", "namespace", "content", "kind", "importance", "status", "revision", hashed.alias("hashed"))
+
+
+def index_reopened(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors put into an index in two parts, some removed, the index opened again and searched for every query row."""
+    v = _vectors(spark, root)
+    dims = spark.read.parquet(f"{root}/embeddings.parquet").select(F.max(F.size("embedding"))).first()[0] or 1
+    path = _folder(spark, "index")
+    ix = Index(spark, dims, "l2", path)
+    ix.insert_frame(v.where("id % 2 = 0"))
+    Index(spark, dims, "l2", path).insert_frame(v.where("id % 2 <> 0"))
+    ix = Index(spark, dims, "l2", path)
+    ix.remove(list(range(21)))
+    ix.compact()
+    return _edge(_searched(Index(spark, dims, "l2", path).frame(), v, "l2"))
+
+
+def vec_filter_test(spark: SparkSession, root: str) -> DataFrame:
+    """Whether single ids pass a filter given as a dictionary."""
+    where = filters.from_dict({"parity": "odd", "label": ["3", "4", "5"]})
+    return _vectors(spark, root).where("id % 100 = 0").select("id", where.column(F.col("metadata")).alias("passes"))
+
+
 # --- full text and recall ---------------------------------------------------------------------------
 def _docs(spark: SparkSession, root: str) -> DataFrame:
     m = records.latest(spread(_memories(spark, root)), ["tenant_id", "namespace", "content", "status"])
@@ -295,6 +344,11 @@ def fts_vocabulary(spark: SparkSession, root: str) -> DataFrame:
     return fulltext.vocabulary(_docs(spark, root))
 
 
+def fts_query_terms(spark: SparkSession, root: str) -> DataFrame:
+    """What each request's text asks for: all of it as a phrase, then its terms."""
+    return _requests(spark, root).where("text IS NOT NULL").select("qid", F.array_join(query_phrases(F.col("text")), "|").alias("phrases"))
+
+
 def fts_search(spark: SparkSession, root: str) -> DataFrame:
     r = _requests(spark, root).select("qid", "tenant_id", "namespace", "text", "k")
     return fulltext.search(r, cut(_docs(spark, root))).drop("dist").withColumn("bm25", F.round("bm25", 6))
@@ -369,6 +423,7 @@ QUERIES = {
             mem_current_view, scope_lookup, scope_agent_lookup, rebuild_active, mem_not_expired, mem_purgeable, mem_vacuum_batch, mem_after_vacuum,
             metadata_patch, token_estimates, health_counts,
             ops_idempotent, ops_pending, update_conflicts, recovery_replay, mem_tombstones,
+            store_lifecycle, index_reopened, vec_filter_test, fts_query_terms,
             fts_vocabulary, fts_search, recall_invalid, rrf_fusion, recall_scored, recall_explained, recall_agent_scope, recall_mmr, recall_full,
             context_lines, context_texts,
         )

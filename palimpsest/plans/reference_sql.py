@@ -250,6 +250,14 @@ FROM k LEFT JOIN m ON m.id = k.memory_id WHERE state = 'pending' AND k.kind IN (
 WITH {_O}, l AS (
   SELECT * FROM k WHERE kind IN ('remember', 'delete') QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY at_ms DESC, rev DESC, operation_id DESC) = 1)
 SELECT memory_id, operation_id FROM l WHERE kind = 'delete'""",
+    "store_lifecycle": f"""
+WITH {_M} SELECT id AS memory_id, trim(tenant_id) AS tenant_id, trim(namespace) AS namespace, content, kind, CASE WHEN kind = 'fact' THEN 0.25 ELSE coalesce(importance, 0.5) END AS importance,
+  'active' AS status, CASE WHEN kind = 'fact' THEN 2 ELSE 1 END::BIGINT AS revision, true AS hashed
+FROM m WHERE coalesce(trim(tenant_id), '') <> '' AND coalesce(trim(namespace), '') <> '' AND coalesce(trim(content), '') <> '' AND len(embedding) = 96
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND coalesce(importance, 0.5) BETWEEN 0 AND 1 AND status <> 'deleted' AND coalesce(expires_at_ms, {_NOW} + 1) > {_NOW}""",
+    "index_reopened": _batch_of("l2", "id > 20"),
+    "vec_filter_test": f"WITH {_V} SELECT id, has AND parity = 'odd' AND label IN ('3', '4', '5') AS passes FROM v WHERE id % 100 = 0",
+    "fts_query_terms": f"WITH {_M}, {_R}, {_FTS}, {_SEARCH.replace('{asked}', 'true')} SELECT qid, CASE WHEN len(terms) > 0 THEN array_to_string(list_concat([whole], terms), '|') ELSE '' END AS phrases FROM q1",
     "fts_vocabulary": f"WITH {_M}, {_FTS} SELECT term, df, cf FROM df",
     "fts_search": f"WITH {_M}, {_R}, {_FTS}, {_SEARCH.replace("{asked}", "true")} SELECT qid, id, round(bm25, 6) AS bm25, trank AS rank FROM txt",
     "recall_invalid": f"SELECT request_id, {_REASON} AS reason FROM recall_requests WHERE ({_REASON}) IS NOT NULL",

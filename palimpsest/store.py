@@ -348,6 +348,12 @@ class MemoryStore:
         hit = self.records().where(F.col("id").isin(wanted) & (F.col("tenant_id") == tenant) & (F.col("namespace") == ns) & (F.col("status") != "deleted"))
         self._append(hit.select(F.uuid().alias("operation_id"), F.lit("delete").alias("op"), F.lit("applied").alias("state"), "id", "tenant_id", "namespace", "revision", F.lit(self.now()).alias("at_ms")))
 
+    def forget_frame(self, rows: DataFrame) -> None:
+        """As ``forget_batch``, for any number of ``id, tenant_id, namespace`` in one distributed batch."""
+        wanted = rows.select("id", F.btrim("tenant_id").alias("tenant_id"), F.btrim("namespace").alias("namespace")).distinct()
+        hit = self.records().where("status <> 'deleted'").join(wanted, ["id", "tenant_id", "namespace"], "left_semi")
+        self._append(hit.select(F.uuid().alias("operation_id"), F.lit("delete").alias("op"), F.lit("applied").alias("state"), "id", "tenant_id", "namespace", "revision", F.lit(self.now()).alias("at_ms")))
+
     def set_status(self, id: str, status: str) -> None:
         self.set_status_batch([id], status)
 
