@@ -49,7 +49,7 @@ CODES = 256  #: residuals of a level below the sampled tree, at most
 RECALL = 0.997
 WIDEST = 64  #: leaves a calibration looks at first
 BEAM = 32  #: nodes looked at on each level below the sampled tree
-SALTS = 16
+COPIES = 200_000  #: copies of one vector in one task, about
 TASK_BYTES = 64 * 1024 * 1024
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -518,7 +518,7 @@ def _sendings(tree: Tree, d: int, u: np.ndarray, vectors: list[bytes], members:
     )
 
 
-_FOUND = "key binary, hot boolean, mine array<binary>, near array<struct<d:double,id:binary>>"
+_FOUND = "key binary, n bigint, mine array<binary>, near array<struct<d:double,id:binary>>"
 _NEAR = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.binary())]))
 
 
@@ -587,25 +587,27 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table(
         {
             "key": pa.array(_keys([vectors[i] for i in told], d), pa.binary()),
-            "hot": pa.array([items[i][3] > K + 1 for i in told], pa.bool_()),
+            "n": pa.array([items[i][3] for i in told], pa.int64()),
             "mine": pa.array([lists[i] for i in told], pa.list_(pa.binary())),
             "near": near.cast(_NEAR),
         }
     )
 
 
-def _members(ix: Index) -> DataFrame:
-    """``key, salt, ids``: per batch the ids of each vector; groups of copies are spread over salts."""
+def _members(ix: Index, many: set[bytes], salts: int) -> DataFrame:
+    """``key, salt, ids``: per batch the ids of each vector; those of the vectors ``many`` are spread over ``salts``."""
     uuids = ix.uuids
+    sent = ix.rows.sparkSession.sparkContext.broadcast(many)  # at most one in COPIES rows
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for d, at, x in _vectors(batch):
                 groups = _groups([v.tobytes() for v in x], _packed([ids[i] for i in at], uuids))
-                salts = [hashlib.blake2b(min(g[1]), digest_size=1).digest()[0] % SALTS for g in groups.values()]
+                keys = _keys(list(groups), d)
+                salt = [int.from_bytes(hashlib.blake2b(min(g[1]), digest_size=8).digest(), "little") % salts if k in sent.value else 0 for k, g in zip(keys, groups.values())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_keys(list(groups), d), pa.binary()), pa.array(salts, pa.int32()), pa.array([sorted(g[1]) for g in groups.values()], pa.list_(pa.binary()))],
+                    [pa.array(keys, pa.binary()), pa.array(salt, pa.int32()), pa.array([sorted(g[1]) for g in groups.values()], pa.list_(pa.binary()))],
                     names=["key", "salt", "ids"],
                 )
 
@@ -619,12 +621,16 @@ def _pairs(ix: Index) -> DataFrame:
     tasks = max(2 * ix.rows.sparkSession.sparkContext.defaultParallelism, -(-2 * width // TASK_BYTES))
     found = routed.repartition(tasks, "dims", "shard", "part").groupBy("dims", "shard", "part").applyInArrow(_compare, _FOUND)
     near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, K + 1)
-    merged = cut(found.groupBy("key").agg(F.max("hot").alias("hot"), F.array_distinct(F.flatten(F.collect_list("mine"))).alias("ids"), near.alias("near")))
-    both, hot = merged.where("NOT hot").select("ids", "near"), merged.where("hot")
-    if not hot.isEmpty():
-        # only vectors with more copies than a shard is told need their members
-        salted = hot.select("key", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        both = both.unionByName(_members(ix).join(salted, ["key", "salt"]).select("ids", "near"))
+    merged = cut(found.groupBy("key").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("mine"))).alias("ids"), near.alias("near")))
+    both, hot = merged.where(F.col("n") <= K + 1).select("ids", "near"), merged.where(F.col("n") > K + 1)
+    most = hot.agg(F.max("n")).first()[0]
+    if most:
+        # only vectors with more copies than a shard is told need their members; as many salts as the most copied one fills tasks
+        salts = -(-most // COPIES)
+        many = {bytes(r["key"]) for r in hot.where(F.col("n") > COPIES).select("key").collect()} if salts > 1 else set()
+        last = F.when(F.col("n") > COPIES, F.lit(salts - 1)).otherwise(F.lit(0)).cast("int")
+        salted = hot.select("key", "near", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+        both = both.unionByName(_members(ix, many, salts).join(salted, ["key", "salt"]).select("ids", "near"))
     each = both.select(F.explode("ids").alias("id"), "near").select("id", F.explode(F.expr(f"slice(filter(near, t -> t.id <> id), 1, {K})")).alias("t"))
     return each.select(F.least("id", "t.id").alias("a"), F.greatest("id", "t.id").alias("b")).distinct()
 

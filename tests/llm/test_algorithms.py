@@ -40,6 +40,14 @@ def test_pairs_exact_in_one_leaf_with_copies_and_dirt(spark):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
 
 
+def test_copies_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "COPIES", 20)
+    x = cloud(30, 6)
+    rows = [(f"{i:03d}", v.tolist()) for i, v in enumerate(x)] + [(f"copy{i:03d}", x[0].tolist()) for i in range(150)] + [(f"few{i}", x[1].tolist()) for i in range(8)]
+    got = [tuple(r) for r in neighbors.nearest_pairs(memories(spark, [{"id": i, "embedding": v} for i, v in rows]).repartition(7)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
 def test_recall_of_a_split_tree(spark):
     rows = [(f"{i:04d}", v.tolist()) for i, v in enumerate(cloud(1500, 2))]
     m = memories(spark, [{"id": i, "embedding": v} for i, v in rows])
