@@ -36,16 +36,12 @@ SLICE = 100_000  #: phrases counted in one pass over the texts
 BLOCK_ROWS = 20_000  #: texts, and queries, of a block
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``id, term, tf, doc_len`` and the scope and liveness of each record: ``id, tenant_id, namespace, live, content``."""
-    t = docs.where("content IS NOT NULL").select("id", "tenant_id", "namespace", "live", tokens(F.col("content")).alias("terms"))
-    t = t.withColumn("doc_len", F.size("terms")).withColumn("term", F.explode("terms"))
-    return t.groupBy("id", "tenant_id", "namespace", "live", "doc_len", "term").agg(F.count("*").alias("tf"))
-
-
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """``term, df, cf``: documents with the term, and how often it occurs."""
-    return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """``term, df, cf``: documents (``content``) with the term, and how often it occurs; one aggregation, combined on the map side."""
+    sorted_terms = docs.where("content IS NOT NULL").select(F.array_sort(tokens(F.col("content"))).alias("terms"))
+    # among a text's sorted terms the first of its kind counts the text
+    first = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (F.get("terms", i - 1) != t), 1).otherwise(0).alias("head")))
+    return sorted_terms.select(F.explode(first).alias("t")).groupBy("t.term").agg(F.sum("t.head").alias("df"), F.count("*").alias("cf"))
 
 
 class _Inverted:
