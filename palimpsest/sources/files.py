@@ -20,6 +20,9 @@ class Folder:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
     def names(self, folder: str = "") -> list[str]:
         at = self._at(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []

@@ -62,6 +62,7 @@ class MemoryStore:
         validation.config(dimensions, embedding_model, max_recall_limit)
         self.spark, self.path = spark, path.rstrip("/")
         self.folder = Folder(spark, self.path)
+        self._last: int | None = None
         self.dims, self.model, self.max_recall_limit = dimensions, embedding_model, max_recall_limit
         self.now = clock or (lambda: int(time.time() * 1000))
 
@@ -114,7 +115,12 @@ class MemoryStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{folder}/{n:09d}" for n in numbers])
 
     def _next(self) -> int:
-        return max([0, *map(int, filter(str.isdigit, self.folder.names("log"))), *self._committed("snapshots")]) + 1
+        """The next batch's number; the folders are listed only if this isn't the writer of the last one."""
+        n = self._last + 1 if self._last is not None else None
+        if n is None or self.folder.exists(f"log/{n:09d}"):
+            n = max([0, *map(int, filter(str.isdigit, self.folder.names("log"))), *self._committed("snapshots")]) + 1
+        self._last = n
+        return n
 
     def _append(self, rows: DataFrame) -> int:
         seq = self._next()
