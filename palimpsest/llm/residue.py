@@ -117,13 +117,14 @@ _ERROR = re.compile(
     r"\bwe can(?:['’]t|not) find (?:that|the|this) page\b|\bwas not found on this server\b|\bhas moved or no longer exists\b|\b(?:your )?session (?:has )?(?:expired|timed out)\b|"
     r"\bsomething went wrong(?: on our end|[.!,]|$)|\b(?:unexpected|unknown) (?:problem|error|failure) has? ?occurred\b|\bunable to connect to\b|\bcould not connect to (?:the )?(?:database|server|host)\b|"
     r"\btraceback \(most recent call last\)|\b[\w.]*(?:exception|error)\b\s+at\s+[\w.$]+\(|\b[a-z]+(?:\.[\w$]+)+\.?\w*(?:exception|error)\b|\bat [\w.$]+\([\w$]+\.(?:java|kt|scala|js|ts|cs):\d+|\b(?:Key|Value|Type|Name|Index|Attribute|Syntax|Import|Runtime)Error\s*:|"
-    r"\b(?:fatal|parse|syntax|uncaught)[ \w]{0,12} ?error\s*:|\bcall to undefined\b|\bundefined (?:index|variable|offset)\b|\bsegmentation fault\b|(?-i:\bERR_[A-Z]+(?:_[A-Z]+)+\b)|\b(?:warning|notice|deprecated): \w+\(|\berror establishing (?:a|the) \w+ connection\b|\bsite can(?:['’]t|not) be reached\b|\bcore dumped\b|\bstack trace\s*:|\bpanic: |"
+    r"\b(?:fatal|parse|syntax|uncaught)[ \w]{0,12} ?error\s*:|\bcall to undefined\b|\bundefined (?:index|variable|offset)\b|\bsegmentation fault\b|\b(?:warning|notice|deprecated): \w+\(|\berror establishing (?:a|the) \w+ connection\b|\bsite can(?:['’]t|not) be reached\b|\bcore dumped\b|\bstack trace\s*:|\bpanic: |"
     r"\bSeite (?:wurde )?nicht gefunden\b|\bZugriff verweigert\b\s*(?:[.!<]|$)|\bkeine Berechtigung für diese Seite\b|\bSitzung ist abgelaufen\b|\bServer (?:antwortet nicht|ist (?:derzeit|vorübergehend) nicht)|\bDienst (?:ist )?(?:vorübergehend |derzeit )?nicht verfügbar\b|"
     r"\bpage (?:demandée )?(?:est |n['’]est pas )?(?:introuvable|trouvée)\b|\berreur de connexion à la base\b|\baccès refusé\b\s*(?:[.!<]|$)|\bvous n['’]avez pas l['’]autorisation\b|\bvotre session a expiré\b|\bservice (?:temporairement )?indisponible\b|\ble serveur ne répond pas\b|\bréessayez dans \d+|"
     r"\bpágina (?:solicitada )?no (?:encontrada|existe|se encuentra)\b|\bno se (?:ha encontrado|encontró|pudo encontrar) la página\b|\bacceso denegado\b\s*(?:[.!<]|$)|\bno tiene permiso para (?:ver|acceder)\b|\bla sesión ha caducado\b|\bservicio no disponible\b|\bel servidor no responde\b|\binténtelo dentro de \d+|"
     r"\bстраница не найдена\b|\bдоступ (?:запрещ[её]н|закрыт)\b\s*(?:[.!<]|$)|\bу вас нет (?:прав|доступа|разрешения)\b|\bсеанс истёк\b|\bсессия истекла\b|\bсервер (?:временно )?(?:недоступен|не отвечает)\b|\bповторите через \d+",
     re.IGNORECASE | re.MULTILINE,
 )
+_ERROR_NAME = re.compile(r"\bERR_[A-Z]+(?:_[A-Z]+)+\b")  # in capitals only
 _SCRIPTS = re.compile(
     r"\b(?:enable|activate|allow|turn on|switch on|unblock)\s+(?:\w+\s+){0,2}?(?:javascript|js|scripts?|scripting)\b|\b(?:javascript|js|scripting|scripts?) (?:is|are) (?:\w+ )?(?:disabled|turned off|switched off|blocked|required|not enabled)\b|\b(?:javascript|js|scripting|scripts) (?:must|should|has to|have to|needs? to) be (?:enabled|allowed|activated|(?:turned|switched) on)\b|"
     r"\b(?:page|site|app|application|content|website)s? (?:needs?|requires?) (?:javascript|js|scripts?|scripting)\b|(?:\bnot|n['’]t) (?:work|run|load|function)(?: properly)? without (?:javascript|js|scripts?)\b|"
@@ -148,7 +149,7 @@ _HINTS = {
         "http", "error", "fehler", "erreur", "ошибка", "40", "41", "42", "43", "45", "50", "gateway", "service", "servicio", "dienst", "too many", "try again", "server", "connect",
         "upstream", "origin", "request", "denied", "permission", "page", "session", "moved", "went wrong", "occurred", "traceback", "exception", ".java", ".kt", ".scala", ".js", ".ts", ".cs",
         "undefined", "segmentation", "dumped", "stack trace", "panic", "seite", "zugriff", "sitzung", "refusé", "autorisation", "serveur", "réessayez", "página", "denegado", "permiso", "sesión",
-        "servidor", "inténtelo", "err_", "introuvable", "trouvée", "reached", "warning", "notice", "deprecated", "encontr", "base", "страница", "доступ", "у вас нет", "сеанс", "сессия", "сервер", "повторите", "ошибка",
+        "servidor", "inténtelo", "err_", "be reached", "warning:", "notice:", "deprecated:", "страница", "доступ", "у вас нет", "сеанс", "сессия", "сервер", "повторите", "ошибка",
     ),
     "scripts": ("script", "skript", "js", "скрипт", "сценари"),
 }
@@ -232,7 +233,7 @@ def residue(text: str | None) -> tuple[bool, bool, bool, bool]:
     return (
         maybe["placeholder"] and _placeholders(_without_code(text)) > 0,
         bool(maybe["filler"] and _FILLER.search(text)) or bool(_AGAIN.search(low)) or (len(_LATIN_WORDS.findall(low)) >= 5 and _latin(low)),
-        bool(maybe["error"] and _ERROR.search(text)),
+        bool(maybe["error"] and (_ERROR.search(text) or _ERROR_NAME.search(text))),
         bool(maybe["scripts"] and _SCRIPTS.search(text)),
     )
 
