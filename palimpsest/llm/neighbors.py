@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.durable import cut
@@ -39,6 +39,7 @@ K = 5
 MIN_SIMILARITY = 0.85
 SAMPLE = 32_768  #: vectors a tree is fitted on, at most, per dimension
 QUERIES = 512  #: queries the visits are calibrated with, at most, per dimension
+TRUTH = 4 * K  #: vectors that a brute-force search keeps
 HELD_OUT = 256  #: further queries, at most, that recall is measured on
 LEAF_ROWS = 512
 LEAF_SAMPLE = 8  #: vectors of the sample in a leaf, about, at least
@@ -357,7 +358,7 @@ def _picked(rows: DataFrame, counts: dict[int, int], size: int, seed: int) -> di
 
 
 def _truth(rows: DataFrame, queries: dict[int, np.ndarray]) -> dict[int, dict[int, list[tuple[float, bytes]]]]:
-    """Per dimension and query the vectors of its true neighbours, by brute force over all rows in blocks."""
+    """Per dimension and query the nearest ``TRUTH`` vectors, by brute force over all rows in blocks; in single precision, so with some to spare."""
     sent = rows.sparkSession.sparkContext.broadcast({d: unit(q) for d, q in queries.items()})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,15 +371,15 @@ def _truth(rows: DataFrame, queries: dict[int, np.ndarray]) -> dict[int, dict[in
                 for r, c in zip(*np.nonzero(s >= MIN_SIMILARITY)):
                     best.setdefault((d, int(c)), {})[x[r].tobytes()] = float(s[r, c])
             for at, found in best.items():
-                if len(found) > 4 * K:
-                    best[at] = dict(sorted(found.items(), key=lambda t: (-t[1], t[0]))[: K + 1])
-        out = [(*at, s, v) for at, found in best.items() for v, s in sorted(found.items(), key=lambda t: (-t[1], t[0]))[: K + 1]]
+                if len(found) > 2 * TRUTH:
+                    best[at] = dict(sorted(found.items(), key=lambda t: (-t[1], t[0]))[:TRUTH])
+        out = [(*at, s, v) for at, found in best.items() for v, s in sorted(found.items(), key=lambda t: (-t[1], t[0]))[:TRUTH]]
         columns = list(zip(*out)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.binary()))], names=["dims", "q", "s", "v"])
 
     found = rows.mapInArrow(scan, "dims int, q int, s double, v binary")
-    # every task sends at most K + 1 rows per query
-    top = found.groupBy("dims", "q").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, K + 1).alias("t"))
+    # every task sends at most TRUTH rows per query
+    top = found.groupBy("dims", "q").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, TRUTH).alias("t"))
     out: dict[int, dict[int, list[tuple[float, bytes]]]] = {d: {} for d in queries}
     for r in top.collect():
         out[r["dims"]][r["q"]] = [(t["s"], bytes(t["v"])) for t in r["t"]]
@@ -391,7 +392,7 @@ def calibrate(tree: Tree, queries: np.ndarray, truth: dict[int, list[tuple[float
     tree.visits, tree.slack = 1, 2.0
     if tree.leaves == 1:
         return
-    pairs = [(q, v) for q, vs in truth.items() for _, v in vs if v != queries[q].tobytes()]
+    pairs = [(q, v) for q, vs in truth.items() for _, v in vs[: K + 1] if v != queries[q].tobytes()]
     if not pairs:
         return
     number = {v: i for i, v in enumerate(dict.fromkeys(v for _, v in pairs))}
@@ -654,7 +655,7 @@ def recall_report(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float
     """``dims, rows, leaves, visits, slack, queries, wanted, recall``: the pairs given out against brute force.
 
     ``queries`` are up to ``HELD_OUT`` picked rows that the calibration didn't use, ``wanted`` their true
-    neighbours; without any, recall is null. Neighbours as similar as the last that counts are none of ``wanted``.
+    neighbours; without any, recall is null.
     """
     ix = index(memories, leaf_rows, target)
     spark = memories.sparkSession
@@ -668,18 +669,18 @@ def recall_report(memories: DataFrame, leaf_rows: int = LEAF_ROWS, target: float
             asked[d] = (x[at], [ids[i] for i in at])
     schema = "dims int, rows bigint, leaves bigint, visits int, slack double, queries int, wanted bigint, recall double"
     truth = _truth(ix.rows, {d: x for d, (x, _) in asked.items()}) if asked else {}
-    wanted = []  # as many as queries times K at most
+    wanted = []  # at most TRUTH vectors a query, its own among them, for the ids that share it
     for d, found in truth.items():
         for q, near in found.items():
-            others = [(s, v) for s, v in near if v != asked[d][0][q].tobytes()]
-            wanted += [(d, asked[d][1][q], v) for s, v in others[:K] if len(others) <= K or s > others[K][0] + 1e-6]
-    want = spark.createDataFrame(wanted, "dims int, qid string, v binary")
-    key = F.hash("v")
-    rows = ix.rows.select("id", "dims", "embedding")
-    bytes_of = _bytes(rows)
-    others = F.broadcast(want).withColumn("h", key).join(bytes_of.withColumn("h", key), ["dims", "h", "v"]).groupBy("dims", "qid", "v").agg(F.min("id").alias("oid"), F.count_distinct("id").alias("copies")).where("copies <= 1")
+            u = unit(np.stack([asked[d][0][q], *[np.frombuffer(v, np.float32) for _, v in near]]), np.float64)
+            wanted += [(d, asked[d][1][q], v, float(s)) for (_, v), s in zip(near, np.round(u[1:] @ u[0], 6)) if s >= MIN_SIMILARITY]
+    want = F.broadcast(spark.createDataFrame(wanted, "dims int, qid string, v binary, s double").withColumn("h", F.hash("v")))
+    rows = _bytes(ix.rows.select("id", "dims", "embedding")).withColumn("h", F.hash("v"))
+    others = rows.join(want, ["dims", "h", "v"]).where("id <> qid").select("dims", "qid", F.col("id").alias("oid"), "s").distinct()
+    best = Window.partitionBy("qid").orderBy(F.col("s").desc(), "oid")
+    others = others.withColumn("rank", F.row_number().over(best)).where(f"rank <= {K}")
     given = _pairs(ix).select(_text("a", ix.uuids).alias("a"), _text("b", ix.uuids).alias("b"), F.lit(1).alias("hit"))
-    both = others.withColumn("a", F.least("qid", "oid")).withColumn("b", F.greatest("qid", "oid")).where("a <> b").join(given, ["a", "b"], "left")
+    both = others.withColumn("a", F.least("qid", "oid")).withColumn("b", F.greatest("qid", "oid")).join(given, ["a", "b"], "left")
     sums = {r["dims"]: r for r in both.groupBy("dims").agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("hits")).collect()}
     out = []
     for d, tree in ix.trees.items():
