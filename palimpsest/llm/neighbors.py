@@ -205,8 +205,8 @@ def _spread(tree: Tree, x: np.ndarray, rows: int) -> None:
     """Cut shards that hold too much, as far as the sample ``x`` of ``rows`` rows shows."""
     own: dict[int, int] = {}
     came: dict[int, int] = {}
-    for lo in range(0, len(x), 2048):
-        r, leaf, _ = route(tree, x[lo : lo + 2048], tree.visits, tree.slack)
+    for lo in range(0, len(x), 1024):
+        r, leaf, _ = route(tree, x[lo : lo + 1024], tree.visits, tree.slack)
         shard = tree.shards(leaf)
         first = np.diff(r, prepend=-1) != 0
         pairs = np.unique(np.stack([r, shard]), axis=1)
@@ -219,49 +219,40 @@ def _spread(tree: Tree, x: np.ndarray, rows: int) -> None:
 
 
 def route(tree: Tree, x: np.ndarray, visits: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-bin-first visits of unit vectors: (row, leaf, gap), by row, own leaf first; all rows advance together.
+    """Best-bin-first visits of unit vectors: (row, leaf, gap), by row, own leaf first; all rows are routed together.
 
-    The frontier is each row's priority queue of unopened nodes; a round pops every row's best one.
-    ``gap`` is how much less similar the leaf is than the row's first leaf.
+    In a priority queue of unopened nodes a leaf comes up when the least similar node on the way to it
+    has come up, so that one decides its turn; among leaves that wait for the same node the more
+    similar one comes first, and those whose turn comes together with the last one's are visited too. With the similarities of all nodes from one product, every row's queue is
+    run at once, at a cost that the bounded size of the sampled tree bounds. ``gap`` is how much less
+    similar the leaf is than the row's first leaf; one too far off counts as visited all the same.
     """
-    n, nodes = len(x), len(tree.leaf)
-    pops = max(visits, BEAM) if tree.codes else visits
-    leaf = np.array(tree.leaf)
-    frontier = np.full((n, nodes), -np.inf, np.float32)
-    frontier[:, 0] = 0
-    best = np.full(n, -np.inf, np.float32)
-    seen = np.zeros(n, np.int64)
-    active = np.arange(n)
-    rows, leaves, keys = [], [], []
-    while len(active):
-        node = np.argmax(frontier[active], axis=1)
-        key = frontier[active, node]
-        alive = key > -np.inf
-        active, node, key = active[alive], node[alive], key[alive]
-        frontier[active, node] = -np.inf
-        at_leaf = leaf[node] >= 0
-        r, l, s = active[at_leaf], leaf[node[at_leaf]], key[at_leaf]
-        first = seen[r] == 0
-        best[r[first]] = s[first]
-        # a leaf too far off counts as visited: nearer ones may still lie below inner nodes in the queue
-        near = best[r] - s <= (np.inf if tree.codes else slack)
-        rows.append(r[near])
-        leaves.append(l[near])
-        keys.append(s[near])
-        seen[r] += 1
-        done = np.zeros(n, bool)
-        done[r[seen[r] >= pops]] = True
-        for inner in np.unique(node[~at_leaf]):
-            q = active[~at_leaf][node[~at_leaf] == inner]
-            ch = tree.children[inner]
-            frontier[np.ix_(q, ch)] = x[q] @ tree.centroids[ch].T
-        active = active[~done[active]]
-    r, l, s = (np.concatenate(a) if a else np.zeros(0, t) for a, t in ((rows, np.int64), (leaves, np.int64), (keys, np.float32)))
-    order = np.argsort(r, kind="stable")
-    r, l, s = r[order], l[order], s[order]
+    n, at = len(x), np.array(tree.at)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    keys = x @ tree.centroids.T
+    turn = keys.copy()
+    turn[:, 0] = np.inf
+    for depth in range(1, tree.paths.shape[1]):
+        nodes, first = np.unique(tree.paths[:, depth], return_index=True)
+        parents = tree.paths[first, depth - 1]
+        nodes, parents = nodes[nodes >= 0], parents[nodes >= 0]
+        turn[:, nodes] = np.minimum(turn[:, nodes], turn[:, parents])
+    keys, turn = keys[:, at], turn[:, at]
+    best = np.where(turn == turn.max(axis=1, keepdims=True), keys, -np.inf).argmax(axis=1)
+    pops = min(max(visits, BEAM) if tree.codes else visits, len(at))
+    near = turn >= np.partition(turn, len(at) - pops, axis=1)[:, len(at) - pops : len(at) - pops + 1]
+    top = keys[np.arange(n), best]
+    if not tree.codes:
+        near &= top[:, None] - keys <= slack
+    near[np.arange(n), best] = True
+    r, l = np.nonzero(near)
+    order = np.lexsort((-keys[r, l], -turn[r, l], l != best[r], r))
+    r, l = r[order], l[order]
+    s = keys[r, l]
     if tree.codes:
         return _descend(tree, x, r, l, s, visits, slack)
-    return r, l, best[r] - s
+    return r, l, top[r] - s
 
 
 def _ranks(r: np.ndarray) -> np.ndarray:
@@ -472,8 +463,8 @@ def _routed(ix: Index) -> DataFrame:
                 groups = _groups([v.tobytes() for v in x], _packed([ids[i] for i in at], uuids))
                 vectors, members = list(groups), [g[1] for g in groups.values()]
                 u = unit(x[[g[0] for g in groups.values()]])
-                for lo in range(0, len(u), 2048):
-                    yield _sendings(tree, d, u[lo : lo + 2048], vectors[lo : lo + 2048], members[lo : lo + 2048])
+                for lo in range(0, len(u), 1024):
+                    yield _sendings(tree, d, u[lo : lo + 1024], vectors[lo : lo + 1024], members[lo : lo + 1024])
 
     return ix.rows.mapInArrow(scan, _ROUTED)
 
