@@ -51,7 +51,7 @@ RECALL = 0.997
 WIDEST = 64  #: leaves a calibration looks at first
 BEAM = 32  #: nodes looked at on each level below the sampled tree
 COPIES = 200_000  #: copies of one vector in one task, about
-TASK_BYTES = 64 * 1024 * 1024
+TASK_BYTES = 32 * 1024 * 1024  #: sent to one task, about
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -69,6 +69,7 @@ class Tree:
     alike: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: mean similarity of two vectors of each node; -1 where few tell it
     paths: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))  #: nodes from the root to each sampled leaf, then -1
     parts: dict[int, tuple[int, int]] = field(default_factory=dict)  #: (blocks of rows, blocks of visitors) of shards with more than one
+    sendings: float = 1.0  #: shards that a row goes to, on average
     visits: int = 1
     slack: float = 2.0
 
@@ -202,7 +203,7 @@ def _shard(tree: Tree, sizes: list[float], rows: int) -> None:
 
 
 def _spread(tree: Tree, x: np.ndarray, rows: int) -> None:
-    """Cut shards that hold too much, as far as the sample ``x`` of ``rows`` rows shows."""
+    """Cut shards that hold too much, as far as the sample ``x`` of ``rows`` rows shows, and count what will be sent."""
     own: dict[int, int] = {}
     came: dict[int, int] = {}
     for lo in range(0, len(x), 1024):
@@ -216,6 +217,7 @@ def _spread(tree: Tree, x: np.ndarray, rows: int) -> None:
     scale = rows / max(len(x), 1) / PART_ROWS
     cut = {s: (max(1, int(np.ceil(own.get(s, 0) * scale))), max(1, int(np.ceil((n - own.get(s, 0)) * scale)))) for s, n in came.items()}
     tree.parts = {s: p for s, p in cut.items() if p != (1, 1)}
+    tree.sendings = sum(came.values()) / max(len(x), 1)
 
 
 def route(tree: Tree, x: np.ndarray, visits: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -608,9 +610,9 @@ def _members(ix: Index, many: set[bytes], salts: int) -> DataFrame:
 
 def _pairs(ix: Index) -> DataFrame:
     routed = _routed(ix)
-    # the shuffle is as wide as the vectors need, whatever the session's setting; a vector goes to few shards
-    width = sum(n * d * 4 for d, n in ix.counts.items())
-    tasks = max(2 * ix.rows.sparkSession.sparkContext.defaultParallelism, -(-2 * width // TASK_BYTES))
+    # the shuffle is as wide as what is sent needs, whatever the session's setting
+    width = sum(n * (d * 4 + 100) * ix.trees[d].sendings for d, n in ix.counts.items() if d in ix.trees)
+    tasks = max(2 * ix.rows.sparkSession.sparkContext.defaultParallelism, int(width // TASK_BYTES) + 1)
     found = routed.repartition(tasks, "dims", "shard", "part").groupBy("dims", "shard", "part").applyInArrow(_compare, _FOUND)
     near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, K + 1)
     merged = cut(found.groupBy("key").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("mine"))).alias("ids"), near.alias("near")))
