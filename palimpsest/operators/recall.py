@@ -114,6 +114,7 @@ def scored(requests: DataFrame, records: DataFrame, pool: DataFrame, by_agent: b
     c = c.withColumn("similarity", S.similarity(F.col("dist"))).withColumn("importance_score", importance)
     c = c.withColumn("recency", S.recency(F.col("created_at_ms"), F.col("now_ms"))).withColumn("reinforcement", S.reinforcement(F.col("access_count")))
     c = c.withColumn("score", F.round(S.total_score(F.col("similarity"), F.col("importance_score"), F.col("recency"), F.col("reinforcement")), 9))
+    # fixed values: the names of the notes
     notes = F.array_compact(
         F.array(
             F.lit("default_v1_scoring"),
