@@ -86,7 +86,8 @@ def lazy_greedy(columns: Callable[[np.ndarray], np.ndarray], weight: np.ndarray,
 # --- weights ------------------------------------------------------------------------------------
 def _groups_above(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per unit vector its leaf, and the highest node above it whose vectors are alike and whose centre is near; else -1."""
-    _, leaf, _ = neighbors.route(tree, x, 1, 0.0)
+    r, leaf, _ = neighbors.route(tree, x, 1, 0.0)
+    leaf = leaf[np.diff(r, prepend=-1) != 0]  # a row equally near to several leaves visits them all, its own first
     node = np.full(len(x), -1)
     sampled = leaf // tree.below
     for above in tree.paths.T:

@@ -224,6 +224,16 @@ def test_group_weights(spark):
     assert len(got) == len(x) and max(mass) < 4 and min(mass) > 0.2
 
 
+def test_group_of_a_record_equally_near_to_two_leaves():
+    x = neighbors.unit(np.concatenate([np.eye(2, 4)[[i] * 40] + np.random.default_rng(i).normal(size=(40, 4)) * 0.1 for i in (0, 1)]).astype("f4"))
+    tree = neighbors.fit(x, 80, 40)
+    assert tree.leaves == 2
+    tree.centroids[tree.at[0]], tree.centroids[tree.at[1]] = np.eye(2, 4, dtype="f4")
+    asked = neighbors.unit(np.array([[1, 1, 0, 0], [3, 1, 0, 0], [1, 3, 0, 0]], "f4"))
+    leaf, node = subset._groups_above(tree, asked)
+    assert len(leaf) == len(node) == 3 and leaf[1:].tolist() == [0, 1]
+
+
 def test_bins():
     rng = np.random.default_rng(7)
     for _ in range(20):
