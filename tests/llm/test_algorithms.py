@@ -81,6 +81,22 @@ def test_pairs_over_shards_and_parts_of_shards(spark, monkeypatch):
     assert len(got) == len(set(got)) and len(set(got) & want) >= 0.97 * len(want) and len(set(got) & want) >= 0.97 * len(got)
 
 
+def test_rounds_send_what_is_told_and_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SAMPLE", 300)
+    monkeypatch.setattr(neighbors, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(11)
+    m = memories(spark, [{"id": f"{i:04d}", "embedding": (v + rng.normal(size=24) * 0.2).tolist()} for i, v in enumerate(np.repeat(rng.normal(size=(600, 24)), 4, axis=0))])
+    ix = neighbors.index(m, leaf_rows=60)
+    sent = [neighbors._routed(ix, 3, i).count() for i in range(3)]
+    assert min(sent) > 0 and sum(sent) == neighbors._routed(ix).count()
+    assert abs(ix.trees[24].sendings * 2400 / sum(sent) - 1) < 0.05
+    got = []
+    for once in (100.0, ix.trees[24].sendings / 2.5):
+        monkeypatch.setattr(neighbors, "ONCE", once)
+        got.append(sorted(tuple(r) for r in neighbors._pairs(ix).collect()))
+    assert got[0] and got[0] == got[1]
+
+
 def test_tree_goes_on_below_a_small_sample(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "SAMPLE", 150)
     monkeypatch.setattr(neighbors, "CODES", 4)
